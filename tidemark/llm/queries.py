@@ -15,7 +15,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix_sources
+
+    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op6_mixing": op6_mixing,
+    "op7_fingerprints": op7_fingerprints,
+}
 
 #: DuckDB SQL over the same tables.
 ORACLES = {
@@ -39,5 +55,35 @@ reach AS (
   UNION
   SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY 1, 2
+""",
+    "op6_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS hash
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth, 3.0 * CAST(source_size AS DOUBLE) AS cap FROM totals),
+weighed AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM ranked),
+filled AS (
+  SELECT *, sum(cap) OVER w - cap AS before, sum(weight) OVER () - sum(weight) OVER w + weight AS left_weight,
+    CAST(sum(source_size) OVER () AS DOUBLE) AS total
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, nth)),
+levels AS (SELECT *, (total - before) / left_weight AS level FROM filled),
+final AS (SELECT arg_min(level, before) AS level FROM levels WHERE level * weight <= cap),
+aims AS (
+  SELECT source, source_size, least(cap, coalesce(final.level * weight, cap)) AS target,
+    CASE WHEN source_size > 0 THEN CAST(floor(least(cap, coalesce(final.level * weight, cap)) / source_size) AS BIGINT) ELSE 0 END AS full_passes
+  FROM levels LEFT JOIN final ON true),
+sums AS (
+  SELECT s.source, hash, sum(size) AS words FROM sized s GROUP BY 1, 2),
+running AS (
+  SELECT s.source, hash, words, sum(words) OVER (PARTITION BY s.source ORDER BY hash) AS upto FROM sums s),
+edges AS (
+  SELECT r.source, min(hash) AS hash, arg_min(upto, hash) AS upto, arg_min(words, hash) AS words, any_value(target - full_passes * source_size) AS rest
+  FROM running r JOIN aims a ON r.source IS NOT DISTINCT FROM a.source WHERE upto > target - full_passes * source_size GROUP BY 1)
+SELECT s.doc_id, s.size, a.source_size, a.target,
+  CAST(s.size * (a.full_passes + CASE WHEN s.hash < e.hash OR (s.hash = e.hash AND e.upto - e.rest < e.rest - (e.upto - e.words)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
 """,
 }

@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = work.write(marks, "marks")  # at most 2^MARK_BITS / 32768 rows of 4 kB
     spot = source.withColumn("at", at).withColumn("page_of", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), 1)), 16, 10).cast("int")
-    hit = spot.join(F.broadcast(marks), F.col("page_of") == F.col("page")).where(byte.bitwiseAND(F.shiftleft(F.lit(1), (F.col("bit") % 8).cast("int"))) != 0)
+    hit = spot.join(F.broadcast(marks), F.col("page_of") == F.col("page")).where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(bit % 8 AS INT))")) != 0)
     texts = hit.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     compared = work.write(texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id")).select("fingerprint", "group_id", F.sha2("canon", 512).alias("bytes")), "compared")
     clash = compared.groupBy("fingerprint").agg(F.count("*").alias("texts")).where("texts > 1").select("fingerprint")

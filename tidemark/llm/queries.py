@@ -29,6 +29,18 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm import score
+
+    return score(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_sources
 
@@ -41,6 +53,18 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import scan_secrets
 
@@ -51,8 +75,12 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_pieces": op3_pieces,
+    "op4_language": op4_language,
+    "op5_lm": op5_lm,
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
+    "op8_quality": op8_quality,
+    "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
 }
 

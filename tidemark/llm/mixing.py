@@ -52,17 +52,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return filled.withColumn("final", level).select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
-    """How many words of each document a mix of the sources to their target weights takes.
+def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+    """Of each source (source, size and hash of each document given) its target, full passes and threshold.
 
-    Returns (doc_id, size, source, source_size, target, passes, taken), one row per row of docs: size
-    is the number of words (null: 0), passes how often the document is taken, taken = size * passes.
-    A null source is a source of its own, last in order. Rows with equal ids share a hash and are taken
-    alike; an empty table gives an empty result. The mix depends on ids and sizes only: reruns agree.
+    Returns (source, source_size, target, full, threshold, with_edge): documents are taken full times, and
+    once more where their hash is below the threshold, or equals it and with_edge holds, that is where
+    taking the boundary comes nearer to the target than leaving it.
     """
-    work = Work(docs.sparkSession, "mixing")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash"))
-    rows = work.write(rows, "sized")
+    work = Work(rows.sparkSession, "mixing")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     aims = work.write(aims.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "targets")
@@ -78,14 +75,46 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         placed = placed.withColumn("upto", F.col("edge_base") + F.sum("words").over(run))
         first = placed.where("upto > edge_rest").groupBy("source").agg(F.min(F.struct("bucket", "upto", "words")).alias("b"), F.first("edge_rest").alias("rest"))
         edge = first.select("source", "rest", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.words")).alias("base"), F.col("b.words").alias("words"))
+        edge = work.write(edge, f"edge{level}")  # a row for each source
     edge = edge.withColumn("with_edge", F.col("base") + F.col("words") - F.col("rest") < F.col("rest") - F.col("base"))
     plan = aims.join(edge.select(F.col("source").alias("edge_source"), F.col("prefix").alias("threshold"), "with_edge"), F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source", "rest")
-    plan = work.write(plan, "plan").withColumnRenamed("source", "plan_source")
+    return work.write(plan, "plan")
+
+
+def _passes(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the plan's columns and passes, how often each row (with source and hash) is taken."""
+    named = plan.withColumnRenamed("source", "plan_source")
     more = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("with_edge"))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    out = out.withColumn("passes", F.col("full") + F.coalesce(more, F.lit(False)).cast("int"))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("passes", F.col("full") + F.coalesce(more, F.lit(False)).cast("int"))
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash"))
+    return Work(docs.sparkSession, "sized").write(rows, "rows")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+    """How many words of each document a mix of the sources to their target weights takes.
+
+    Returns (doc_id, size, source, source_size, target, passes, taken), one row per row of docs: size
+    is the number of words (null: 0), passes how often the document is taken, taken = size * passes.
+    A null source is a source of its own, last in order. Rows with equal ids share a hash and are taken
+    alike; an empty table gives an empty result. The mix depends on ids and sizes only: reruns agree.
+    """
+    rows = _sized(docs, id_col, source_col, text_col)
+    out = _passes(rows, plan_mix(rows, weights, most))
     return out.select("doc_id", "size", "source", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"))
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as the mix takes it."""
+    plan = plan_mix(_sized(docs, id_col, source_col, text_col), weights, most).select(*[F.col(c).alias(f"__{c}") for c in ("source", "full", "threshold", "with_edge")])
+    own = id_hash(docs[id_col])
+    more = (own < F.col("__threshold")) | ((own == F.col("__threshold")) & F.col("__with_edge"))
+    passes = F.col("__full") + F.coalesce(more, F.lit(False)).cast("int")
+    mixed = docs.join(plan, docs[source_col].eqNullSafe(F.col("__source"))).withColumn("__passes", passes).where("__passes > 0")
+    return mixed.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*[docs[c] for c in docs.columns])
+
+
 def _renamed(edge: DataFrame) -> DataFrame:
     return edge.select(F.col("source").alias("edge_source"), F.col("rest").alias("edge_rest"), F.col("prefix").alias("edge_prefix"), F.col("base").alias("edge_base"))

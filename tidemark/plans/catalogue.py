@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from tidemark.plans.registry import ORACLES, QUERIES
+
+for _name in ("text_queries", "retrieval_queries", "lineage_queries", "evaluation_queries", "star_queries"):
+    importlib.import_module(f"tidemark.plans.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -38,7 +38,9 @@ def mcnemar_p(b: int, c: int) -> float:
     return float(min(Fraction(1), Fraction(2 * sum(comb(n, i) for i in range(min(b, c) + 1)), 2**n)))
 
 
-exact_p = F.udf(lambda b, c: mcnemar_p(int(b), int(c)), "double")  # on a row for each category, never on data rows
+def exact_p(b: str, c: str) -> Column:
+    """mcnemar_p of two counts: for aggregates, a row for each category, never for data rows."""
+    return F.udf(lambda x, y: mcnemar_p(int(x), int(y)), "double")(b, c)
 
 
 def discordant(rows: DataFrame, by: list[str], control: str = "control", treatment: str = "treatment") -> DataFrame:

@@ -1 +1,162 @@
-"""Queries."""
+"""Evidence, projections, writes and packing over conversations, events and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from tidemark.operators import lineage as L, packing as P
+from tidemark.plans.registry import query
+
+
+@query("SELECT p.id, p.kind FROM {projections} p WHERE p.state = 'active' AND EXISTS (SELECT 1 FROM {lineage} s JOIN {evidence} e ON e.id = s.evidence_id WHERE s.projection_id = p.id AND e.state = 'active')")
+def active_semijoin(t):
+    living = t.lineage.join(t.evidence.where("state = 'active'").select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
+    return L.active(t.projections).join(living, F.col("id") == F.col("projection_id"), "left_semi").select("id", "kind")
+
+
+@query("SELECT id FROM {projections} WHERE kind = 'atomic_fact' AND state = 'active'")
+def fail_closed_filter(t):
+    return L.fail_closed(t.projections.select("id"), t.projections.select("id", "state", "kind"), "id")
+
+
+@query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
+def missing_vectors_anti(t):
+    return t.documents.select("doc_id").join(t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+@query("""WITH seed AS (SELECT DISTINCT projection_id AS seed FROM {lineage}), a AS (SELECT seed, evidence_id, source_order AS place FROM {lineage} JOIN seed ON projection_id = seed),
+b AS (SELECT evidence_id, projection_id FROM {lineage} l JOIN {projections} p ON p.id = l.projection_id WHERE p.state = 'active' AND p.kind = 'atomic_fact')
+SELECT seed, projection_id, place, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY place, projection_id) AS rank FROM (SELECT seed, projection_id, min(place) AS place FROM a JOIN b USING (evidence_id) WHERE seed <> projection_id GROUP BY 1, 2)) WHERE rank <= 8""")
+def sibling_facts(t):
+    return L.siblings(t.lineage, t.projections, t.lineage.select("projection_id").distinct()).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""SELECT p.id FROM {projections} p WHERE p.state = 'active' AND p.id IN (SELECT projection_id FROM {lineage} l JOIN {evidence} e ON e.id = l.evidence_id WHERE e.state = 'tombstoned')
+AND p.id NOT IN (SELECT projection_id FROM {lineage} l JOIN {evidence} e ON e.id = l.evidence_id WHERE e.state = 'active')""")
+def stale_projections(t):
+    touched = t.evidence.where("state = 'tombstoned'").select(F.col("id").alias("evidence_id"))
+    return L.stale_after(t.projections, t.lineage, t.evidence, touched).select("id")
+
+
+@query("""SELECT projection_id, string_agg(evidence_id, ',' ORDER BY source_order, evidence_id) AS sources, count(*) AS n FROM {lineage} GROUP BY 1""")
+def lineage_batch(t):
+    return t.lineage.groupBy("projection_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_order", "evidence_id"))), lambda x: x["evidence_id"]), ",").alias("sources"), F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE log AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'signup' THEN 'append' WHEN 'view' THEN 'append' WHEN 'click' THEN 'tombstone' WHEN 'error' THEN 'purge' ELSE 'restore' END AS action FROM events),
+f AS (SELECT item, CAST(0 AS BIGINT) AS seq, 'none' AS state FROM (SELECT DISTINCT item FROM log)
+ UNION ALL SELECT f.item, l.seq, CASE WHEN state = 'none' AND action = 'append' THEN 'active' WHEN state = 'active' AND action = 'tombstone' THEN 'tombstoned' WHEN state = 'tombstoned' AND action = 'restore' THEN 'active' WHEN state IN ('active', 'tombstoned') AND action = 'purge' THEN 'purged' ELSE state END
+ FROM f JOIN log l ON l.item = f.item AND l.seq = f.seq + 1)
+SELECT item, arg_max(state, seq) AS state, max(seq) AS last_seq FROM f GROUP BY 1""")
+def lifecycle_head(t):
+    kind = F.when(F.col("event_type").isin("signup", "view"), "append").when(F.col("event_type") == "click", "tombstone").when(F.col("event_type") == "error", "purge").otherwise("restore")
+    log = t.events.select(F.col("user_id").alias("item"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), kind.alias("action"))
+    return L.heads(log)
+
+
+@query("""SELECT session, id, coalesce(lag(content) OVER w, '') || chr(10) || content || chr(10) || coalesce(lead(content) OVER w, '') AS frame FROM {evidence} WINDOW w AS (PARTITION BY session ORDER BY ordinal)""")
+def turn_window(t):
+    w = Window.partitionBy("session").orderBy("ordinal")
+    return t.evidence.select("session", "id", F.concat_ws("\n", F.coalesce(F.lag("content").over(w), F.lit("")), "content", F.coalesce(F.lead("content").over(w), F.lit(""))).alias("frame"))
+
+
+@query("""SELECT category, name, CAST(total AS BIGINT) AS total FROM (SELECT category, name, sum(length(name) + length(trigger) + 1) OVER (PARTITION BY category ORDER BY hit_count DESC, name) AS total FROM {entries} WHERE NOT pinned) WHERE total <= 2000""")
+def manifest_prefix(t):
+    rows = P.prefix_within(t.entries.where(~F.col("pinned")), ["category"], [F.desc("hit_count"), "name"], F.length("name") + F.length("trigger") + 1, 2000)
+    return rows.select("category", "name", "total")
+
+
+@query("""SELECT count(*) AS entries, count(*) FILTER (NOT pinned) AS loose, count(*) FILTER (category <> 'src0') AS facts, CAST(sum(length(name) + length(trigger) + 8) FILTER (NOT pinned) AS BIGINT) AS manifest, CAST(sum(char_count) FILTER (pinned AND name <> 'doc-0') AS BIGINT) AS pinned_chars FROM {entries}""")
+def store_counts(t):
+    size = F.length("name") + F.length("trigger") + 8
+    return t.entries.agg(F.count("*").alias("entries"), F.count_if(~F.col("pinned")).alias("loose"), F.count_if(F.col("category") != "src0").alias("facts"), F.sum(F.when(~F.col("pinned"), size)).cast("long").alias("manifest"), F.sum(F.when(F.col("pinned") & (F.col("name") != "doc-0"), F.col("char_count"))).alias("pinned_chars"))
+
+
+@query("""SELECT user_id, count(*) AS uses, max(ts) AS last_used FROM events GROUP BY 1""")
+def usage_rollup(t):
+    return t.events.groupBy("user_id").agg(F.count("*").alias("uses"), F.max("ts").alias("last_used"))
+
+
+@query("""WITH u AS (SELECT user_id AS id, count(*) AS more, max(ts) AS latest FROM events GROUP BY 1) SELECT e.id, hit_count + coalesce(more, 0) AS hit_count, greatest(updated_at, latest) AS last_used_at FROM {entries} e LEFT JOIN u USING (id)""")
+def usage_bump(t):
+    e = t.entries.select("id", "hit_count", F.col("updated_at").alias("last_used_at"))
+    return L.bump_usage(e, t.events.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at")), "id")
+
+
+@query("""WITH o AS (SELECT id, name, content, hit_count, created_at, CAST(1 AS BIGINT) AS revision FROM {entries} WHERE id % 2 = 0), n AS (SELECT id, 'new-' || id AS name, upper(category) AS content, CAST(0 AS BIGINT) AS hit_count, TIMESTAMP '2025-01-01' AS created_at, CAST(0 AS BIGINT) AS revision FROM {entries} WHERE id % 3 = 0)
+SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, md5(CASE WHEN n.id IS NOT NULL THEN n.content ELSE o.content END) AS content, coalesce(o.hit_count, n.hit_count) AS hit_count, coalesce(o.created_at, n.created_at) AS created_at,
+CASE WHEN n.id IS NOT NULL THEN coalesce(o.revision + 1, 1) ELSE o.revision END AS revision FROM o FULL JOIN n ON o.id = n.id""")
+def entry_upsert(t):
+    e = t.entries
+    old = e.where("id % 2 = 0").select("id", "name", "content", "hit_count", "created_at", F.lit(1).cast("long").alias("revision"))
+    new = e.where("id % 3 = 0").select("id", F.concat(F.lit("new-"), "id").alias("name"), F.upper("category").alias("content"), F.lit(0).cast("long").alias("hit_count"), F.lit("2025-01-01").cast("timestamp").alias("created_at"), F.lit(0).cast("long").alias("revision"))
+    return L.upsert(old, new, ["id"]).withColumn("content", F.md5(F.col("content").cast("binary")))
+
+
+@query("""WITH m AS (SELECT projection_id, evidence_id, min(side * 10 + source_order) AS place FROM (SELECT projection_id, evidence_id, 0 AS side, source_order FROM {lineage} WHERE source_order < 2 UNION ALL SELECT projection_id, evidence_id, 1, source_order FROM {lineage}) GROUP BY 1, 2)
+SELECT projection_id, evidence_id, row_number() OVER (PARTITION BY projection_id ORDER BY place, evidence_id) - 1 AS source_order FROM m""")
+def source_union(t):
+    return L.merge_refs(t.lineage.where("source_order < 2"), t.lineage)
+
+
+@query("""WITH gone AS (SELECT DISTINCT projection_id FROM {lineage} WHERE evidence_id IN (SELECT id FROM {evidence} WHERE state = 'tombstoned')) SELECT 'projection' AS what, id FROM {projections} WHERE id NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'evidence', id FROM {evidence} WHERE state <> 'tombstoned' UNION ALL SELECT 'lineage', projection_id || '<' || evidence_id || '<' || source_order FROM {lineage} WHERE projection_id NOT IN (SELECT * FROM gone)""")
+def purge_closure(t):
+    e = t.evidence
+    e2, p, s = L.purge(e, t.projections, t.lineage, e.where("state = 'tombstoned'").select(F.col("id").alias("evidence_id")))
+    kept = e2.where("content IS NOT NULL").select(F.lit("evidence").alias("what"), "id")
+    return p.select(F.lit("projection").alias("what"), "id").union(kept).union(s.select(F.lit("lineage"), F.concat_ws("<", "projection_id", "evidence_id", "source_order")))
+
+
+@query("""SELECT e.name, CASE WHEN NOT e.pinned AND w.id IS NOT NULL AND w.id <> e.id THEN w.name END AS superseded_by FROM {entries} e LEFT JOIN {entries} w ON w.id = e.id + 7 AND e.id % 5 = 0""")
+def supersede_entries(t):
+    e = t.entries.select("id", "name", "pinned", F.lit(None).cast("string").alias("superseded_by"))
+    decided = e.where("id % 5 = 0").select(F.col("name").alias("loser"), F.concat(F.lit("doc-"), F.col("id") + 7).alias("winner"))
+    return L.supersede(e, decided).select("name", "superseded_by")
+
+
+@query("SELECT evidence_id, string_agg(projection_id, ',' ORDER BY projection_id) AS episodes FROM {lineage} l JOIN {projections} p ON p.id = l.projection_id WHERE p.kind = 'episode' AND p.state = 'active' GROUP BY 1")
+def episode_reverse(t):
+    live = L.active(t.projections).where("kind = 'episode'")
+    return t.lineage.join(live, F.col("projection_id") == F.col("id"), "left_semi").groupBy("evidence_id").agg(F.array_join(F.sort_array(F.collect_list("projection_id")), ",").alias("episodes"))
+
+
+@query("""SELECT content, name FROM (SELECT md5(content) AS content, name, row_number() OVER (PARTITION BY content ORDER BY created_at, id) AS n FROM {entries}) WHERE n = 1""")
+def lookup_by_content(t):
+    best = t.entries.groupBy("content").agg(F.min_by("name", F.struct("created_at", "id")).alias("name"))
+    return best.select(F.md5(F.col("content").cast("binary")).alias("content"), "name")
+
+
+@query("""SELECT conv_id, CAST(grp AS BIGINT) AS grp, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM (SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM conversations) GROUP BY 1, 2""")
+def episode_ranges(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = t.conversations.withColumn("grp", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    return rows.groupBy("conv_id", "grp").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("turns"))
+
+
+@query()
+def session_chunks(t):
+    """A fold over each session: tests hold it against a plain version."""
+    return P.chunks(t.conversations, "conv_id", "turn", "text")
+
+
+@query()
+def pack_greedy(t):
+    items = F.sort_array(F.collect_list(F.struct("ordinal", "id", F.length("content").cast("long").alias("size"))))
+    return t.evidence.groupBy("session").agg(P.admit(items, 1200).alias("kept")).select("session", F.array_join(F.transform("kept", lambda x: x["id"]), ",").alias("kept"))
+
+
+@query()
+def max_coverage(t):
+    rows = t.tokens.groupBy("lang", F.col("doc_id").alias("id")).agg(F.collect_set("token").alias("items")).withColumn("position", F.col("id"))
+    rows = rows.groupBy((F.col("id") % 64).alias("topic")).agg(F.collect_list(F.struct("id", "position", "items")).alias("x")).select("topic", F.inline("x"))
+    return P.cover(rows, "topic")
+
+
+@query()
+def seed_clusters(t):
+    from tidemark.functions.text import char_grams, normal_form
+    from tidemark.operators.graph import seed_clusters as run
+
+    rows = t.conversations.select("conv_id", F.col("turn").alias("position"), F.col("turn").alias("id"), char_grams(normal_form("text")).alias("tokens"))
+    return run(rows, "conv_id")

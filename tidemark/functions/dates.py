@@ -33,7 +33,7 @@ def decay(start: Column, end: Column, low: Column, high: Column, tau_days: float
 def event_date(text: Column) -> Column:
     """yyyy-MM-dd, yyyy-MM or yyyy; null otherwise."""
     full = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01"))).when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01")))
-    return F.try_to_date(full, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(full, F.lit("yyyy-MM-dd")))
+    return F.to_date(F.try_to_timestamp(full, F.lit("yyyy-MM-dd")))
 
 
 def add_months_overflow(date: Column, months: int) -> Column:

@@ -10,7 +10,8 @@ def results(spark: SparkSession, path: str, schema: str, strict: bool = False) -
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     parsed = T._parse_datatype_string(schema).add("_bad", T.StringType())
-    rows = spark.read.schema(parsed).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", parsed, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     return rows.where("_bad IS NULL").drop("_bad")
 
 
@@ -25,7 +26,7 @@ def dialogue_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     Session keys vary by conversation, so that each is read as a map of JSON texts. Blank turns are dropped.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     items = raw.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("conv", "x"))
     talk = items.select("conv", F.from_json(F.col("x")["conversation"], "map<string,string>").alias("c"))
     sessions = talk.select("conv", "c", F.explode(F.map_keys("c")).alias("key")).where(F.col("key").rlike(r"^session_\d+$"))
@@ -42,7 +43,7 @@ def dialogue_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def session_json(spark: SparkSession, path: str) -> DataFrame:
     """Questions with their own sessions, in an array or an envelope (data, questions or items): one row for each turn."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     inner = F.coalesce(F.get_json_object("value", "$.data"), F.get_json_object("value", "$.questions"), F.get_json_object("value", "$.items"), F.col("value"))
     items = raw.select(F.explode(F.from_json(inner, "array<map<string,string>>")).alias("x"))
     sessions = items.select(F.col("x")["question_id"].alias("question_id"), F.col("x")["question"].alias("question"), F.col("x")["question_type"].alias("type"), F.from_json(F.col("x")["haystack_dates"], "array<string>").alias("dates"), F.posexplode(F.from_json(F.col("x")["haystack_sessions"], "array<string>")).alias("session", "s"))
@@ -97,6 +98,6 @@ def markdown(entries: DataFrame) -> DataFrame:
 
 def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     """Sections of Markdown files, cut at headings and rules: (file, nth, title, body)."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     parts = raw.select("file", F.posexplode(F.split("value", r"(?m)^(?=#{1,6} )|^-{3,}\s*$")).alias("nth", "part"))
     return parts.select("file", "nth", F.regexp_extract("part", r"^#{1,6} +([^\n]*)", 1).alias("title"), F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", "")).alias("body")).where("body <> '' OR title <> ''")

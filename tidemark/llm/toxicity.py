@@ -74,8 +74,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np
     """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    every = lambda k: np.bincount(np.concatenate([np.empty(0, np.int64), *[b for b, y in zip(bags, labels) if y == k]]), minlength=size)
-    clean, toxic = every(0), every(1)
+    clean, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for b, y in zip(bags, labels):
+        (toxic if y else clean)[b] += 1
     kept = (clean + toxic >= LEAST_TEXTS) & (clean <= MOST_CLEAN * max(1, (labels == 0).sum()))
     bags = [b[kept[b]] for b in bags]
     weight = np.where(labels == 1, TOXIC_MASS * max(1, (labels == 0).sum()) / max(1, (labels == 1).sum()), 1.0)
@@ -86,9 +87,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(bags)):
             at = bags[i]
-            if not len(at):
-                continue
-            scale = len(at) ** -0.5
+            scale = max(1, len(at)) ** -0.5  # a text without vectors still teaches the offsets
             h = e[at].sum(0) * scale
             z = h @ w + o
             p = np.exp(z - z.max())
@@ -131,7 +130,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     fitted = source.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, bag binary").toPandas()  # ids of about 2 * per_label rows
     fitted = fitted.sort_values(["doc_id", "label", "bag"])
     sample.unpersist()
-    bags = [np.frombuffer(b, np.int32).astype(np.int64) for b in fitted["bag"]]
+    bags = [np.frombuffer(b, np.int32) for b in fitted["bag"]]
     y = fitted["label"].to_numpy(np.int64)
     if len(y):
         gain, offset = train(bags, y)

@@ -13,9 +13,10 @@ posting, an inverted posting costs one and the mean length of the list that it s
 by document frequency, from counts of all shingles of all documents in SKETCH_BITS hashed
 counters, so that passages of many documents come last; any order gives the same result.
 
-Candidates of a list are first compared with one representative of their size; only members of
+Candidates of a list are first compared with a few representatives of their size; only members of
 different components found so are then compared with each other. Sets equal in all are one class
-from the start. Every candidate is compared exactly on its full sets of 64-bit shingle hashes.
+from the start. A pair whose histograms of shingle hashes bound its overlap too low is no link; every
+other candidate is compared exactly on its full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SKETCH_BITS = 21
 BLOCKS = 256
 BLOOM_BITS = 25
 MOST_LIGHT = 400
+HEADS = (8, 64)  # representatives of a list in each round
 _MIX = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -65,6 +67,22 @@ def digests(s: np.ndarray) -> tuple[int, int]:
     return one, two
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by their leading bits, of 8 to 16 in the mean; a power of two of them."""
+    bits = max(0, int(np.log2(max(1, len(s) / 8))))
+    at = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 65535).astype(np.uint16)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """What two sets can share at most, by their histograms; a full counter bounds nothing."""
+    if len(a) > len(b):
+        a, b = b, a
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    a[a == 65535] = b[b == 65535] = 1 << 40
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(1)).sum())
+
+
 def prefixes(n: int) -> tuple[int, int]:
     """Lengths of the probing and of the indexed prefix of a set of n shingles, for s = 1."""
     return n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
@@ -89,23 +107,23 @@ def _texts(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
 
 def _profile(batches, width):
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("hist", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
     seen = False
     for batch in batches:
         ids, texts = _texts(batch)
-        ns, d1, d2, held = [], [], [], []
+        ns, d1, d2, hist, held = [], [], [], [], []
         for s in shingle_sets(texts, width):
             one, two = digests(s)
-            ns.append(len(s)), d1.append(one), d2.append(two), held.append(s)
+            ns.append(len(s)), d1.append(one), d2.append(two), hist.append(histogram(s).tobytes()), held.append(s)
         if held:
             seen = True
             at = (np.concatenate(held) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
             counts += np.bincount(at, minlength=len(counts)).astype(np.uint32)
         k = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     if seen:
         for i, part in enumerate(np.split(counts, BLOCKS)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
 
 
 def _add_blocks(key, table):
@@ -181,6 +199,14 @@ def _bloom_bytes(batches):
         yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(3)).astype(np.int32)), pa.array((1 << (h & np.uint64(7)).astype(np.int32)).astype(np.int32))], schema=schema)
 
 
+def _bounded(batches):
+    """The pairs that may be linked by their histograms."""
+    for batch in batches:
+        n, m, x, y = (batch.column(i).to_pylist() for i in range(4, 8))
+        kept = [9 * overlap_bound(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)) >= 4 * (i + j) for i, j, a, b in zip(n, m, x, y)]
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(kept, pa.bool_()))
+
+
 def _matches(batches):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("linked", pa.bool_())])
     for batch in batches:
@@ -209,8 +235,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     work = Work(spark, "jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = work.write(source.mapInArrow(lambda it: _profile(it, width), "doc_id long, n long, d1 long, d2 long, block int, counts binary"), "profile")
-    known = profile.where("block IS NULL").select("doc_id", "n", "d1", "d2")
+    profile = work.write(source.mapInArrow(lambda it: _profile(it, width), "doc_id long, n long, d1 long, d2 long, hist binary, block int, counts binary"), "profile")
+    rows = profile.where("block IS NULL")
+    known = rows.select("doc_id", "n", "d1", "d2")
     # the sum of all tasks' counters, in two steps so that no task holds those of all others
     counters = profile.where("block IS NOT NULL").select("block", (F.spark_partition_id() % 64).alias("salt"), "counts")
     added = counters.groupBy("block", "salt").applyInArrow(_add_blocks, "block int, counts binary").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary")
@@ -221,36 +248,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = {r["n"]: r["k"] for r in known.where(F.col("n").between(2, MOST_LIGHT)).groupBy("n").agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(sizes, scanned)
 
-    classes = work.write(known.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.write(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("hist").alias("hist")), "classes")
     shared_level = spark.sparkContext.broadcast(level)
     postings = work.write(source.where("doc_id IS NOT NULL").mapInArrow(lambda it: _postings(it, width, shared_level.value, boundary), "key long, cls long, n int, ub int"), "postings")
     lists = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
     listed = work.write(postings.join(lists, "key").select("key", "cls", "n", "ub").distinct(), "listed")
     work.drop("postings")
 
-    # first each member of a list with one of its own size, then members of different components with each other
+    # members of a list with a few representatives of their size, then those of different components with each other
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    ranged = listed.withColumn("band", band)
-    heads = ranged.groupBy("key", "band").agg(F.min(F.struct("cls", "n", "ub")).alias("h"))
-    star = ranged.join(heads, ["key", "band"]).select(F.col("h.cls").alias("a"), F.col("cls").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb"), F.least("ub", "h.ub").alias("ub"))
-    star = star.where("a <> b AND 9 * ub >= 4 * (na + nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = work.write(_compared(work, source, classes, work.write(star, "star"), width, "1"), "tried1")
-    links = first.where("linked").select("src", "dst")
-    grouped = connected_components(links)
-    placed = listed.join(classes.select(F.col("d1").alias("cls"), "rep", F.col("n").cast("int").alias("n")), ["cls", "n"])
-    placed = placed.join(grouped, placed["rep"] == grouped["node"], "left").select("key", "rep", "cls", "n", "ub", F.coalesce("component", "rep").alias("group"))
-    mixed = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    open_ = work.write(placed.join(mixed, "key"), "open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "ub", "group")]) for s in "ab")
-    rest = x.join(y, "key").where("cls_a < cls_b AND group_a <> group_b AND 9 * least(ub_a, ub_b) >= 4 * (n_a + n_b)").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    rest = rest.join(spark.read.schema(star.schema).parquet(f"{work.path}/star"), ["a", "b"], "left_anti")
-    second = work.write(_compared(work, source, classes, work.write(rest, "rest"), width, "2"), "tried2")
-    links = links.union(second.where("linked").select("src", "dst"))
-    grouped = connected_components(links)
+    digest_of = classes.select(F.col("d1").alias("cls"), "rep", F.col("n").cast("int").alias("n"))
+    open_ = listed.withColumn("group", F.lit(None).cast("long"))
+    tried, links, grouped = [], None, None
+    for step in range(len(HEADS) + 1):
+        if step < len(HEADS):
+            pairs = _with_heads(open_.withColumn("band", band), step)
+        else:
+            x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "ub", "group")]) for s in "ab")
+            pairs = x.join(y, "key").where("cls_a < cls_b AND group_a <> group_b AND 9 * least(ub_a, ub_b) >= 4 * (n_a + n_b)").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = work.write(pairs, f"pairs{step}")
+        tried.append(pairs)
+        found = work.write(_compared(work, source, classes, pairs, width, str(step)), f"compared{step}").where("linked").select("src", "dst")
+        work.drop(f"sets{step}")
+        links = found if links is None else links.union(found)
+        grouped = connected_components(links)
+        if step == len(HEADS):
+            break
+        placed = listed.join(digest_of, ["cls", "n"])
+        placed = placed.join(grouped, placed["rep"] == grouped["node"], "left").select("key", "cls", "n", "ub", F.coalesce("component", "rep").alias("group"))
+        mixed = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+        open_ = work.write(placed.join(mixed, "key").select("key", "cls", "n", "ub", "group"), f"open{step}")
+        if open_.isEmpty():
+            break
 
     # copies and links together: a document's component is the least id of its class's component
     member = known.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep")
-    member = member.join(grouped, member["rep"] == grouped["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("class"))
+    member = member.join(grouped, member["rep"] == grouped["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("class"))
     repeated = member.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
     if repeated.isEmpty():
         return member.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
@@ -259,12 +294,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
 
 
+def _with_heads(listed: DataFrame, step: int) -> DataFrame:
+    """Pairs of each member of a list and band with some members of it that are not of its component.
+
+    The first round has HEADS[0] representatives, each least in an order of its own. A later one has more, of
+    lists with more members than the rounds before had representatives: what is left there are members
+    that are linked with few others of a group.
+    """
+    count = HEADS[step]
+    if step:
+        large = listed.groupBy("key", "band").agg(F.count("*").alias("k"), F.min("group").alias("lo"), F.max("group").alias("hi")).where((F.col("k") > HEADS[step - 1]) & F.expr("lo < hi"))
+        listed = listed.join(large.select("key", "band"), ["key", "band"])
+    orders = [F.min(F.struct(F.xxhash64(F.lit(100 * step + i), "cls").alias("h"), "cls", "n", "ub", "group")).alias(f"h{i}") for i in range(count)]
+    heads = listed.groupBy("key", "band").agg(F.count("*").alias("k"), *orders).where("k > 1")
+    each = F.array_distinct(F.array(*[F.struct(f"h{i}.cls", f"h{i}.n", f"h{i}.ub", f"h{i}.group") for i in range(count)]))
+    heads = heads.select("key", "band", F.explode(each).alias("h"))
+    met = listed.join(heads, ["key", "band"]).where("h.cls <> cls AND 9 * least(ub, h.ub) >= 4 * (h.n + n) AND coalesce(h.group <> group, true)")
+    return met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+
+
 def _compared(work: Work, source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
     """Whether the classes of each pair of digests are linked: (src, dst, linked), by class representatives."""
     spark = source.sparkSession
-    d = classes.select("d1", "rep")
-    reps = pairs.join(d.select(F.col("d1").alias("a"), F.col("rep").alias("src")), "a").join(d.select(F.col("d1").alias("b"), F.col("rep").alias("dst")), "b").where("src <> dst")
-    reps = work.write(reps, f"reps{name}")
+    d = classes.select("d1", "rep", "n", "hist")
+    one, two = (d.select(F.col("d1").alias(s), F.col("rep").alias(r), F.col("n").alias(f"n_{s}"), F.col("hist").alias(f"hist_{s}")) for s, r in (("a", "src"), ("b", "dst")))
+    near = pairs.join(one, "a").join(two, "b").where("src <> dst AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    near = near.select("a", "b", "src", "dst", "n_a", "n_b", "hist_a", "hist_b").mapInArrow(_bounded, "a long, b long, src long, dst long")
+    reps = work.write(near, f"reps{name}")
     ids = reps.select("src").union(reps.select("dst"))
     bits = ids.mapInArrow(_bloom_bytes, "at int, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits"))
     bloom = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.text import char_grams
 from tidemark.functions.vectors import cosine
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6  # of BM25
@@ -37,19 +36,26 @@ def bm25(entries: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("na
     """Keyword signal: entries that hold all phrases of a query as substrings, with their BM25 score.
 
     Document length is the number of character trigrams over all columns, a phrase's frequency its
-    overlapping occurrences, its document frequency the entries that hold it. Phrases are looked up by their
-    first trigram, so that no entry meets a phrase whose first three characters it lacks.
+    overlapping occurrences, its document frequency the entries that hold it. Each entry is scanned once for
+    all phrases of the batch; only those that it holds are counted and moved, without the text.
     """
     lowered = entries.select(F.col(key).alias("name"), *[F.lower(c).alias(f"c{i}") for i, c in enumerate(columns)])
     dl = sum((F.greatest(F.length(f"c{i}") - 2, F.lit(0)) for i in range(len(columns))), F.lit(0)).cast("double")
     stats = lowered.agg(F.count("*").cast("double").alias("n_docs"), F.avg(dl).alias("avgdl"))
     asked = phrases(queries)
-    distinct = asked.select("phrase").distinct().where(F.length("phrase") >= 3).withColumn("gram", F.substring("phrase", 1, 3))
-    grams = F.array_distinct(F.flatten(F.array(*[char_grams(f"c{i}") for i in range(len(columns))])))
-    wanted = distinct.agg(F.collect_set("gram").alias("wanted"))  # of the queries: a bounded set
-    posted = lowered.withColumn("dl", dl).crossJoin(F.broadcast(wanted)).withColumn("gram", F.explode(F.array_intersect(grams, "wanted"))).drop("wanted")
-    tf = sum((occurrences(F.col(f"c{i}"), F.col("phrase")) for i in range(len(columns))), F.lit(0))
-    found = posted.join(distinct, "gram").withColumn("tf", tf.cast("double")).where("tf > 0").select("name", "dl", "phrase", "tf")
+    # the phrases of the batch, one bounded row; a phrase below three characters matches nothing
+    wanted = asked.where(F.length("phrase") >= 3).agg(F.collect_set("phrase").alias("wanted"))
+    texts = [F.col(f"c{i}") for i in range(len(columns))]
+
+    def held(phrase):
+        some = F.lit(False)
+        for c in texts:
+            some = some | F.contains(c, phrase)
+        return some
+
+    posted = lowered.withColumn("dl", dl).crossJoin(F.broadcast(wanted)).withColumn("phrase", F.explode(F.filter("wanted", held))).drop("wanted")
+    tf = sum((occurrences(c, F.col("phrase")) for c in texts), F.lit(0))
+    found = posted.select("name", "dl", "phrase", tf.cast("double").alias("tf"))
     df = found.groupBy("phrase").agg(F.count("*").cast("double").alias("df"))
     hits = found.join(df, "phrase").join(asked, "phrase").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))

@@ -18,7 +18,7 @@ SQL["lineage"] = """SELECT conv_id || '/' || (turn // 2) AS projection_id, CAST(
  UNION ALL SELECT conv_id || '/' || (turn // 2) AS projection_id, CAST(2 AS BIGINT) AS source_order, conv_id || ':' || (turn - 2) AS evidence_id FROM conversations WHERE turn % 4 = 2"""
 SQL["runs"] = """SELECT d.doc_id AS question_id, d.lang AS category, l.quality = 1 AS control, l.toxic = 0 AS treatment, d.n_chars AS tokens, (d.doc_id * 37 % 101) / 100.0::DOUBLE AS score
  FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
-SQL["entities"] = """SELECT DISTINCT o_orderkey AS entry, lower(trim(p_brand)) AS entity FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"""
+SQL["entities"] = """SELECT DISTINCT o_orderkey AS entry, lower(trim(p_brand)) || ' ' || p_size AS entity FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"""
 SQL["queries"] = """SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings WHERE vec_id < 10"""
 SQL["tokens"] = """SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS token FROM documents"""
 
@@ -67,7 +67,7 @@ def runs(t) -> DataFrame:
 
 def entities(t) -> DataFrame:
     lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select(F.col("o_orderkey").alias("entry"), F.lower(F.trim("p_brand")).alias("entity")).distinct()
+    return lines.select(F.col("o_orderkey").alias("entry"), F.concat_ws(" ", F.lower(F.trim("p_brand")), "p_size").alias("entity")).distinct()
 
 
 def queries(t) -> DataFrame:

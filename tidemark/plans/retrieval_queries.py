@@ -150,22 +150,22 @@ def entity_co_edges(t):
 
 
 @query(f"""WITH {_CO}, df AS (SELECT entity, count(*) AS df FROM e GROUP BY 1), m AS (SELECT entity_a AS src, entity_b AS dst, weight FROM co UNION ALL SELECT entity_b, entity_a, weight FROM co),
-seed AS (SELECT entity, 1.0::DOUBLE / df AS score FROM df WHERE entity IN ('brand#11', 'brand#23')),
+seed AS (SELECT entity, 1.0::DOUBLE / df AS score FROM df WHERE entity IN ('brand#11 1', 'brand#23 2')),
 h1 AS (SELECT dst AS entity, sum(score * weight) AS score FROM seed JOIN m ON src = entity WHERE dst NOT IN (SELECT entity FROM seed) GROUP BY 1),
 h2 AS (SELECT dst AS entity, sum(score * weight) AS score FROM h1 JOIN m ON src = entity WHERE dst NOT IN (SELECT entity FROM seed) AND dst NOT IN (SELECT entity FROM h1) GROUP BY 1)
 SELECT entity, round(score, 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)""")
 def graph_walk2(t):
     e = t.entities
-    seeds = t.spark.createDataFrame([("brand#11",), ("brand#23",)], "entity string")
+    seeds = t.spark.createDataFrame([("brand#11 1",), ("brand#23 2",)], "entity string")
     walked = G.walk(seeds, G.co_edges(e), e.groupBy("entity").agg(F.count("*").alias("df")))
     return walked.select("entity", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_CO}, near AS (SELECT entity_b AS entity FROM co WHERE entity_a = 'brand#11' UNION SELECT entity_a FROM co WHERE entity_b = 'brand#11' UNION SELECT 'brand#11')
+@query(f"""WITH {_CO}, near AS (SELECT entity_b AS entity FROM co WHERE entity_a = 'brand#11 1' UNION SELECT entity_a FROM co WHERE entity_b = 'brand#11 1' UNION SELECT 'brand#11 1')
 SELECT entry, rank FROM (SELECT entry, row_number() OVER (ORDER BY count(*) DESC, entry) AS rank FROM e JOIN near USING (entity) GROUP BY entry) WHERE rank <= 120""")
 def cluster_sweep(t):
     e = t.entities
-    near = G.mirrored(G.co_edges(e)).where("src = 'brand#11'").select(F.col("dst").alias("entity")).union(t.spark.createDataFrame([("brand#11",)], "entity string")).distinct()
+    near = G.mirrored(G.co_edges(e)).where("src = 'brand#11 1'").select(F.col("dst").alias("entity")).union(t.spark.createDataFrame([("brand#11 1",)], "entity string")).distinct()
     swept = e.join(near, "entity").groupBy("entry").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "entry").limit(R.SWEEP_CAP)
     return swept.select("entry", F.row_number().over(Window.orderBy(F.desc("shared"), "entry")).cast("long").alias("rank"))
 

@@ -26,7 +26,7 @@ def char_grams(text, n: int = 3, short: str = "whole") -> Column:
     """Distinct n-grams of characters; a shorter text is one gram itself ("whole") or has none ("none")."""
     t = _col(text)
     # shifted arrays are joined: a substring by position would walk the text each time
-    chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    chars = F.split(t, "")
     runs = chars
     for k in range(1, n):
         runs = F.zip_with(runs, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda x, y: F.concat(x, y))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.work import Work
+
 
 def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, ratio_of_sizes: bool = True) -> DataFrame:
     """Pairs of keys with Jaccard similarity of their gram arrays of at least `least`: (a, b, similarity), a < b.
@@ -11,14 +13,16 @@ def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, ratio_of_siz
     Only the rarer grams of each set are joined: sets of n and m grams of that similarity share one of the
     first n - ceil(least * n) + 1 in any common order, here that of frequency. Candidates are then compared whole.
     """
-    sized = rows.select(F.col(key).alias("id"), F.array_distinct(grams).alias("grams")).where(F.size("grams") > 0)
+    # the sets are used three times: written once, since Catalyst would make them anew for each use
+    sized = Work(rows.sparkSession, "grams").write(rows.select(F.col(key).alias("id"), F.array_distinct(grams).alias("grams")), "sets").where(F.size("grams") > 0)
     items = sized.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     frequency = items.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = items.join(frequency, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
     kept = F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    prefix = ordered.select("id", "n", F.explode(kept).alias("g")).where("g.df > 1").select("id", "n", F.col("g.gram").alias("gram"))
-    a, b = prefix.select("gram", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "gram").where(F.col("a") < F.col("b"))
+    prefix = ordered.select("id", "n", F.posexplode(kept).alias("pos", "g")).where("g.df > 1").select("id", (F.col("n") - F.col("pos")).alias("left"), "n", F.col("g.gram").alias("gram"))
+    a, b = (prefix.select("gram", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("left").alias(f"left_{s}")) for s in "ab")
+    # a first common gram leaves room for enough others after it, or the pair is met at an earlier one
+    near = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("left_a", "left_b") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9))
     if ratio_of_sizes:
         near = near.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
     near = near.select("a", "b").distinct()

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -119,6 +120,29 @@ def test_secrets_query(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_whole():
+    scan = secrets.Scanner().scan
+    draw = random.Random(5)
+    text = lambda n, letters=string.ascii_letters + string.digits + "+/": "".join(draw.choice(letters) for _ in range(n))
+    # every line of a wrapped key, its short last one too, whether the word comes before or after it
+    lines = [text(64) for _ in range(24)] + [text(11) + "="]
+    for before, after in (("-----BEGIN PRIVATE KEY-----\n", "\n-----END"), ("see\n", "\n-----END PRIVATE KEY-----")):
+        pem = before + "\n".join(lines) + after
+        assert [pem[s:e] for s, e, _ in scan(pem)[1]] == lines
+    key = text(40)
+    for doc in (f"{key} is our secret", "token" + " of them" * 20 + f" {key}"):
+        assert [doc[s:e] for s, e, _ in scan(doc)[1]] == [key]
+    # keys of letters only; what a hex span leaves of a key
+    key = text(40, string.ascii_letters)
+    assert [s for s in scan(f"the auth value {key} here")[1]] == [(15, 55, "novel")]
+    head, rest = "0a1b2c3d" * 4, "Z" + text(29)
+    base, added = scan(f"auth {head}{rest} ok")
+    assert base == [(5, 37, "hex")] and added == [(37, 67, "novel")]
+    # words and names stay, and so does what is far from any sensitive word
+    assert not scan("the key of internationalization and getUserNameFromDatabaseConnection and CONFIGURATION_DIRECTORY")[1]
+    assert not scan(text(40) + " of them" * 40)[1]
+
+
 def plain_lm(rows):
     texts = [(i, WORD.findall((t or "").translate(LOW)) + [0]) for i, t in rows]
     seen = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]

@@ -1,7 +1,9 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Three base patterns give their spans in all cases. Beyond them, each run of key-like characters near
-a sensitive word is a candidate: its marginal compressed size is what a zstandard frame, primed with a
+a sensitive word, before or after it, is a candidate, and so are runs that follow one another with no word
+between, as the lines of a wrapped key do, where any of them is near one. What base spans leave of a candidate
+is measured by itself: its marginal compressed size is what a zstandard frame, primed with a
 dictionary of code and identifiers, grows by when the candidate follows its surroundings. Words, names
 and repeats cost little; a string that costs as much as random letters and digits is incompressible and is reported.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,8 +25,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?i:api|auth|bearer|cert|cred|key|login|passw|private|pwd|secret|sign|token)", re.ASCII)
-NEAR = 48  # characters before a candidate in which a sensitive word counts
-AROUND = 256  # characters of surroundings on each side
+WORD = re.compile(r"[^\W_]")
+TAIL = re.compile(r"""[\x20\t"',\\]*\r?\n[\x20\t"']*([A-Za-z0-9+/_=-]{1,15})(?=["',;]*\s*(?:-----END|\Z|\n))""")
+AROUND = 256  # characters of surroundings on each side, in which a sensitive word counts
 NOVEL = 0.65  # marginal compressed bytes per character from which a candidate is reported; random base 64 costs 0.75, joined identifiers 0.6 at most
 _WORDS = (
     "access account api application argument array async await base begin boolean buffer bytes cache callback catch char class client code config connection const constant "
@@ -58,6 +62,18 @@ class Scanner:
         cost = len(self.zstd.compress(around + candidate.encode("utf-8", "replace"))) - len(self.zstd.compress(around))
         return cost / len(candidate)
 
+    def novel(self, text: str, s: int, e: int) -> bool:
+        return self.novelty(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= NOVEL
+
+    def tail(self, text: str, chain, added) -> tuple[int, int] | None:
+        """The last line of a wrapped key, too short for a candidate: it follows two reported lines of one length, or one and comes before -----END."""
+        s, e = chain[-1]
+        m = TAIL.match(text, e)
+        if not m or not added or added[-1][:2] != (s, e):
+            return None
+        wrapped = len(chain) > 1 and added[-2:-1] == [(*chain[-2], "novel")] and chain[-2][1] - chain[-2][0] == e - s
+        return m.span(1) if wrapped or text[m.end() : m.end() + 16].lstrip("\"',; \t\r\n").startswith("-----END") else None
+
     def scan(self, text: str, raw: bytes | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans and added spans (start, end, kind), in code points, each by start and kind."""
         raw = (text.encode("utf-8", "replace") if raw is None else raw).lower()
@@ -68,19 +84,54 @@ class Scanner:
             base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
         base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
         base.sort(key=lambda x: (x[0], x[2]))
-        added = []
-        for m in CANDIDATE.finditer(text):
-            s, e = m.span()
-            token = m[0]
-            if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or not SENSITIVE.search(text, max(0, s - NEAR), s):
-                continue
-            if any(a < e and s < b for a, b, _ in base):
+        added, covered = [], _union(base)
+        for chain in _chains(text):
+            if not SENSITIVE.search(text, max(0, chain[0][0] - AROUND), chain[-1][1] + AROUND):
                 continue
-            if self.novelty(text[max(0, s - AROUND) : s], token, text[e : e + AROUND]) >= NOVEL:
-                added.append((s, e, "novel"))
+            for s, e in chain:
+                added += [(a, b, "novel") for a, b in _outside(s, e, covered) if self.novel(text, a, b)]
+            tail = self.tail(text, chain, added)
+            if tail:
+                added += [(a, b, "novel") for a, b in _outside(*tail, covered)]
         return [(s, e, KINDS[k]) for s, e, k in base], added
 
 
+def _chains(text: str) -> list[list[tuple[int, int]]]:
+    """Candidates, those that follow one another with no letter or digit between in one list."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        if out and not WORD.search(text, out[-1][-1][1], m.start()):
+            out[-1].append(m.span())
+        else:
+            out.append([m.span()])
+    return out
+
+
+def _union(base) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover, which are by start; both ascend."""
+    starts, ends = [], []
+    for s, e, _ in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _outside(s: int, e: int, covered) -> list[tuple[int, int]]:
+    """What the covered places leave of a candidate."""
+    starts, ends = covered
+    out = []
+    for k in range(bisect_right(ends, s), len(starts)):
+        if starts[k] >= e:
+            break
+        if starts[k] > s:
+            out.append((s, starts[k]))
+        s = ends[k]
+    return [*out, (s, e)] if s < e else out
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 

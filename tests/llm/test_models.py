@@ -59,6 +59,24 @@ def test_language_held_out(spark):
     assert not any(r["rejected"] for r in rows)
 
 
+def test_unlearned_languages_are_rejected(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL").orderBy("doc_id").collect()
+    learn, held = [r for r in rows if r["doc_id"] % 3], [r for r in rows if r["doc_id"] % 3 == 0]
+    model = langid.train(langid.counts([r["text"].encode() for r in learn]), [r["lang"] for r in learn])
+    rejected = lambda texts: [far for _, _, far in model.predict([t.encode() for t in texts])]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    draw = np.random.default_rng(3)
+    junk = [" ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 10))) for _ in range(n)) for n in (10, 100, 1000)]
+    for text in (polish, finnish, turkish, *junk):
+        assert rejected([text[:80], text, text * 20]) == [True] * 3
+    # learned languages stay, but for a few such as a licence in words of no other text
+    assert held and np.mean(rejected([r["text"] for r in held])) <= 0.005
+    short = [" ".join(r["text"].split()[:n]) for r in held for n in (3, 10, 30)]
+    assert np.mean(rejected([t for t in short if langid.has_letter(t.encode())])) <= 0.02
+
+
 def test_language_of_odd_texts(spark):
     schema = "doc_id long, text string, lang string, score int"
     train = [(i, "the cat and the dog ran over there " * 3, "en", 1) for i in range(9)] + [(20 + i, "der hund und die katze liefen dorthin " * 3, "de", 1) for i in range(9)]

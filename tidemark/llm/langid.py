@@ -3,7 +3,8 @@
 A text is the counts of its letters' n-grams of ORDERS bytes (words with their edges, letters folded),
 hashed to BUCKETS, in logarithmic TF times IDF and of unit length. Each language has several centroids, found
 by spherical k-means among its training texts; a text gets the language of the centroid of greatest cosine.
-Texts farther from every centroid than any usual training text are rejected.
+Texts farther from every centroid than nearly all training texts that are held back from the centroids are
+rejected; shorter ones, which are farther by nature, than nearly all of these thinned to as many different n-grams.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ BUCKETS = 4096
 ORDERS = (2, 3)
 CENTROIDS = 4  # of each language
 STEPS = 12
+FAR = 0.001  # quantile of the cosines of held-back training texts below which texts are rejected
+DRAWS = 1000  # thinned texts of each size at least
+LONG = 64  # different n-grams from which texts count as whole
 PER_LANG = 800  # training texts of each language at most
 SHARP = 24.0  # of the softmax over languages that gives the score
 UNKNOWN = "und"
@@ -66,51 +70,88 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, least: float):
+    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, least: np.ndarray):
         self.langs, self.idf, self.centroids, self.owner, self.least = langs, idf, centroids, owner, least
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float, bool]]:
         """Language, score and whether the text is rejected, of each text."""
         if not texts:
             return []
-        near = vectors(counts(texts), self.idf) @ self.centroids.T
+        tf = counts(texts)
+        near = vectors(tf, self.idf) @ self.centroids.T
+        least = self.least[lengths(tf)]
         best = np.stack([near[:, self.owner == k].max(1) for k in range(len(self.langs))], 1) if self.langs else np.zeros((len(texts), 0))
         out = []
-        for raw, sims in zip(texts, best):
+        for raw, sims, far in zip(texts, best, least):
             if not len(sims) or not has_letter(raw):
                 out.append((UNKNOWN, 0.0, True))
                 continue
             k = int(sims.argmax())
             p = np.exp(SHARP * (sims - sims[k]))
-            out.append((self.langs[k], float(1 / p.sum()), bool(sims[k] < self.least)))
+            out.append((self.langs[k], float(1 / p.sum()), bool(sims[k] < far)))
         return out
 
 
-def train(tf: np.ndarray, langs: list[str], seed: int = 11) -> Model:
-    """Fit IDF, the centroids of each language and the distance beyond which texts are rejected."""
-    names = sorted(set(langs))
-    if not names:
-        return Model([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
-    rng = np.random.default_rng(seed)
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
-    v = vectors(tf, idf)
-    label = np.array([names.index(x) for x in langs])
+def lengths(tf: np.ndarray) -> np.ndarray:
+    """Number of different n-grams of each text, in half powers of two."""
+    return np.floor(2 * np.log2(np.maximum((tf > 0).sum(1), 1))).astype(int)
+
+
+def centres(v: np.ndarray, label: np.ndarray, n: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of each of n languages by spherical k-means, and their languages."""
     found, owner = [], []
-    for k in range(len(names)):
+    for k in range(n):
         own = v[label == k]
         c = own[rng.choice(len(own), min(CENTROIDS, len(own)), replace=False)]
-        for _ in range(STEPS):
+        for _ in range(STEPS if len(own) else 0):
             to = (own @ c.T).argmax(1)
             c = np.stack([own[to == j].mean(0) if (to == j).any() else c[j] for j in range(len(c))])
             c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
         found.append(c)
         owner += [k] * len(c)
-    centroids = np.concatenate(found)
-    near = (v @ centroids.T).max(1)
-    # far out only: half of what the farthest texts with some words have
-    full = near[tf.sum(1) >= 20]
-    least = 0.5 * float(np.quantile(full, 0.001)) if len(full) else 0.0
-    return Model(names, idf, centroids.astype(np.float32), np.array(owner), min(least, 0.08))
+    return np.concatenate(found), np.array(owner)
+
+
+def bounds(tf: np.ndarray, v: np.ndarray, label: np.ndarray, n: int, idf: np.ndarray, rng) -> np.ndarray:
+    """Least cosine of each length: a low quantile of training texts, whole and thinned, to centroids of the other half."""
+    half = np.zeros(len(tf), int)
+    for k in range(n):
+        half[rng.permutation(np.flatnonzero(label == k))[::2]] = 1
+    at, near, whole = [], [], []
+    for h in range(2):
+        # a language of one text has no other half
+        rest = (half != h) | (np.bincount(label, minlength=n)[label] < 2)
+        c = centres(v[rest], label[rest], n, rng)[0]
+        held = tf[half == h].astype(np.int64)
+        whole.append((v[half == h] @ c.T).max(1)[(held > 0).sum(1) >= LONG])
+        if not len(held):
+            continue
+        many = np.repeat(held, -(-DRAWS // len(held)), 0)
+        for size in 2 ** np.arange(1, 13):
+            some = rng.binomial(many, np.minimum(1, size / np.maximum(many.sum(1, keepdims=True), 1))).astype(np.float32)
+            some = some[some.any(1)]
+            at.append(lengths(some))
+            near.append((vectors(some, idf) @ c.T).max(1))
+    at, near, whole = np.concatenate(at), np.concatenate(near), np.concatenate(whole)
+    least = np.zeros(2 * BUCKETS.bit_length())
+    for k in range(len(least)):
+        own = near[at == k]
+        least[k] = np.quantile(own, FAR) if len(own) >= DRAWS // 5 else least[k - 1] if k else 0.0
+    least = np.minimum.accumulate(least[::-1])[::-1]
+    return np.minimum(least, np.quantile(whole, FAR)) if len(whole) else least
+
+
+def train(tf: np.ndarray, langs: list[str], seed: int = 11) -> Model:
+    """Fit IDF, the centroids of each language and the distance beyond which texts are rejected."""
+    names = sorted(set(langs))
+    if not names:
+        return Model([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(2 * BUCKETS.bit_length()))
+    rng = np.random.default_rng(seed)
+    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
+    v = vectors(tf, idf)
+    label = np.array([names.index(x) for x in langs])
+    centroids, owner = centres(v, label, len(names), rng)
+    return Model(names, idf, centroids.astype(np.float32), owner, bounds(tf, v, label, len(names), idf, rng))
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, per_lang: int) -> Model:

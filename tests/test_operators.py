@@ -53,6 +53,20 @@ def test_near_duplicates(spark):
     assert got == {(a, b) for a in s for b in s if a < b and s[a] and s[b] and len(s[a] & s[b]) >= 0.7 * len(s[a] | s[b])}
 
 
+def test_vector_pairs_of_all_blocks(spark):
+    from tidemark.plans.catalogue import QUERIES
+
+    draw = random.Random(4)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None), (62, [1.0, 2.0])]
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    want = sorted((i, j) for i, x in rows[:60] for j, y in rows[:60] if i < j and cos(x, y) > 0.4)
+    got = neardup.vector_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.4, block=9).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == want
+    # pairs across labels, which vec_pairs_gt leaves out
+    sf = "/root/testdata/sf0.01"
+    assert QUERIES["vec_pairs_gt"](spark, sf).count() == 5 and QUERIES["vec_pairs_all"](spark, sf).count() == 59
+
+
 def test_fusion_and_quota(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, name string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "chunk-z", 2)], "query_id int, name string, rank int")

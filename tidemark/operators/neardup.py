@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.work import Work
 
+BLOCK = 4096  # vectors of one side of a comparison
+
 
 def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, ratio_of_sizes: bool = True) -> DataFrame:
     """Pairs of keys with Jaccard similarity of their gram arrays of at least `least`: (a, b, similarity), a < b.
@@ -29,3 +34,42 @@ def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, ratio_of_siz
     near = near.join(sized.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     same = F.size(F.array_intersect("ga", "gb"))
     return near.withColumn("similarity", same / (F.size("ga") + F.size("gb") - same)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+def vector_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
+    """All pairs of keys whose vectors have a cosine above `least`: (a, b, cos), a < b.
+
+    Every block of vectors meets every other and itself, by matrix products; no pair is left out. Null
+    vectors, and those of no length or of different length, are in no pair where `least` is 0 or more.
+    """
+    good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
+    blocks = max(1, -(-good.count() // block))
+    placed = good.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = other.select(F.least("own", "o").cast("int").alias("x"), F.greatest("own", "o").cast("int").alias("y"), "own", F.size("v").alias("dims"), "id", "v")
+    return cells.groupBy("x", "y", "dims").applyInArrow(lambda table: _cell(table, least), "a long, b long, cos double")
+
+
+def _cell(table: pa.Table, least: float) -> pa.Table:
+    """Pairs of one cell: of its two blocks with each other, or of one block with itself."""
+    ids = table["id"].to_numpy()
+    v = pc.list_flatten(table["v"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    own = table["own"].to_numpy()
+    left = own == table["x"][0].as_py()
+    right = own == table["y"][0].as_py()
+    ids_l, v_l, ids_r, v_r = ids[left], v[left], ids[right], v[right]
+    same = table["x"][0].as_py() == table["y"][0].as_py()
+    a, b, cos = [], [], []
+    for at in range(0, len(ids_l), 512):
+        c = v_l[at : at + 512] @ v_r.T
+        i, j = np.nonzero(c > least)
+        one, two = ids_l[at + i], ids_r[j]
+        # within a block each pair is met twice, and each vector meets itself
+        k = one < two if same else one != two
+        a.append(np.minimum(one, two)[k])
+        b.append(np.maximum(one, two)[k])
+        cos.append(c[i, j][k])
+    none = np.zeros(0)
+    return pa.table({"a": np.concatenate([none.astype(np.int64), *a]), "b": np.concatenate([none.astype(np.int64), *b]), "cos": np.concatenate([none, *cos])})

@@ -80,6 +80,13 @@ def vec_pairs_gt(t):
     return a.join(b, "label").where("a < b").withColumn("c", cosine(F.col("va"), F.col("vb"))).where("c > 0.4").select("a", "b", F.round("c", 6).alias("cos"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cos FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.4""")
+def vec_pairs_all(t):
+    """As vec_pairs_gt, across labels too."""
+    return neardup.vector_pairs(t.embeddings, "vec_id", "embedding", 0.4).select("a", "b", F.round("cos", 6).alias("cos"))
+
+
 # three signals over documents: keywords, length-based recency and vectors by id, as ranked lists
 _SIGNALS = f"""{_BM25}, s1 AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, name) AS rank FROM kw),
 s2 AS (SELECT query_id, name, rank FROM (SELECT query_id, 'doc-' || vec_id AS name, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec), 9) DESC, vec_id) AS rank FROM embeddings, ({{queries}}))),

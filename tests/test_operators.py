@@ -67,6 +67,16 @@ def test_vector_pairs_of_all_blocks(spark):
     assert QUERIES["vec_pairs_gt"](spark, sf).count() == 5 and QUERIES["vec_pairs_all"](spark, sf).count() == 59
 
 
+def test_overlay_of_many_centres(spark, tmp_path):
+    from tidemark.plans.catalogue import QUERIES
+
+    n = 300
+    rows = [(i, [1.0 if k == i % n else 0.0 for k in range(n)], i % n) for i in range(2 * n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["cluster_overlay"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["centre"]) for r in got) == [(i, i % n) for i in range(2 * n)]
+
+
 def test_fusion_and_quota(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, name string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "chunk-z", 2)], "query_id int, name string, rank int")

@@ -79,5 +79,6 @@ def seed_clusters(rows: DataFrame, group: str, bound: int = 8, floor: float = 0.
 
 def overlay(unclaimed: DataFrame, centres: DataFrame, similarity, least: float = 0.9) -> DataFrame:
     """Each unclaimed row's most similar centre of at least the floor; of equal ones the later."""
-    pairs = unclaimed.crossJoin(F.broadcast(centres)).withColumn("sim", similarity).where(F.col("sim") >= least)
+    # centres have no bound: the planner broadcasts them or joins blocks of both
+    pairs = unclaimed.crossJoin(centres).withColumn("sim", similarity).where(F.col("sim") >= least)
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("centre")))).where("rank = 1").select("id", "centre", "sim")

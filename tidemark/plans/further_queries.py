@@ -53,7 +53,7 @@ def embedding_drift(t):
 SELECT id, centre, round(sim, 6) AS sim FROM (SELECT vec_id AS id, centre, round(list_cosine_similarity(v, c), 9) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 9) DESC, centre DESC) AS rank FROM e, c WHERE list_cosine_similarity(v, c) >= 0.2) WHERE rank = 1""")
 def cluster_overlay(t):
     e = t.embeddings
-    centres = e.groupBy(F.col("label").alias("centre")).agg(F.min_by("embedding", "vec_id").alias("c")).limit(256)  # labels are few
+    centres = e.groupBy(F.col("label").alias("centre")).agg(F.min_by("embedding", "vec_id").alias("c"))
     return G.overlay(e.select(F.col("vec_id").alias("id"), "embedding"), centres, F.round(cosine(F.col("embedding"), F.col("c")), 9), 0.2).select("id", "centre", F.round("sim", 6).alias("sim"))
 
 

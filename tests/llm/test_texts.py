@@ -6,13 +6,17 @@ import math
 import random
 import re
 import string
+import tempfile
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import Row, functions as F
 
-from tidemark.llm import lm, mixing, secrets
+from tidemark.llm import lm, mixing, pieces as P, secrets
 from tidemark.llm.pieces import Pieces, encode_decode
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,24 +73,57 @@ def pieces():
     return Pieces(public.path("piece_bpe_32k.model"))
 
 
-@settings(max_examples=300, deadline=None)
-@given(text=st.text(st.sampled_from(" ▁\n\t\x00aébz日😀ﬁ́.,<s>/0"), max_size=30))
-def test_pieces_equal_the_library(pieces, text):
-    ids = pieces.sp.encode(text)
-    _, n, joined, spoken = pieces.encode_decode([text])[0]
-    assert (n, joined, spoken) == (len(ids), ",".join(map(str, ids)), pieces.sp.decode(ids)) and pieces.ids(text) == ids
+def looked_up(folder, pieces, texts, parts=3):
+    """Ids by a table that is made and read in this process."""
+    sent = {}
+    for batch in P._distinct([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})], parts):
+        sent.setdefault(batch["part"][0].as_py(), []).append(batch)
+    for p, own in sent.items():
+        list(P._segmented(folder, types.SimpleNamespace(value=pieces.sp.serialized_model_proto()))((pa.scalar(p),), iter(own)))
+    return P.Table(folder, parts, pieces.kind).ids([t or "" for t in texts])
 
 
-def test_pieces_query(spark, pieces):
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from(" ▁\n\t\x00aébz日😀ﬁ́.,<s>/0"), max_size=30), min_size=1, max_size=4))
+def test_pieces_equal_the_library(pieces, texts):
+    with tempfile.TemporaryDirectory() as folder:
+        for text, ids in zip(texts, looked_up(folder, pieces, texts)):
+            assert ids.tolist() == pieces.sp.encode(text)
+            assert b"".join(pieces.said[i] for i in ids)[1:].decode() == pieces.sp.decode(ids.tolist())
+
+
+def test_words_of_one_first_half(pieces, tmp_path, monkeypatch):
+    plain = P.hashes
+    monkeypatch.setattr(P, "hashes", lambda chunks: plain(chunks) & np.array([7, 2**64 - 1], np.uint64))
+    text = " ".join(f"w{i}" for i in range(300))
+    assert looked_up(str(tmp_path), pieces, [text], 1)[0].tolist() == pieces.sp.encode(text)
+
+
+def test_a_changed_text_is_no_silent_error(pieces, tmp_path):
+    looked_up(str(tmp_path), pieces, ["a few words"], 1)
+    with pytest.raises(ValueError, match="not in the table"):
+        P.Table(str(tmp_path), 1, pieces.kind).ids(["other"])
+
+
+@pytest.mark.parametrize("case", ["table", "full store", "whole texts"])
+def test_pieces_query(spark, pieces, monkeypatch, case):
     import public_tokenizers
 
-    rows = [(1, None), (2, ""), (2, " "), (None, "a  b"), (5, "lang " * 30_000), (6, "x" * 20_000)]
+    if case == "full store":  # words are sent and forgotten again and again
+        monkeypatch.setattr(P, "HELD_BYTES", 40)
+        monkeypatch.setattr(P, "PART_BYTES", 100)
+    if case == "whole texts":
+        monkeypatch.setattr(P.Pieces, "plain", property(lambda self: False, lambda self, x: None), raising=False)
+    rows = [(1, None), (2, ""), (2, " "), (None, "a  b"), (5, "lang " * 30_000), (6, "x" * 20_000), (7, "one two three four ﬁve 日本 😀"), (8, "two  two ")]
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
-    got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in encode_decode(docs, path).collect())
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     ids = [(i, pieces.sp.encode(t or "")) for i, t in rows]
     assert got == collections.Counter((i, len(x), sha(",".join(map(str, x))), sha(pieces.sp.decode(x))) for i, x in ids)
-    assert encode_decode(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model"), texts=True).count() == 0
+    full = encode_decode(docs.withColumn("ids", F.lit("x")), path, texts=True, keep=("text",))
+    assert sorted(map(str, full.select("doc_id", "ids", "decoded", "text").collect())) == sorted(str(Row(doc_id=i, ids=x, decoded=pieces.sp.decode(x), text=t)) for (i, t), (_, x) in zip(rows, ids))
+    assert encode_decode(docs.limit(0), path, texts=True).count() == 0
 
 
 def plain_scan(text):

@@ -25,7 +25,8 @@ STEPS = 12
 FAR = 0.001  # quantile of the cosines of held-back training texts below which texts are rejected
 DRAWS = 1000  # thinned texts of each size at least
 LONG = 64  # different n-grams from which texts count as whole
-PER_LANG = 800  # training texts of each language at most
+PER_LANG = 800  # training texts of each language about at most
+IN_ALL = 16_000  # training texts of all languages about at most
 SHARP = 24.0  # of the softmax over languages that gives the score
 UNKNOWN = "und"
 LETTERS = FOLD.copy()
@@ -155,10 +156,10 @@ def train(tf: np.ndarray, langs: list[str], seed: int = 11) -> Model:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, per_lang: int) -> Model:
-    """A model of the labelled texts outside the held-out fold, about per_lang of each language at most."""
+    """A model of the labelled texts outside the held-out fold, about per_lang of each language and IN_ALL of all at most."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    sample, _ = bounded_sample(known, "doc_id", "lang", per_lang)
+    sample = bounded_sample(known, "doc_id", "lang", per_lang, IN_ALL)
     rows = sample.mapInArrow(_sampled, "doc_id long, lang string, tf binary").toPandas().sort_values(["doc_id", "lang", "tf"])
     tf = np.stack([np.frombuffer(x, np.uint16) for x in rows["tf"]]).astype(np.float32) if len(rows) else np.zeros((0, BUCKETS), np.float32)
     return train(tf, rows["lang"].tolist())

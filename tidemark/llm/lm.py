@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import words
+from tidemark.llm.packed import pack, unpack
 from tidemark.llm.sampling import fold
 from tidemark.llm.shared_files import map_file, write_file
 from tidemark.llm.words import mix, utf8, word_hashes
@@ -29,28 +29,6 @@ HELD = 3 << 20  # distinct entries that a task keeps before it sends them
 END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A4700000000001)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned arrays of one length as compressed byte planes; the first is sorted and kept as differences."""
-    import zstandard
-
-    first = np.diff(arrays[0], prepend=arrays[0].dtype.type(0))
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in (first, *arrays[1:])]
-    return len(first).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    n = int.from_bytes(data[:8], "little")
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8) if n else np.empty(0, np.uint8), 0, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
-        at += n * size
-    out[0] = np.cumsum(out[0], dtype=kinds[0])
-    return out
-
-
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and the sums of their values."""
     order = np.argsort(keys, kind="stable")

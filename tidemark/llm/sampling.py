@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 GRAIN = 1 << 30
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, bound: int) -> tuple[DataFrame, dict]:
-    """About `bound` rows at most of each label, chosen by the hash of the key; and the share taken of each label.
+def bounded_sample(rows: DataFrame, key: str, label: str, bound: int, total: int | None = None) -> DataFrame:
+    """About `bound` rows at most of each label, chosen by the hash of the key; with total, about that many at most in all.
 
-    rows of equal keys are taken together. The number of labels must be small: a row of each is collected.
+    Rows of equal keys are taken together. The labels stay in a table: there may be any number of them.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    share = {k: min(1.0, bound / n) for k, n in counts.items()}
-    limit = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(int(s * GRAIN))) for k, s in share.items()], F.lit(0))
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(GRAIN)) < limit), share
+    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    if total is not None:
+        kinds = max(1, counts.count())
+        bound = max(1, min(bound, total // kinds))
+    limit = F.least(F.lit(1.0), F.lit(float(bound)) / F.col("__n")) * GRAIN
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(GRAIN))
+    return rows.join(counts, F.col(label).eqNullSafe(F.col("__label"))).where(place < limit.cast("long")).select(*rows.columns)
 
 
 def fold(key: str, parts: int):

@@ -61,7 +61,7 @@ def subwords(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             for k, part in enumerate(np.split(bucket, np.searchsorted(at, offsets[1:]))):
                 found[first + k].append(part)
     bags = [np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, np.int32), np.empty(0, np.int64)) for x in found]
-    return [(b, c.astype(np.uint32)) for b, c in bags]
+    return [(b, np.minimum(c, 65535).astype(np.uint16)) for b, c in bags]
 
 
 def drawn(bag: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,24 +108,27 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     if not clean or not toxic:
         return np.zeros(1 << BITS, np.float32), float(np.log((toxic + 1) / (clean + 1)))
     rng = np.random.default_rng(seed)
-    share = [(c / max(1, c.sum())).astype(np.float32) for _, c in bags]
+    many = [np.float32(1 / max(1, int(c.sum()))) for _, c in bags]
     weight = np.where(labels == 1, TOXIC_MASS * clean / toxic, 1.0)
     gain = _start(bags, labels)
-    mean = np.array([x @ gain[b] for (b, _), x in zip(bags, share)], float)
+    mean = np.array([k * (c @ gain[b]) for (b, c), k in zip(bags, many)], float)
     spread = mean.std() + 1e-9
     slope, offset = _line(mean / spread, labels, weight)
     gain *= slope / spread
     # the average is scaled so that one text's vectors have about the length of one vector
-    scale = 1 / (np.sqrt(np.mean([(x * x).sum() for x in share])) + 1e-12)
+    scale = 1 / (np.sqrt(np.mean([k * k * (c.astype(np.float32) ** 2).sum() for (_, c), k in zip(bags, many)])) + 1e-12)
     way = rng.normal(size=DIM).astype(np.float32)
     way /= np.linalg.norm(way)
-    e = rng.normal(0, 1e-3, (1 << BITS, DIM)).astype(np.float32)
-    e += np.outer(gain / scale, way)
+    e = rng.standard_normal((1 << BITS, DIM), np.float32)
+    e *= 1e-3
+    for k in range(DIM):
+        e[:, k] += gain * np.float32(way[k] / scale)
     w, o = np.stack([-way / 2, way / 2], 1), np.array([-offset / 2, offset / 2])
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(bags)):
-            b, x = bags[i][0], share[i]
+            b, c = bags[i]
+            x = c * many[i]
             h = scale * (x @ e[b])
             z = h @ w + o
             p = np.exp(z - z.max())
@@ -167,8 +170,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     fitted = source.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, bag binary").toPandas()
     fitted = fitted.sort_values(["doc_id", "label", "bag"])
     y = fitted["label"].to_numpy(np.int64)
-    bags = [unpack(b, np.uint32, np.uint32) for b in fitted.pop("bag")]
-    gain, offset = train([(b.astype(np.int32), c) for b, c in bags], y)
+    bags = [(b.view(np.int32), c) for b, c in (unpack(x, np.uint32, np.uint16) for x in fitted.pop("bag"))]
+    gain, offset = train(bags, y)
     shared = spark.sparkContext.broadcast((gain, offset))
 
     def run(batches):

@@ -105,14 +105,14 @@ def test_boundary_follows_cost():
 
 
 def canon(t):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").lower())).strip()
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())).strip()
 
 
 @pytest.mark.parametrize("rows_in_bucket", [512, 3])
 def test_fingerprints(spark, monkeypatch, rows_in_bucket):
     monkeypatch.setattr(P, "ROWS", rows_in_bucket)
     rng = random.Random(8)
-    rows = [(rng.randrange(-50, 10**9), t) for t in ["é A", "é a", "", None, "Hello\tworld", " hello world ", "ﬁ n", "FI N", "ß", "SS", "x" * 50_000, *[" ".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(60)]]]
+    rows = [(rng.randrange(-50, 10**9), t) for t in ["é A", "é a", "", None, "Hello\tworld", " hello world ", "ﬁ n", "FI N", "ß", "SS", "Straße", "STRASSE", "ΣΑΣ", "σασ", "ς", "İ", "ǅ", "\u00a0a\u2003b ", "x" * 50_000, *[" ".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(60)]]]
     assert len({i for i, _ in rows}) == len(rows)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")
     got = {r["doc_id"]: r for r in P.fingerprints(docs).collect()}
@@ -144,5 +144,7 @@ def test_clashing_fingerprints_are_compared(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(P, "digest", lambda canon: F.lit("00"))
+    rows = {r["doc_id"]: (r["near_edited"], r["near_next"], r["group_id"]) for r in P.fingerprints(spark.createDataFrame([(1, "abc"), (2, "ABC"), (3, "b")], "doc_id long, text string")).collect()}
+    assert rows == {1: (0.0, 0.0, 1), 2: (0.0, 1.0, 1), 3: (1.0, 0.0, 3)}
     got = {r["doc_id"]: r["group_id"] for r in P.exact_groups(spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "b ")], "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 2}

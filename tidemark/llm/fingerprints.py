@@ -1,6 +1,6 @@
 """Document fingerprints: canonical exact digests, in DataFrame operations only.
 
-The canonical form of a text is its NFKC form in lower case, normalised again, with each run of
+The canonical form of a text is its NFKC form with case folded, normalised again, with each run of
 white space folded to one space and none at the ends. Its fingerprint is two 64-bit xxhash values
 of different prefixes as 32 hexadecimal digits. Texts with equal fingerprints are compared by the
 bytes of their canonical forms before they count as equal.
@@ -17,16 +17,20 @@ ROWS = 512
 MARK_BITS = 24  # of the bounded bitmap of ids in shared buckets: 512 rows of 4 kB
 
 
-def normalised(text: Column) -> Column:
-    """NFKC form; ASCII texts are in that form already."""
-    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(composed)
+def _icu(of: str, method: str, text: Column, option: bool) -> Column:
+    return F.call_function("reflect", F.lit(f"com.ibm.icu.{of}"), F.lit(method), text, F.lit(option))
+
+
+def folded(text: Column) -> Column:
+    """NFKC form with full case folding, normalised again; for ASCII texts that is lower case."""
+    compose = lambda x: _icu("text.Normalizer", "compose", x, True)
+    whole = compose(_icu("lang.UCharacter", "foldCase", compose(text), True))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(whole)
 
 
 def canonical(text: Column) -> Column:
-    """Normalised, in lower case, white space folded; null is the empty text."""
-    lower = normalised(F.lower(normalised(F.coalesce(text, F.lit("")))))
-    return F.trim(F.regexp_replace(lower, r"[\s\p{Z}\x{85}]+", " "))
+    """Normalised, case and white space folded; null is the empty text."""
+    return F.trim(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[\s\p{Z}\x{85}]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -34,21 +38,26 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in (1, 2))))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None) -> DataFrame:
     """Groups of documents of one canonical text: (doc_id, fingerprint, group_id), one row per row of docs.
 
     group_id is the smallest id among documents whose canonical texts are equal byte for byte. Buckets of
     one document need no comparison; texts of the others alone are moved, once per task and distinct
     text. Null and empty texts form one group. A row without an id has a null group_id where it is alone.
+    Where two texts of one id have one fingerprint but other bytes, both rows have the least of their groups.
+    prints: written rows with the columns doc_id and fingerprint, which are returned with group_id added.
     """
     spark = docs.sparkSession
     work = Work(spark, "groups")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = work.write(source.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "prints")
-    buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("k"), F.min("doc_id").alias("least"))
+    if prints is None:
+        prints = work.write(source.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "prints")
+    buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("k"), F.min("doc_id").alias("least")).where("k > 1")
+    # a table of its own: joins with it share no exchange with an aggregate, so that a hot fingerprint can be split
+    buckets = work.write(buckets.select(F.col("fingerprint").alias("print"), "least"), "buckets")
     # which ids share a bucket, as a bitmap of fixed size by hashed id; a false hit only costs a comparison
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
-    shared = prints.join(buckets.where("k > 1").select("fingerprint"), "fingerprint")
+    shared = prints.join(buckets, F.col("fingerprint") == F.col("print"), "left_semi")
     marks = shared.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     marks = work.write(marks, "marks")  # at most 2^MARK_BITS / 32768 rows of 4 kB
     spot = source.withColumn("at", at).withColumn("page_of", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
@@ -57,11 +66,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = hit.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     compared = work.write(texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id")).select("fingerprint", "group_id", F.sha2("canon", 512).alias("bytes")), "compared")
     clash = compared.groupBy("fingerprint").agg(F.count("*").alias("texts")).where("texts > 1").select("fingerprint")
-    plain = prints.join(buckets.select("fingerprint", "least"), "fingerprint")
+    placed = prints.join(buckets, F.col("fingerprint") == F.col("print"), "left").withColumn("group_id", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("least"))).drop("print", "least")
     if clash.isEmpty():
-        return plain.select("doc_id", "fingerprint", F.col("least").alias("group_id"))
-    apart = texts.join(clash, "fingerprint").withColumn("bytes", F.sha2("canon", 512)).join(compared, ["fingerprint", "bytes"]).select("doc_id", "fingerprint", "group_id")
-    return plain.join(clash, "fingerprint", "left_anti").select("doc_id", "fingerprint", F.col("least").alias("group_id")).union(apart)
+        return placed
+    apart = texts.join(clash, "fingerprint").withColumn("bytes", F.sha2("canon", 512)).join(compared, ["fingerprint", "bytes"])
+    apart = apart.groupBy(F.col("doc_id").alias("own"), F.col("fingerprint").alias("print")).agg(F.min("group_id").alias("other"), F.lit(True).alias("clashes"))
+    placed = placed.join(apart, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("fingerprint") == F.col("print")), "left")
+    return placed.withColumn("group_id", F.when(F.col("clashes"), F.col("other")).otherwise(F.col("group_id"))).drop("own", "print", "other", "clashes")
 
 
 def _buckets(ids: DataFrame) -> tuple[Column, Column]:
@@ -92,7 +103,8 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
 
     Ids are cut at quantiles into ranges, and those evenly into buckets of about ROWS ids; the first rows
     of each bucket are also sent to the bucket before it, so that one shuffle by bucket finds every successor.
-    Rows of equal ids go in order of the values; rows without an id come last.
+    Rows of equal ids go in order of the first value; rows without an id come last, as one bucket, and so do the rows of
+    one repeated id: a table that is for the most part of these is sorted by one task there.
     """
     work = Work(docs.sparkSession, "successors")
     area, bucket = _buckets(docs.select("doc_id"))
@@ -107,7 +119,7 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
     rows = docs.withColumn("bucket", bucket).join(to, (F.col("bucket") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
     own, sent = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("sent")), F.struct(F.col("to").alias("at"), F.lit(1).alias("sent"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNotNull(), F.array(own, sent)).otherwise(F.array(own))))
-    order = Window.partitionBy("place.at").orderBy(F.col("place.sent"), F.col("doc_id").desc_nulls_last(), *values)
+    order = Window.partitionBy("place.at").orderBy(F.col("place.sent"), F.col("doc_id").desc_nulls_last(), values[0])
     for v in values:
         rows = rows.withColumn(f"next_{v}", F.lead(v).over(order))
     return rows.where("place.sent = 0").drop("bucket", "from", "head", "to", "place")
@@ -123,15 +135,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else 0. Null texts are empty; a lone row is its own successor; rows of equal ids have one group_id each,
     the least of their texts' groups.
     """
+    work = Work(docs.sparkSession, "fingerprints")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(source, ["text"]).withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
-    edited = F.concat(F.expr("left(text, CAST(n_chars AS INT) - cut)"), F.expr("left(next_text, cut)"))
-    rows = rows.withColumn("edited", edited)
-    for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"{name}_canon", canonical(F.col(name)))
-    prints = {name: digest(F.col(f"{name}_canon")) for name in ("text", "edited", "next_text")}
-    near = lambda other: ((prints["text"] == prints[other]) & (F.col("text_canon") == F.col(f"{other}_canon"))).cast("double")
-    out = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), prints["text"].alias("fingerprint"), prints["edited"].alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next_text").alias("near_next"))
-    groups = exact_groups(source).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
-    groups = groups.select(F.col("doc_id").alias("own"), F.col("fingerprint").alias("print"), "group_id")
-    return out.join(groups, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("fingerprint") == F.col("print")), "left").drop("own", "print")
+    # one canonical form of each text and one of each edited text: the next text's fingerprint comes with it
+    source = source.withColumn("fingerprint", digest(canonical(F.col("text"))))
+    rows = with_next(source, ["text", "fingerprint"]).withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
+    rows = rows.withColumn("edited", F.concat(F.expr("left(text, CAST(n_chars AS INT) - cut)"), F.expr("left(next_text, cut)")))
+    rows = rows.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
+    # bytes are compared only where fingerprints are equal
+    near = lambda other, print_: F.when(F.col("fingerprint") == F.col(print_), (canonical(F.col("text")) == canonical(F.col(other))).cast("double")).otherwise(0.0)
+    out = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited", "edited_fingerprint").alias("near_edited"), near("next_text", "next_fingerprint").alias("near_next"))
+    return exact_groups(source, prints=work.write(out, "prints"))

@@ -154,6 +154,31 @@ def test_few_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(20, 1, 1), (20, 2, 3), (20, 3, 2)]
 
 
+def test_huge_components(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(400, 6))
+    rows = [(i, (v[i] * 1e150).tolist()) for i in range(400)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hit = sum(len(set(got[q]) & set(exact(v, v[q], list(range(400)), q, 20))) for q in range(0, 400, 20))
+    assert hit >= 0.9 * 400
+
+
+def test_links_of_a_layer():
+    v = ann.completed(np.random.default_rng(2).normal(size=(1500, 8)))
+    links = ann.layer_links(v, None, 8, np.random.default_rng(0))
+    for i, own in enumerate(links):
+        own = own[own >= 0]
+        assert len(own) and i not in own and len(set(own.tolist())) == len(own)
+    seen, open_ = {0}, [0]
+    while open_:
+        new = set(links[open_].ravel().tolist()) - {-1} - seen
+        seen |= new
+        open_ = list(new)
+    assert len(seen) >= 0.99 * len(v)
+
+
 def test_recall_of_the_index():
     v = np.random.default_rng(1).normal(size=(4000, 24))
     graph, q = ann.Graph.build(v), v[::40]

@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Rows are dealt to shards of about SHARD vectors by the hash of their id. A shard's distinct vectors form a
-graph of layers: each layer holds about one in FANOUT nodes of that below, every node links to near
-nodes of its layer in diverse directions, and neighbours lie in flat arrays of fixed width. Links are
-chosen for the inner product: vectors are completed by one coordinate to equal length, so that the
-largest inner product is the nearest. A search goes from the top layer's entry down, a beam in each; the results of
-all shards are merged by their exact scores.
+Rows are dealt to shards by the hash of their id. A shard's distinct vectors form a graph of layers: each layer holds
+about one in FANOUT nodes of that below, every node links to near nodes of its layer in diverse directions, and neighbours
+lie in flat arrays of fixed width. Layers are built from the top by insertion: the nodes of the layer above come first, then
+the others in random order, in portions of a GROWTH-th of what is there, PORTION at most; each portion searches the graph so far
+for its neighbours, and those take it among theirs. Once all are there each node searches again. Links are chosen for the inner product: vectors are completed by one
+coordinate to equal length, so that the largest inner product is the nearest. A search goes from the top layer's entry down, a
+beam in each. Indexes and blocks of queries are files in the shared folder, which the tasks of a search map: a task for
+each pair of them; the results of all shards are merged by their exact scores.
 """
 
 from __future__ import annotations
@@ -14,75 +16,118 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.llm.shared_files import map_arrays, write_arrays
 from tidemark.work import Work
 
-SHARD = 16_384
+SHARD = 16_384  # vectors of a shard while the cluster has cores for more shards
+SHARD_BYTES = 64 << 20  # of the vectors of a shard, in doubles
 FANOUT = 16
-WIDTH = 32  # links of a node
-POOL = 64  # nearest nodes among which links are chosen
-BEAM = 128
+WIDTH = 32  # links of a node, half of them its own choice
+POOL = 64  # nearest nodes found among which links are chosen
+CORE = 256  # first nodes of a layer, which are all compared with each other
+GROWTH = 4
+PORTION = 512  # of nodes inserted at once, at most
+BEAM = 192
 UPPER_BEAM = 16
 STEP = 4  # nodes of a beam expanded at once
-QUERIES = 4_096  # of a task of one shard
+QUERIES = 4_096  # of a block
 
 
 def completed(v: np.ndarray) -> np.ndarray:
-    """Vectors of equal length whose first coordinates are the given ones."""
+    """Vectors of equal length whose first coordinates are the given ones, on the scale of the largest."""
+    v = v / np.abs(v).max()
     square = (v * v).sum(1)
     return np.concatenate([v, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1).astype(np.float32)
 
 
-def layer_links(v: np.ndarray, width: int) -> np.ndarray:
-    """Neighbours of each node of a layer, nearest first, -1 where there are fewer."""
-    n = len(v)
-    pool = min(POOL, n - 1)
-    out = np.full((n, width), -1, np.int32)
-    if pool < 1:
-        return out
-    forward = np.full((n, width // 2), -1, np.int32)
-    for at in range(0, n, 512):
-        part = v[at : at + 512]
-        m = len(part)
-        sims = part @ v.T
-        sims[np.arange(m), np.arange(at, at + m)] = -np.inf
-        near = np.argpartition(-sims, pool - 1, 1)[:, :pool]
-        value = np.take_along_axis(sims, near, 1)
+def diverse(v: np.ndarray, own: np.ndarray, near: np.ndarray, width: int) -> np.ndarray:
+    """Of candidates of each own vector (nodes, -1: none) up to width: those first that lie nearer to it than to one already
+    chosen, then the nearest of the others; nearest first."""
+    out = np.full((len(own), width), -1, np.int32)
+    for at in range(0, len(own), 256):
+        part = near[at : at + 256]
+        among = v[np.maximum(part, 0)]
+        value = np.where(part >= 0, np.einsum("ad,acd->ac", own[at : at + 256], among, optimize=True), -np.inf)
         order = np.argsort(-value, 1, kind="stable")
-        near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-        among = np.einsum("qad,qbd->qab", v[near], v[near], optimize=True)
-        # a candidate nearer to a link already kept than to the node adds no direction
-        kept = np.zeros((m, pool), bool)
-        count = np.zeros(m, int)
-        for j in range(pool):
-            covered = (kept & (among[:, j, :] > value[:, j, None])).any(1)
-            good = ~covered & (count < width // 2)
-            kept[:, j] = good
-            count += good
-        for j in range(pool):  # then the nearest of the others, up to the width
-            more = ~kept[:, j] & (count < width // 2)
+        part, value = np.take_along_axis(part, order, 1), np.take_along_axis(value, order, 1)
+        among = np.take_along_axis(among, order[:, :, None], 1)
+        between = among @ among.transpose(0, 2, 1)
+        kept, count = np.zeros(part.shape, bool), np.zeros(len(part), int)
+        for j in range(part.shape[1]):
+            covered = (kept & (between[:, j, :] > value[:, j, None])).any(1)
+            kept[:, j] = ~covered & (count < width) & (part[:, j] >= 0)
+            count += kept[:, j]
+        for j in range(part.shape[1]):
+            more = ~kept[:, j] & (count < width) & (part[:, j] >= 0)
             kept[:, j] |= more
             count += more
-        for i in range(m):
-            own = near[i][kept[i]]
-            forward[at + i, : len(own)] = own
-    # both directions: a node also takes the nearest of the nodes that link to it
-    src = np.repeat(np.arange(n), width // 2)
-    dst = forward.ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    value = np.einsum("ed,ed->e", v[src], v[dst])
-    order = np.lexsort((-value, dst))
-    src, dst = src[order], dst[order]
-    bounds = np.searchsorted(dst, np.arange(n + 1))
-    for i in range(n):
-        own = forward[i][forward[i] >= 0]
-        back = src[bounds[i] : bounds[i + 1]]
-        new = back[~np.isin(back, own)][: width - len(own)]
-        out[i, : len(own) + len(new)] = np.concatenate([own, new])
+        rows, cols = np.nonzero(kept)
+        out[at + rows, np.cumsum(kept, 1)[rows, cols] - 1] = part[rows, cols]
     return out
 
 
+def layer_links(v: np.ndarray, start, width: int, rng) -> np.ndarray:
+    """Neighbours of each node of a layer, -1 where there are fewer: its own choice, then the nearest of those that chose it.
+
+    v: the layer's vectors in order of insertion. start: of vectors, nodes of the layer from which to search, once
+    that many nodes are there: (how many, function).
+    """
+    n, half = len(v), width // 2
+    links = np.full((n, width), -1, np.int32)
+    back = np.full((n, half), -np.inf, np.float32)  # how near those are
+
+    def insert(new: np.ndarray, done: int) -> None:
+        """Give the new nodes links among the first done ones, and these links to them."""
+        if not len(new):
+            return
+        at = start[1](v[new]) if start and done >= start[0] else np.tile(np.linspace(0, done - 1, 4).astype(np.int64), (len(new), 1))
+        near = _beam(v[:done], links[:done], v[new], at, POOL)
+        near[near == new[:, None]] = -1
+        chosen = diverse(v, v[new], near, half)
+        taken = links[new, half:]
+        both = (taken[:, :, None] == chosen[:, None, :]).any(2)  # of a new choice that had chosen the node
+        links[new] = np.concatenate([chosen, np.where(both, -1, taken)], 1)
+        back[new] = np.where(both, -np.inf, back[new])
+        src, dst = np.repeat(new, half), links[new, :half].ravel().astype(np.int64)
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        fresh = ~(links[dst] == src[:, None]).any(1)  # each is a link of the other once
+        _take(links, back, src[fresh], dst[fresh], np.einsum("ed,ed->e", v[src[fresh]], v[dst[fresh]]), half)
+
+    done = min(n, CORE)
+    sims = v[:done] @ v[:done].T
+    np.fill_diagonal(sims, -np.inf)
+    links[:done, :half] = diverse(v, v[:done], np.argsort(-sims, 1, kind="stable")[:, : min(POOL, done - 1)], half) if done > 1 else -1
+    while done < n:
+        to = min(n, done + min(PORTION, max(1, done // GROWTH)))
+        insert(np.arange(done, to), done)
+        done = to
+    # once all are there, each looks again for neighbours: the first ones had few to choose from
+    for at in range(0, n if n > CORE else 0, PORTION):
+        insert(np.arange(at, min(n, at + PORTION)), n)
+    return links
+
+
+def _take(links: np.ndarray, back: np.ndarray, src: np.ndarray, dst: np.ndarray, value: np.ndarray, half: int) -> None:
+    """Let the nodes dst take src among the nearest that chose them."""
+    if not len(src):
+        return
+    order = np.lexsort((-value, dst))
+    src, dst, value = src[order], dst[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+    nth = np.arange(len(dst)) - np.repeat(first, np.diff(np.append(first, len(dst))))
+    some = nth < half
+    touched = dst[first]
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(dst))))
+    ids = np.concatenate([links[touched, half:], np.full((len(touched), half), -1, np.int32)], 1)
+    near = np.concatenate([back[touched], np.full((len(touched), half), -np.inf, np.float32)], 1)
+    ids[row[some], half + nth[some]], near[row[some], half + nth[some]] = src[some], value[some]
+    best = np.argsort(-near, 1, kind="stable")[:, :half]
+    links[touched, half:], back[touched] = np.take_along_axis(ids, best, 1), np.take_along_axis(near, best, 1)
+
+
 class Graph:
-    """Layers from the top down: nodes of each, their neighbours as numbers within the layer."""
+    """Layers from the top down: nodes of each in order of insertion, their neighbours as places in that order, and of
+    each layer but the last the places of its nodes in the one below, which are its first ones."""
 
     def __init__(self, nodes: list[np.ndarray], links: list[np.ndarray]):
         self.nodes, self.links = nodes, links
@@ -90,25 +135,33 @@ class Graph:
     @staticmethod
     def build(v: np.ndarray, seed: int = 3) -> "Graph":
         rng = np.random.default_rng(seed)
-        whole = completed(v)
-        nodes = [np.arange(len(v))]
-        while len(nodes[0]) > 4 * FANOUT:
-            below = nodes[0]
-            nodes.insert(0, np.sort(rng.choice(below, max(1, len(below) // FANOUT), replace=False)))
-        return Graph(nodes, [layer_links(whole[x], WIDTH) for x in nodes])
+        whole, order = completed(v), rng.permutation(len(v))
+        sizes = [len(v)]
+        while sizes[0] > 4 * FANOUT:
+            sizes.insert(0, max(1, sizes[0] // FANOUT))
+        graph = Graph([], [])
+        for size in sizes:  # the layers' nodes are the first of one order
+            nodes, above = order[:size], Graph(list(graph.nodes), list(graph.links))
+            start = (len(above.nodes[-1]), lambda q, g=above: np.maximum(g.places(whole, q, UPPER_BEAM), 0)) if above.nodes else None
+            graph.links.append(layer_links(whole[nodes], start, WIDTH, rng))
+            graph.nodes.append(nodes)
+        return graph
 
-    def search(self, v: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
-        """Nodes of largest inner product with each query, best first; -1 where there are fewer."""
-        v, q = v.astype(np.float32), q.astype(np.float32)
-        start = np.zeros((len(q), 1), np.int64)  # the entry: the first node of the top layer
+    def places(self, v: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
+        """Places in the last layer's order of the nodes of largest inner product with each query, best first; -1: none."""
+        start = np.zeros((len(q), 1), np.int64)  # the entry: the first node of all
         for depth, (nodes, links) in enumerate(zip(self.nodes, self.links)):
             last = depth == len(self.nodes) - 1
-            start = _beam(v[nodes], links, q, start, beam if last else UPPER_BEAM)
-            if not last:  # node numbers of the layer below
-                below = np.searchsorted(self.nodes[depth + 1], nodes[np.maximum(start, 0)])
-                start = np.where(start >= 0, below, -1)
+            held = v[nodes]
+            start = np.concatenate([_beam(held, links, q[a : a + 512], start[a : a + 512], beam if last else UPPER_BEAM) for a in range(0, len(q), 512)])
         return start
 
+    def search(self, v: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
+        """Nodes of largest inner product with each query, best first; -1 where there are fewer."""
+        v, q = (v / np.abs(v).max()).astype(np.float32), (q / np.abs(q).max(1, keepdims=True)).astype(np.float32)
+        at = self.places(v, q, beam)
+        return np.where(at >= 0, self.nodes[-1][np.maximum(at, 0)], -1)
+
 
 def _beam(v: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> np.ndarray:
     n, m = len(v), len(q)
@@ -122,6 +175,9 @@ def _beam(v: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, be
     ids[:, :k] = start[:, :k]
     sims[:, :k] = np.where(start[:, :k] >= 0, np.einsum("qd,qkd->qk", q, v[np.maximum(start[:, :k], 0)]), -np.inf)
     done[:, :k] = start[:, :k] < 0
+    for j in range(1, k):  # a node given twice starts once
+        twice = (ids[:, :j] == ids[:, j : j + 1]).any(1)
+        ids[twice, j], sims[twice, j], done[twice, j] = -1, -np.inf, True
     seen[rows, np.where(ids >= 0, ids, n)] = True
     while True:
         open_ = np.where(done, -np.inf, sims)
@@ -155,8 +211,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(v.isNotNull() & F.col("vec_id").isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
 
 
-def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
-    """One row for each shard: its distinct vectors, the k + 1 least ids of each, and the graph as flat arrays."""
+def build_index(rows: DataFrame, shards: int, k: int, folder: str) -> DataFrame:
+    """Write a file for each shard: its distinct vectors, the k + 1 least ids of each, and the graph as flat arrays."""
 
     def build(key, table):
         dim = len(table.column("v")[0])
@@ -168,49 +224,61 @@ def build_index(rows: DataFrame, shards: int, k: int) -> DataFrame:
         grouped = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[grouped], np.arange(len(first) + 1))
         held = [ids[grouped[a : min(b, a + k + 1)]] for a, b in zip(bounds[:-1], bounds[1:])]
-        graph = Graph.build(v[first])
-        as_bytes = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
-        return pa.table({
-            "shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "vectors": pa.array([as_bytes(v[first], np.float64)], pa.binary()),
-            "ids": pa.array([as_bytes(np.concatenate(held), np.int64)], pa.binary()), "counts": pa.array([as_bytes([len(x) for x in held], np.int32)], pa.binary()),
-            "nodes": pa.array([[as_bytes(x, np.int32) for x in graph.nodes]], pa.list_(pa.binary())), "links": pa.array([[as_bytes(x, np.int32) for x in graph.links]], pa.list_(pa.binary())),
-        })
+        v = v[first]
+        graph = Graph.build(v)
+        layers = {f"nodes{i}": x for i, x in enumerate(graph.nodes)} | {f"links{i}": x for i, x in enumerate(graph.links)}
+        counts = np.array([len(x) for x in held], np.int64)
+        write_arrays(f"{folder}/shard-{key[0].as_py()}", {"vectors": v, "ids": np.concatenate(held), "counts": counts, **layers})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "nodes": pa.array([len(v)], pa.int64())})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(build, "shard int, dim int, vectors binary, ids binary, counts binary, nodes array<binary>, links array<binary>")
-
-
-def search_index(index: DataFrame, queries: DataFrame, shards: int, parts: int, k: int, beam: int = BEAM) -> DataFrame:
-    """The k best of each shard for each query: (query_id, vec_id, score)."""
-
-    def search(left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            row = left.slice(0, 1).to_pylist()[0]
-            v = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-            ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            graph = Graph([np.frombuffer(x, np.int32).astype(np.int64) for x in row["nodes"]], [np.frombuffer(x, np.int32).reshape(-1, WIDTH) for x in row["links"]])
-            own = right.column("vec_id").to_numpy()
-            q = _matrix(right.column("v"), row["dim"])
-            for at in range(0, len(q), 256):
-                found = graph.search(v, q[at : at + 256], max(beam, k + 1))
-                for i, nodes in zip(range(at, at + 256), found):
-                    nodes = nodes[nodes >= 0]
-                    score = (v[nodes] * q[i]).sum(1)
-                    near = np.concatenate([ids[bounds[x] : bounds[x + 1]] for x in nodes])
-                    value = np.repeat(score, counts[nodes])
-                    value, near = value[near != own[i]], near[near != own[i]]
-                    best = np.lexsort((near, -value))[:k]
-                    out["query_id"] += [own[i]] * len(best)
-                    out["vec_id"] += near[best].tolist()
-                    out["score"] += value[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    # every part of the queries meets every shard: both sides are repeated by number, none is gathered
-    one = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    two = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return one.groupBy("shard", "part").cogroup(two.groupBy("shard", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, nodes long")
+
+
+def write_queries(queries: DataFrame, parts: int, folder: str) -> DataFrame:
+    """Write a file for each block of queries."""
+
+    def put(key, table):
+        dim = len(table.column("v")[0])
+        write_arrays(f"{folder}/queries-{key[0].as_py()}", {"ids": table.column("vec_id").to_numpy(), "vectors": _matrix(table.column("v"), dim)})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([table.num_rows], pa.int64())})
+
+    return queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(put, "part int, n long")
+
+
+def search_index(index: DataFrame, blocks: DataFrame, folder: str, k: int, beam: int = BEAM) -> DataFrame:
+    """The k best of each shard for each query: (query_id, vec_id, score).
+
+    index, blocks: the written shards and blocks of queries, whose pairs are the tasks; only their numbers are moved.
+    """
+
+    def search(batches):
+        for batch in batches:
+            for shard, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from one(map_arrays(f"{folder}/shard-{shard}"), map_arrays(f"{folder}/queries-{part}"))
+
+    def one(held, asked):
+        v, ids, counts = held["vectors"], held["ids"], held["counts"]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        layers = sum(x.startswith("nodes") for x in held)
+        graph = Graph([held[f"nodes{i}"] for i in range(layers)], [held[f"links{i}"] for i in range(layers)])
+        own, q = asked["ids"], asked["vectors"]
+        for at in range(0, len(q), 256):
+            out = {"query_id": [], "vec_id": [], "score": []}
+            for i, nodes in zip(range(at, at + 256), graph.search(v, q[at : at + 256], max(beam, k + 1))):
+                nodes = nodes[nodes >= 0]
+                score = (v[nodes] * q[i]).sum(1)
+                near = np.concatenate([ids[bounds[x] : bounds[x + 1]] for x in nodes])
+                value = np.repeat(score, counts[nodes])
+                value, near = value[near != own[i]], near[near != own[i]]
+                best = np.lexsort((near, -value))[:k]
+                out["query_id"] += [own[i]] * len(best)
+                out["vec_id"] += near[best].tolist()
+                out["score"] += value[best].tolist()
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+    pairs = index.select("shard").join(blocks.select("part"))  # numbers of files: one row for each task
+    return pairs.repartition("shard", "part").mapInArrow(search, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
@@ -221,18 +289,23 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     null, zero or hold null or non-finite components take no part, nor do those whose length differs from
     the usual one. Equal vectors are one node, so that copies never hide others. All candidates are
     returned where there are fewer than k; an empty table gives an empty result. Rows that repeat an
-    id are candidates each, and one query each, but none is its own neighbour.
+    id are candidates each, in one shard, and one query each, but none is its own neighbour. Other columns are ignored.
     """
-    work = Work(vectors.sparkSession, "ann")
+    spark = vectors.sparkSession
+    work = Work(spark, "ann")
     rows = usable(vectors, id_col, vector_col)
     kinds = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if kinds is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    rows = rows.where(F.size("v") == kinds["dim"])
-    shards = max(1, -(-kinds["count"] // shard))
+    n, dim = kinds["count"], kinds["dim"]
+    rows = rows.where(F.size("v") == dim)
+    # as few shards as their size allows, since each query visits all; more only while cores would be idle
+    shards = max(1, -(-8 * n * dim // SHARD_BYTES), min(-(-n // shard), spark.sparkContext.defaultParallelism))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    parts = max(1, -(-kinds["count"] // (every * QUERIES)))
-    index = work.write(build_index(rows, shards, k), "index")
-    found = search_index(index, queries, shards, parts, k, beam)
+    parts = max(1, -(-n // (every * QUERIES)))
+    folder = f"{work.path}/files"
+    index = work.write(build_index(rows, shards, k, folder), "index")
+    blocks = work.write(write_queries(queries, parts, folder), "blocks")
+    found = search_index(index, blocks, folder, k, beam)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

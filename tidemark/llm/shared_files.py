@@ -52,3 +52,30 @@ def _mapped(f) -> np.ndarray:
     if not os.fstat(f.fileno()).st_size:
         return np.empty(0, np.uint8)
     return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+
+
+def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Named arrays as one file that map_arrays maps: a JSON line of kinds and shapes, then each at a multiple of 64 bytes."""
+    import json
+
+    about = {k: [a.dtype.str, a.shape] for k, a in arrays.items()}
+    parts = [json.dumps(about).encode() + b"\n"]
+    size = len(parts[0])
+    for a in arrays.values():
+        parts += [bytes(-size % 64), np.ascontiguousarray(a).tobytes()]
+        size += len(parts[-2]) + len(parts[-1])
+    write_file(uri, b"".join(parts))
+
+
+def map_arrays(uri: str) -> dict[str, np.ndarray]:
+    import json
+
+    raw = map_file(uri)
+    at = bytes(raw[: 1 << 16]).index(b"\n") + 1
+    out = {}
+    for k, (kind, shape) in json.loads(bytes(raw[: at - 1])).items():
+        at += -at % 64
+        n = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out[k] = raw[at : at + n].view(kind).reshape(shape)
+        at += n
+    return out

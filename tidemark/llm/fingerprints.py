@@ -118,11 +118,10 @@ def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
     # the written table is small: the planner broadcasts it while it is below the session's threshold
     rows = docs.withColumn("bucket", bucket).join(to, (F.col("bucket") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
     own, sent = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("sent")), F.struct(F.col("to").alias("at"), F.lit(1).alias("sent"))
-    rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNotNull(), F.array(own, sent)).otherwise(F.array(own))))
-    order = Window.partitionBy("place.at").orderBy(F.col("place.sent"), F.col("doc_id").desc_nulls_last(), values[0])
-    for v in values:
-        rows = rows.withColumn(f"next_{v}", F.lead(v).over(order))
-    return rows.where("place.sent = 0").drop("bucket", "from", "head", "to", "place")
+    rows = rows.select(*docs.columns, F.inline(F.when(F.col("to").isNotNull(), F.array(own, sent)).otherwise(F.array(own))))
+    order = Window.partitionBy("at").orderBy("sent", F.col("doc_id").desc_nulls_last(), values[0])
+    after = F.lead(F.struct(*values)).over(order)  # one window for all: one shuffle
+    return rows.withColumn("next", after).where("sent = 0").select(*docs.columns, *[F.col(f"next.{v}").alias(f"next_{v}") for v in values])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ def event_date(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(full, F.lit("yyyy-MM-dd")))
 
 
-def add_months_overflow(date: Column, months: int) -> Column:
+def add_months_overflow(date: Column, months: Column | int) -> Column:
     """Calendar months added with days past the month's end carried over: 31 January and one month is 2 or 3 March."""
     first = F.add_months(F.trunc(date, "month"), months)
     return F.date_add(first, F.dayofmonth(date) - 1)

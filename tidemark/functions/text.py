@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Markers that results depend on.
 NEGATION_MARKERS = (" not ", "n't", " no ", " never ", "没有", "不是", "并非", "未")
@@ -13,6 +13,11 @@ ENTITY_STOP_WORDS = (
 )
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word boundaries \\b see ASCII letters, digits and _ as word characters, whatever the Java version."""
+    return pattern.replace(r"\b", r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))")
+
+
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -46,19 +51,16 @@ def words(text) -> Column:
     return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
+CJK_LETTERS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+
+
 def query_tokens(text) -> Column:
     """The whole normalised query, each ideograph or kana and each other run of letters and digits, distinct in order."""
     q = normal_form(text)
-    cjk = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-    runs = F.regexp_extract_all(q, F.lit(rf"[{cjk}]|[\p{{L}}\p{{Nd}}&&[^{cjk}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(q, F.lit(rf"[{CJK_LETTERS}]|[\p{{L}}\p{{Nd}}&&[^{CJK_LETTERS}]]+"), F.lit(0))
     return F.array_distinct(F.concat(F.array(q), runs))
 
 
-def script_runs(text) -> Column:
-    """Runs of ASCII word characters (with - and '), and of CJK characters, in order."""
-    return F.regexp_extract_all(_col(text), F.lit(r"[A-Za-z0-9_'-]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"), F.lit(0))
-
-
 def significant(text, stop: tuple[str, ...] = ()) -> Column:
     """Distinct runs of ASCII letters and digits or any character beyond ASCII, of three bytes or more, without stop words."""
     runs = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))
@@ -111,6 +113,17 @@ def sentences(text) -> Column:
     return F.filter(F.transform(raw, lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
 
 
+def sentence_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Sentences with their places in code points: (key, start, end, sentence), the end exclusive; ends of a piece are trimmed."""
+    pieces = rows.select(key, F.posexplode(F.split(F.col(text), r"(?<=[.!?。！？\n])")).alias("nth", "piece"))
+    upto = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    placed = pieces.withColumn("begin", (upto - F.length("piece")).cast("int"))
+    left = F.regexp_replace("piece", r"(?U)^\s+", "")
+    sentence = F.regexp_replace(left, r"(?U)\s+$", "")
+    start = F.col("begin") + F.length("piece") - F.length(left)
+    return placed.select(key, start.alias("start"), (start + F.length(sentence)).alias("end"), sentence.alias("sentence")).where("sentence <> ''")
+
+
 def json_object(text) -> Column:
     """From the first opening brace to the last closing one; null without."""
     return F.nullif(F.regexp_extract(_col(text), r"(?s)\{.*\}", 0), F.lit(""))

@@ -1,7 +1,9 @@
-"""Near duplicates by sets of grams: an equi-join on grams counts intersections; nothing meets that shares none."""
+"""Near duplicates by sets of grams and by vectors, in blocks: no pair that may be similar is left out."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,25 +14,106 @@ from tidemark.work import Work
 BLOCK = 4096  # vectors of one side of a comparison
 
 
-def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, ratio_of_sizes: bool = True) -> DataFrame:
+def text_grams(rows: DataFrame, key: str, text: str, n: int = 3, short: str = "whole") -> DataFrame:
+    """Sorted distinct n-grams of code points of each text as numbers: (key, grams); n is 3 at most, longer grams are hashed.
+
+    A text of fewer is one gram itself ("whole"), or has none; null is the empty text, which has none.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                if len(c) < n:
+                    c = c if short == "whole" else c[:0]
+                    out.append(np.array([sum((int(x) + 1) << 21 * i for i, x in enumerate(c)) & (2**63 - 1)], np.int64) if len(c) else np.empty(0, np.int64))
+                    continue
+                code = np.zeros(len(c) - n + 1, np.uint64)
+                for i in range(n):
+                    own = c[i : len(c) - n + 1 + i] + np.uint64(1)
+                    code = code + (own << np.uint64(21 * i)) if n <= 3 else (code ^ own) * np.uint64(0x9E3779B97F4A7C15) + (code >> np.uint64(29))
+                out.append(np.unique(code.view(np.int64)))
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "grams": pa.array(out, pa.list_(pa.int64()))})
+
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, grams array<long>")
+
+
+def _band(n, least: float):
+    """Sets of one similarity have sizes of one band or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / -math.log(least) + 1e-9).cast("int")
+
+
+def _width(band: int, least: float) -> int:
+    """Bits of a signature: some four for each gram of the band's largest sets."""
+    return 1 << max(10, min(16, math.ceil(math.log2(4 * least ** -(band + 1)))))
+
+
+def _signatures(batches, least: float):
+    for batch in batches:
+        out = []
+        for band, grams in zip(batch.column(2).to_pylist(), batch.column(3)):
+            h = (grams.values.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            bits = np.zeros(_width(band, least), np.uint8)
+            bits[h & np.uint64(len(bits) - 1)] = 1
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], names=["id", "n", "band", "sig", "own", "cells"])
+
+
+def _fold(sig: list[bytes], width: int) -> np.ndarray:
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 64), 0) for x in sig])
+
+
+def _cell_pairs(table: pa.Table, least: float) -> pa.Table:
+    """Pairs of one cell, of two blocks or of one with itself, whose sets may be similar.
+
+    Two sets have no fewer grams together than their signatures have bits, which bounds what they share.
+    """
+    ids, n, own = table["id"].to_numpy(zero_copy_only=False), table["n"].to_numpy().astype(np.int64), np.array(table["own"].to_pylist())
+    sig = table["sig"].to_pylist()
+    x, y = table["x"][0].as_py(), table["y"][0].as_py()
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    a, b = [], []
+    if len(left) and len(right):
+        width = min(len(sig[i]) for i in (left[0], right[0])) * 8
+        one, two = _fold([sig[i] for i in left], width), _fold([sig[i] for i in right], width)
+        for i, row in zip(left, one):
+            size = n[right]
+            near = np.flatnonzero((np.minimum(size, n[i]) >= least * np.maximum(size, n[i]) - 1e-9) & ((ids[right] > ids[i]) if x == y else True))
+            together = np.bitwise_count(two[near] | row).sum(1, dtype=np.int64)
+            most = n[i] + size[near] - together
+            good = near[most * (1 + least) >= least * (n[i] + size[near]) - 1e-6]
+            a += [min(ids[i], ids[j]) for j in right[good]]
+            b += [max(ids[i], ids[j]) for j in right[good]]
+    kind = table.schema.field("id").type
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+
+def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, block: int = 1024) -> DataFrame:
     """Pairs of keys with Jaccard similarity of their gram arrays of at least `least`: (a, b, similarity), a < b.
 
-    Only the rarer grams of each set are joined: sets of n and m grams of that similarity share one of the
-    first n - ceil(least * n) + 1 in any common order, here that of frequency. Candidates are then compared whole.
+    Grams are numbers or strings, which are hashed. Rows are dealt to blocks by the size of their sets, and blocks of
+    sizes that can be that similar meet: on signatures of bits, of which a pair's union bounds its intersection. What
+    is left is compared whole. The work is quadratic in the rows of a band of sizes, on some hundred bytes of each, and
+    no frequent gram gathers rows in a task. Keys are unique; null and empty sets are in no pair.
     """
-    # the sets are used three times: written once, since Catalyst would make them anew for each use
-    sized = Work(rows.sparkSession, "grams").write(rows.select(F.col(key).alias("id"), F.array_distinct(grams).alias("grams")), "sets").where(F.size("grams") > 0)
-    items = sized.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    frequency = items.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = items.join(frequency, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
-    kept = F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    prefix = ordered.select("id", "n", F.posexplode(kept).alias("pos", "g")).where("g.df > 1").select("id", (F.col("n") - F.col("pos")).alias("left"), "n", F.col("g.gram").alias("gram"))
-    a, b = (prefix.select("gram", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("left").alias(f"left_{s}")) for s in "ab")
-    # a first common gram leaves room for enough others after it, or the pair is met at an earlier one
-    near = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("left_a", "left_b") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9))
-    if ratio_of_sizes:
-        near = near.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
-    near = near.select("a", "b").distinct()
+    spark = rows.sparkSession
+    work = Work(spark, "grams")
+    g = F.col(grams) if "bigint" in dict(rows.dtypes)[grams] else F.transform(grams, lambda x: F.xxhash64(x))
+    sized = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(g)).alias("grams")).where("size(grams) > 0")
+    sized = work.write(sized.withColumn("n", F.size("grams")).withColumn("band", _band(F.size("grams"), least)), "sets")
+    parts = {r["band"]: max(1, -(-r["k"] // block)) for r in sized.groupBy("band").agg(F.count("*").alias("k")).collect()}  # a row for each band: some tens
+    if not parts:
+        return sized.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    split = F.element_at(F.create_map(*[F.lit(x) for band, k in parts.items() for x in (band, k)]), F.col("band"))
+    place = F.format_string("%08d:%08d", "band", F.pmod(F.xxhash64("id"), split).cast("int"))
+    others = F.create_map(*[x for band in parts for x in (F.lit(band), F.array(*[F.lit(f"{o:08d}:{i:08d}") for o in (band - 1, band, band + 1) for i in range(parts.get(o, 0))]))])
+    signed = sized.withColumn("own", place).select("id", "n", "band", "grams", "own", F.element_at(others, F.col("band")).alias("cells"))
+    signed = signed.mapInArrow(lambda it: _signatures(it, least), f"id {dict(sized.dtypes)['id']}, n int, band int, sig binary, own string, cells array<string>")
+    cells = signed.withColumn("o", F.explode("cells")).select(F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "own", "id", "n", "sig")
+    kind = dict(sized.dtypes)["id"]
+    near = work.write(cells.groupBy("x", "y").applyInArrow(lambda table: _cell_pairs(table, least), f"a {kind}, b {kind}"), "near")
     near = near.join(sized.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     same = F.size(F.array_intersect("ga", "gb"))
     return near.withColumn("similarity", same / (F.size("ga") + F.size("gb") - same)).where(F.col("similarity") >= least).select("a", "b", "similarity")

@@ -14,7 +14,7 @@ def prefix_within(rows: DataFrame, by: list[str], order: list, size: Column, bud
     return rows.withColumn("total", F.sum(size).over(w)).where(F.col("total") <= budget)
 
 
-def admit(items: Column, budget: int) -> Column:
+def admit(items: Column, budget: Column | int) -> Column:
     """Of an array of structs with a size, those admitted in order while they fit: one that does not is skipped."""
     start = F.struct(F.lit(0).cast("long").alias("total"), F.filter(items, lambda x: F.lit(False)).alias("kept"))
 

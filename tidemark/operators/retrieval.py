@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions import keywords as K
+from tidemark.functions.text import CJK_LETTERS, normal_form, query_tokens
 from tidemark.functions.vectors import cosine
+from tidemark.work import Work
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6  # of BM25
 RRF = 60
 DEFAULT_K = 8
 SWEEP_CAP, CLUSTER_CAP, EXPAND = 120, 200, 25
+RERANK_POOL, SEEDS = 50, 10
+WORDS = rf"[{CJK_LETTERS}]|[\p{{L}}\p{{Nd}}&&[^{CJK_LETTERS}]]+"
 
 
 def pool(k: int) -> int:
@@ -22,47 +27,60 @@ def top(df: DataFrame, by: list, order: list, k: int, rank: str = "rank") -> Dat
 
 
 def phrases(queries: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct phrases of each query: (query_id, phrase, n_phrases), ASCII runs in lower case; runs below three characters match nothing."""
-    runs = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), F.lower))
-    return queries.select("query_id", F.explode(runs).alias("phrase"), F.size(runs).alias("n_phrases"))
+    """The distinct phrases of each query that is a match: (query_id, phrase, n_phrases); those below three characters match nothing."""
+    asked = queries.where(K.mode(F.col(text)) == "match").select("query_id", K.phrases(F.col(text)).alias("p"))
+    return asked.select("query_id", F.explode("p").alias("phrase"), F.size("p").alias("n_phrases"))
+
+
+def postings(entries: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
+    """(name, token, n): how often each run of word characters occurs in an entry, in lower case."""
+    runs = F.concat(*[K.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    return entries.select(F.col(key).alias("name"), F.explode(runs).alias("token")).where(F.length("token") >= K.LEAST).groupBy("name", "token").agg(F.count("*").alias("n"))
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
-    """Overlapping occurrences of a phrase of letters and digits."""
+    """Overlapping occurrences of a phrase without special characters."""
     return F.regexp_count(text, F.concat(F.lit("(?="), phrase, F.lit(")")))
 
 
 def bm25(entries: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("name", "content"), key: str = "name") -> DataFrame:
     """Keyword signal: entries that hold all phrases of a query as substrings, with their BM25 score.
 
-    Document length is the number of character trigrams over all columns, a phrase's frequency its
-    overlapping occurrences, its document frequency the entries that hold it. Each entry is scanned once for
-    all phrases of the batch; only those that it holds are counted and moved, without the text.
+    Document length is the number of character trigrams over all columns, a phrase's frequency its overlapping
+    occurrences, its document frequency the entries that hold it. A phrase occurs inside a run of word characters only, so
+    that it is looked for in the distinct runs of all entries, by its first trigram, and its entries are found by an
+    equi-join with their runs: entries are read once, whatever the number of queries.
     """
-    lowered = entries.select(F.col(key).alias("name"), *[F.lower(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    dl = sum((F.greatest(F.length(f"c{i}") - 2, F.lit(0)) for i in range(len(columns))), F.lit(0)).cast("double")
-    stats = lowered.agg(F.count("*").cast("double").alias("n_docs"), F.avg(dl).alias("avgdl"))
+    some = Work(entries.sparkSession, "keywords")
+    posted = some.write(postings(entries, columns, key), "postings")
+    dl = sum((F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in columns), F.lit(0)).cast("double")
+    lengths = entries.select(F.col(key).alias("name"), dl.alias("dl"))
+    stats = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
     asked = phrases(queries)
-    # the phrases of the batch, one bounded row; a phrase below three characters matches nothing
-    wanted = asked.where(F.length("phrase") >= 3).agg(F.collect_set("phrase").alias("wanted"))
-    texts = [F.col(f"c{i}") for i in range(len(columns))]
-
-    def held(phrase):
-        some = F.lit(False)
-        for c in texts:
-            some = some | F.contains(c, phrase)
-        return some
-
-    posted = lowered.withColumn("dl", dl).crossJoin(F.broadcast(wanted)).withColumn("phrase", F.explode(F.filter("wanted", held))).drop("wanted")
-    tf = sum((occurrences(c, F.col("phrase")) for c in texts), F.lit(0))
-    found = posted.select("name", "dl", "phrase", tf.cast("double").alias("tf"))
+    wanted = asked.where(F.length("phrase") >= K.LEAST).select("phrase").distinct().withColumn("gram", F.substring("phrase", 1, 3))
+    # tokens that hold a phrase: by the phrase's first trigram, then as a whole
+    token = posted.select("token").distinct()
+    grams = token.select("token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substr("token", i, F.lit(3))))).alias("gram"))
+    held = grams.join(wanted, "gram").where(F.contains("token", "phrase")).select("token", "phrase", occurrences(F.col("token"), F.col("phrase")).alias("k"))
+    found = posted.join(held, "token").groupBy("name", "phrase").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("tf"))
     df = found.groupBy("phrase").agg(F.count("*").cast("double").alias("df"))
-    hits = found.join(df, "phrase").join(asked, "phrase").crossJoin(F.broadcast(stats))  # stats: one row
+    hits = found.join(df, "phrase").join(asked, "phrase").join(lengths, "name").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
     score = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "name", "n_phrases").agg(F.sum(score).alias("score"), F.count("*").alias("met")).where("met = n_phrases").select("query_id", "name", "score")
 
 
+def fragments(entries: DataFrame, queries: DataFrame, limit: int, key: str = "name", columns: tuple[str, ...] = ("name", "trigger", "content")) -> DataFrame:
+    """Fall-back signal of queries whose mode is like: entries that hold every fragment in some column, newest first: (query_id, name, rank).
+
+    Such queries have fragments that no index finds: each of them scans the entries.
+    """
+    asked = queries.where(K.mode(F.col("text")) == "like").select("query_id", F.transform(K.runs(F.col("text")), F.lower).alias("runs"))
+    rows = entries.select(F.col(key).alias("name"), "updated_at", F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]).alias("texts"))
+    met = rows.join(asked, F.forall("runs", lambda r: F.exists("texts", lambda x: F.contains(x, r))))
+    return top(met.select("query_id", "name", "updated_at"), ["query_id"], [F.desc("updated_at"), "name"], limit).select("query_id", "name", "rank")
+
+
 def like_match(entries: DataFrame, fragments: list[str], columns: tuple[str, ...] = ("name", "trigger", "content")) -> DataFrame:
     """Entries in which each fragment is part of some column, regardless of case."""
     every = F.lit(True)
@@ -74,11 +92,55 @@ def like_match(entries: DataFrame, fragments: list[str], columns: tuple[str, ...
     return entries.where(every)
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, key: str = "name", vec: str = "vec") -> DataFrame:
-    """Cosine of every stored vector with every query of a bounded batch, the best of each base name's shadows."""
+def semantic(vectors: DataFrame, queries: DataFrame, key: str = "name", vec: str = "vec", limit: int | None = None) -> DataFrame:
+    """Cosine of every stored vector with every query, the best of each base name's shadows: (query_id, name, cos).
+
+    Blocks of vectors meet blocks of queries in matrix products, so that neither side is gathered; with a limit only
+    the best of each query and block are passed on. Vectors of another length than the query's have a cosine of 0.
+    """
     base = F.regexp_replace(F.col(key), "#(query|alias)$", "")
-    pairs = vectors.select(base.alias("name"), F.col(vec).cast("array<double>").alias("v")).crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("q"))))
-    return pairs.select("query_id", "name", cosine(F.col("v"), F.col("q")).alias("cos")).groupBy("query_id", "name").agg(F.max("cos").alias("cos"))
+    scored = blocks_cosine(vectors.select(base.alias("name"), F.col(vec).cast("array<double>").alias("v")), queries.select("query_id", F.col("vec").cast("array<double>").alias("v")), limit)
+    return scored.groupBy("query_id", "name").agg(F.max("cos").alias("cos"))
+
+
+def blocks_cosine(left: DataFrame, right: DataFrame, limit: int | None, rows: int = 4096) -> DataFrame:
+    """(query_id, name, cos) of all pairs of left (name, v) and right (query_id, v), by blocks of about that many rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind, name = dict(right.dtypes)["query_id"], dict(left.dtypes)["name"]
+    parts_l, parts_r = (max(1, -(-n // rows)) for n in (left.count(), right.count()))
+    one = left.withColumn("l", F.pmod(F.xxhash64("name"), F.lit(parts_l)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts_r - 1))))
+    two = right.withColumn("r", F.pmod(F.xxhash64("query_id"), F.lit(parts_r)).cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(parts_l - 1))))
+
+    def unit(column, dims):
+        v = np.zeros((len(column), dims))
+        for i, x in enumerate(column.to_pylist()):
+            if x is not None and len(x) == dims and None not in x:
+                v[i] = x
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = {"query_id": [], "name": [], "cos": []}
+        lengths = {len(x) for x in b["v"].to_pylist() if x}
+        names = a["name"].to_numpy(zero_copy_only=False) if a.num_rows else np.empty(0, object)
+        sizes = np.array([len(x or ()) for x in b["v"].to_pylist()], int)
+        for dims in lengths if a.num_rows else ():
+            own = np.flatnonzero(sizes == dims)
+            c = unit(b["v"].take(pa.array(own)), dims) @ unit(a["v"], dims).T
+            ids = b["query_id"].take(pa.array(own)).to_pylist()
+            for i, row in zip(ids, c):
+                best = np.arange(len(row))
+                if limit is not None and len(row) > 4 * limit:  # shadows of one owner are three at most; ties with the last stay
+                    cut = np.partition(row, -3 * limit)[-3 * limit]
+                    best = np.flatnonzero(row >= cut - 1e-9)
+                out["query_id"] += [i] * len(best)
+                out["name"] += names[best].tolist()
+                out["cos"] += row[best].tolist()
+        return pa.table({"query_id": pa.array(out["query_id"], b.schema.field("query_id").type if b.num_rows else pa.int64()), "name": pa.array(out["name"], a.schema.field("name").type if a.num_rows else pa.string()), "cos": pa.array(out["cos"], pa.float64())})
+
+    return one.groupBy("l", "r").cogroup(two.groupBy("l", "r")).applyInArrow(lambda a, b: cell(a, b), f"query_id {kind}, name {name}, cos double")
 
 
 def fuse(signals: dict[str, DataFrame], order: list[str]) -> DataFrame:
@@ -122,3 +184,28 @@ def penalised(hits: DataFrame, factor: float, superseded: Column, exempt: Column
 def entity_counts(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity signal: distinct query tokens (query_id, token) that are entities of an entry."""
     return tokens.distinct().join(entities, tokens["token"] == entities["entity"]).groupBy("query_id", "entry").agg(F.count_distinct("token").alias("matched"))
+
+
+def entity_signal(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entity signal of query texts: distinct query tokens that are entities of an entry: (query_id, entry, matched)."""
+    tokens = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token")).where("token <> ''")
+    return entity_counts(tokens, entities)
+
+
+def whole_query_signal(queries: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities that a whole query names, by a token or as a sequence of words: cues (query_id, entity) and counts (query_id, entry, matched).
+
+    entities: (entry, entity, raw). A sequence is looked for among the query's words by its first one.
+    """
+    padded = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))
+    kinds = entities.select("entity", "raw").distinct()
+    run = F.filter(F.regexp_extract_all(normal_form(F.col("raw")), F.lit(WORDS), F.lit(0)), lambda w: w != "")
+    kinds = kinds.withColumn("run", run)
+    q = queries.select("query_id", normal_form(F.col("text")).alias("t"), query_tokens(F.col("text")).alias("tokens"))
+    q = q.withColumn("run", F.regexp_extract_all("t", F.lit(WORDS), F.lit(0)))
+    exact = q.select("query_id", F.explode("tokens").alias("entity")).join(kinds.select("entity").distinct(), "entity").select("query_id", "entity")
+    first = q.select("query_id", padded(F.col("run")).alias("line"), F.explode(F.array_distinct("run")).alias("first"))
+    phrase = first.join(kinds.where(F.size("run") > 0).select("entity", F.col("run")[0].alias("first"), padded(F.col("run")).alias("part")), "first").where(F.contains("line", "part")).select("query_id", "entity")
+    cues = exact.union(phrase).distinct()
+    counts = cues.join(entities.select("entry", "entity").distinct(), "entity").groupBy("query_id", "entry").agg(F.count("*").alias("matched"))
+    return cues, counts

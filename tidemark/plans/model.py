@@ -12,6 +12,7 @@ SQL["entries"] = """SELECT lang AS ns, doc_id AS id, 'doc-' || doc_id AS name, s
  TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 700 AS INTEGER)) AS created_at, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 700 + doc_id % 11 AS INTEGER)) AS updated_at FROM documents"""
 SQL["evidence"] = """SELECT conv_id AS session, conv_id || ':' || turn AS id, CAST(turn AS BIGINT) AS ordinal, role AS speaker, text AS content,
  CASE (conv_id * 7 + turn) % 10 WHEN 0 THEN 'tombstoned' WHEN 1 THEN 'purged' ELSE 'active' END AS state FROM conversations"""
+SQL["asked"] = """SELECT conv_id AS query_id, 'Compare ' || array_to_string(regexp_split_to_array(arg_min(text, turn), '[ \\t\\n]+')[1:2], ' ') || ' and then ' || array_to_string(regexp_split_to_array(arg_max(text, turn), '[ \\t\\n]+')[2:3], ' ') AS query FROM conversations GROUP BY 1"""
 SQL["projections"] = """SELECT conv_id AS session, conv_id || '/' || (turn // 2) AS id, CASE WHEN (conv_id + turn // 2) % 6 = 0 THEN 'stale' ELSE 'active' END AS state,
  CASE WHEN (turn // 2) % 3 = 2 THEN 'episode' ELSE 'atomic_fact' END AS kind, min(turn) AS first_turn FROM conversations GROUP BY ALL"""
 SQL["lineage"] = """SELECT conv_id || '/' || (turn // 2) AS projection_id, CAST(turn % 2 AS BIGINT) AS source_order, conv_id || ':' || turn AS evidence_id FROM conversations
@@ -19,7 +20,10 @@ SQL["lineage"] = """SELECT conv_id || '/' || (turn // 2) AS projection_id, CAST(
 SQL["runs"] = """SELECT d.doc_id AS question_id, d.lang AS category, l.quality = 1 AS control, l.toxic = 0 AS treatment, d.n_chars AS tokens, (d.doc_id * 37 % 101) / 100.0::DOUBLE AS score
  FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
 SQL["entities"] = """SELECT DISTINCT o_orderkey AS entry, lower(trim(p_brand)) || ' ' || p_size AS entity FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"""
-SQL["queries"] = """SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings WHERE vec_id < 10"""
+SQL["queries"] = """SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings WHERE vec_id % 100 = 0"""
+SQL["questions"] = """SELECT vec_id AS query_id, array_to_string(regexp_extract_all(text, '[A-Za-z]{5,}')[1:2], ' ') || coalesce(' ' || nullif(regexp_extract(text, '[A-Za-z]{12,}'), ''), '') AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0
+ UNION ALL SELECT * FROM (VALUES (1000001, 'anan'), (1000002, 'don''t stop'), (1000003, '東京 the'), (1000004, '日本語版 the'), (1000005, 'ouou!? The'), (1000006, ''), (1000007, 'ab')) x(query_id, text)"""
+SQL["doc_entities"] = """SELECT DISTINCT 'doc-' || doc_id AS entry, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS w FROM documents)"""
 SQL["tokens"] = """SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS token FROM documents"""
 
 
@@ -41,6 +45,30 @@ def evidence(t) -> DataFrame:
     )
 
 
+def asked(t) -> DataFrame:
+    """A question for each session, of words of its first and last turn."""
+    two = lambda text, k: F.array_join(F.slice(F.split(text, r"[ \t\n]+"), k, 2), " ")
+    ends = t.conversations.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
+    return ends.select("query_id", F.concat(F.lit("Compare "), two("a", 1), F.lit(" and then "), two("b", 2)).alias("query"))
+
+
+def candidates_all(t) -> DataFrame:
+    """Every turn of a session as a candidate of its question."""
+    return t.evidence.select(
+        F.col("session").alias("query_id"), F.concat(F.lit("c"), "ordinal").alias("id"), F.lit("raw_turn").alias("kind"), (F.col("ordinal") + 1).cast("int").alias("rank"), F.lit(1.0).alias("score"), F.col("content").alias("text"),
+        F.sha2("content", 256).alias("text_digest"), F.array("id").alias("source_ids"), F.col("ordinal").alias("place"), "state",
+    )
+
+
+def candidates(t) -> DataFrame:
+    """As candidates_all, of active turns alone."""
+    return t.candidates_all.where("state = 'active'").drop("state")
+
+
+def sources(t) -> DataFrame:
+    return t.evidence.select("id", "content", F.sha2("content", 256).alias("digest"), F.lit(None).cast("timestamp").alias("occurred_at"), "state")
+
+
 def projections(t) -> DataFrame:
     half = F.expr("turn div 2")
     rows = t.conversations.select(
@@ -71,8 +99,25 @@ def entities(t) -> DataFrame:
 
 
 def queries(t) -> DataFrame:
-    """Ten query vectors: a bounded table."""
-    return t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    """Every hundredth vector."""
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+#: Questions of the forms that the keyword plan tells apart: overlapping, illegal and short runs, CJK, marks, none.
+ODD_QUESTIONS = [(1000001, "anan"), (1000002, "don't stop"), (1000003, "東京 the"), (1000004, "日本語版 the"), (1000005, "ouou!? The"), (1000006, ""), (1000007, "ab")]
+
+
+def questions(t) -> DataFrame:
+    """A question for every hundredth id, of words of its document, and the odd ones."""
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    words = F.concat_ws(" ", F.array_join(F.slice(found("[A-Za-z]{5,}"), 1, 2), " "), F.try_element_at(found("[A-Za-z]{12,}"), F.lit(1)))
+    own = t.queries.select("query_id").join(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id").select("query_id", words.alias("text"))
+    return own.union(t.spark.createDataFrame(ODD_QUESTIONS, "query_id long, text string"))
+
+
+def doc_entities(t) -> DataFrame:
+    w = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{12,}"), F.lit(0)))
+    return t.documents.select(F.concat(F.lit("doc-"), "doc_id").alias("entry"), w.alias("raw")).select("entry", F.lower("raw").alias("entity")).distinct().withColumn("raw", F.col("entity"))
 
 
 def tokens(t) -> DataFrame:

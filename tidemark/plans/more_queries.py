@@ -4,26 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.functions import intent, text as T
+from tidemark.functions import text as T
 from tidemark.operators import retrieval as R
 from tidemark.plans.registry import query
 
-_STATES = "['latest', 'current', 'previous', 'changed', 'change', 'conflict']"
-
-
-@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter({_STATES}, lambda m: contains(lower(text), m)), lambda m: CASE m WHEN 'changed' THEN 'change' ELSE m END))), '|') AS state,
-array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b'), list_filter(['after', 'before', 'between', 'since', 'until', 'last', 'next', 'today', 'yesterday', 'tomorrow'], lambda m: contains(lower(text), m))))), '|') AS times FROM conversations""")
-def need_parse(t):
-    return t.conversations.select("conv_id", "turn", intent.update_state(F.col("text")).alias("state"), F.array_join(intent.time_constraints(F.col("text")), "|").alias("times"))
-
-
-@query()
-def temporal_intent(t):
-    """Unicode word lists and month names: tests hold the parser against expected windows."""
-    w = intent.temporal_window(F.col("text"), F.lit("2025-03-12").cast("date"))
-    return t.conversations.select("conv_id", "turn", w.alias("w")).select("conv_id", "turn", "w.*")
-
-
 @query("SELECT session, id, ordinal FROM {evidence} WHERE state = 'active'")
 def evidence_active(t):
     return t.evidence.where("state = 'active'").select("session", "id", "ordinal")

@@ -4,32 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.functions.text import char_grams, normal_form
+from tidemark.functions import keywords as K
+from tidemark.functions.text import normal_form
 from tidemark.functions.vectors import cosine
 from tidemark.operators import graph as G, neardup, retrieval as R
 from tidemark.plans.registry import query
 
-# the batch of keyword queries: frequent stems of the documents, none of which overlaps itself, so that SQL can count them by removal
-ASKED = [(1, "tion thing"), (2, "ment pour"), (3, "heit"), (4, "worthless"), (5, "the and"), (6, "ould"), (7, "ab")]
-_ASKED_SQL = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in ASKED) + ") AS asked(query_id, text)"
-_PHRASES = f"SELECT DISTINCT query_id, lower(p) AS phrase FROM (SELECT query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS p FROM {_ASKED_SQL})"
-_BM25 = f"""phr AS ({_PHRASES}), np AS (SELECT query_id, count(*) AS n_phrases FROM phr GROUP BY 1),
+_CJK = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}"
+_PLAN = rf"""runs AS (SELECT query_id, text, regexp_extract_all(text, '[A-Za-z0-9_''-]+|[{_CJK}]+') AS r FROM {{questions}}),
+plan AS (SELECT query_id, r, CASE WHEN len(r) = 0 THEN 'none' WHEN len(list_filter(r, lambda x: regexp_matches(x, '^[{_CJK}]') AND length(x) < 3)) > 0 THEN 'like' WHEN len(list_filter(r, lambda x: regexp_matches(x, '[''-]'))) > 0 THEN 'none' ELSE 'match' END AS mode FROM runs)"""
+_BM25 = f"""{_PLAN}, phr AS (SELECT DISTINCT query_id, phrase FROM (SELECT query_id, unnest(list_distinct(flatten(list_transform(r, lambda x: CASE WHEN regexp_matches(x, '^[{_CJK}]') THEN list_transform(range(1, length(x) - 1), lambda i: substr(x, CAST(i AS INTEGER), 3)) ELSE [lower(x)] END)))) AS phrase FROM plan WHERE mode = 'match')),
+np AS (SELECT query_id, count(*) AS n_phrases FROM phr GROUP BY 1),
 e AS (SELECT doc_id, 'doc-' || doc_id AS name, lower('doc-' || doc_id) AS c0, lower(text) AS c1, greatest(length('doc-' || doc_id) - 2, 0) + greatest(length(text) - 2, 0) AS dl FROM documents),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM e),
-tf AS (SELECT name, dl, phrase, (length(c0) - length(replace(c0, phrase, '')) + length(c1) - length(replace(c1, phrase, ''))) / CAST(length(phrase) AS DOUBLE) AS tf
-  FROM e, (SELECT DISTINCT phrase FROM phr WHERE length(phrase) >= 3) WHERE contains(c0, phrase) OR contains(c1, phrase)),
+hit AS (SELECT name, dl, phrase, c0, c1 FROM e, (SELECT DISTINCT phrase FROM phr WHERE length(phrase) >= 3) WHERE contains(c0, phrase) OR contains(c1, phrase)),
+tf AS (SELECT name, dl, phrase, CAST(len(list_filter(range(1, length(c1) - length(phrase) + 2), lambda i: substr(c1, CAST(i AS INTEGER), length(phrase)) = phrase)) + len(list_filter(range(1, length(c0) - length(phrase) + 2), lambda i: substr(c0, CAST(i AS INTEGER), length(phrase)) = phrase)) AS DOUBLE) AS tf FROM hit),
 dfs AS (SELECT phrase, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT p.query_id, name, count(*) AS met, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM phr p JOIN tf USING (phrase) JOIN dfs USING (phrase), st GROUP BY 1, 2),
 kw AS (SELECT b.query_id, name, score FROM bm b JOIN np USING (query_id) WHERE met = n_phrases)"""
 
 
-def _asked(t):
-    return t.spark.createDataFrame(ASKED, "query_id int, text string")
+def _keyword(t):
+    return R.bm25(t.entries, t.questions)
 
 
-def _keyword(t):
-    return R.bm25(t.entries, _asked(t))
+@query(f"WITH {_PLAN} SELECT query_id, mode, array_to_string(r, '|') AS runs FROM plan")
+def kw_plan(t):
+    return t.questions.select("query_id", K.mode(F.col("text")).alias("mode"), F.array_join(K.runs(F.col("text")), "|").alias("runs"))
+
+
+@query(f"""WITH {_PLAN}, e AS (SELECT 'doc-' || doc_id AS name, doc_id, CASE WHEN doc_id % 9 = 0 THEN '東京 THE ' || text ELSE text END AS text FROM documents),
+f AS (SELECT query_id, name, doc_id FROM plan JOIN e ON len(list_filter(r, lambda x: NOT contains(lower(text), lower(x)) AND NOT contains(name, lower(x)))) = 0 WHERE mode = 'like')
+SELECT * FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 700 + doc_id % 11 DESC, name) AS rank FROM f) WHERE rank <= 100""")
+def kw_fragments(t):
+    e = t.entries
+    put = e.withColumn("content", F.when(F.col("id") % 9 == 0, F.concat(F.lit("東京 THE "), "content")).otherwise(F.col("content")))
+    return R.fragments(put, t.questions, 100).select("query_id", "name", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, name, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, name) AS rank FROM kw) WHERE rank <= 20")
@@ -60,15 +71,16 @@ def _vectors(t):
 
 @query(f"WITH {_VEC} SELECT query_id, name, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, name) AS rank FROM sem) WHERE rank <= 10")
 def vec_maxpool(t):
-    hits = R.top(R.semantic(_vectors(t), t.queries), ["query_id"], [F.desc(F.round("cos", 9)), "name"], 10)
+    hits = R.top(R.semantic(_vectors(t), t.queries, limit=10), ["query_id"], [F.desc(F.round("cos", 9)), "name"], 10)
     return hits.select("query_id", "name", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH vq AS ({queries}) SELECT query_id, vec_id, round(cos, 6) AS cos, rank FROM (SELECT query_id, vec_id, cos, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, vec_id) AS rank
 FROM (SELECT query_id, vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec) AS cos FROM embeddings, vq)) WHERE rank <= 10""")
 def vec_topk(t):
-    pairs = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).crossJoin(F.broadcast(t.queries))
-    hits = R.top(pairs.select("query_id", "vec_id", cosine(F.col("v"), F.col("vec")).alias("cos")), ["query_id"], [F.desc(F.round("cos", 9)), "vec_id"], 10)
+    rows = t.embeddings.select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
+    pairs = R.blocks_cosine(rows, t.queries.select("query_id", F.col("vec").alias("v")), 10)
+    hits = R.top(pairs.withColumnRenamed("name", "vec_id"), ["query_id"], [F.desc(F.round("cos", 9)), "vec_id"], 10)
     return hits.select("query_id", "vec_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -87,22 +99,27 @@ def vec_pairs_all(t):
     return neardup.vector_pairs(t.embeddings, "vec_id", "embedding", 0.4).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
-# three signals over documents: keywords, length-based recency and vectors by id, as ranked lists
+# three signals over documents: keywords, vectors by id and entities, as ranked lists
 _SIGNALS = f"""{_BM25}, s1 AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, name) AS rank FROM kw),
 s2 AS (SELECT query_id, name, rank FROM (SELECT query_id, 'doc-' || vec_id AS name, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec), 9) DESC, vec_id) AS rank FROM embeddings, ({{queries}}))),
-u AS (SELECT query_id, name, 's1' AS s, rank FROM s1 WHERE rank <= 100 UNION ALL SELECT query_id, name, 's2' AS s, rank FROM s2 WHERE rank <= 100),
-f AS (SELECT query_id, name, coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (s = 's1')), 0) + coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (s = 's2')), 0) AS score FROM u GROUP BY 1, 2)"""
+qt AS (SELECT DISTINCT query_id, unnest(list_concat([lower(text)], regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM {{questions}}),
+s3 AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, name) AS rank FROM (SELECT query_id, entry AS name, count(DISTINCT token) AS matched FROM qt JOIN {{doc_entities}} ON token = entity GROUP BY 1, 2)),
+u AS (SELECT query_id, name, 's1' AS s, rank FROM s1 WHERE rank <= 100 UNION ALL SELECT query_id, name, 's2' AS s, rank FROM s2 WHERE rank <= 100 UNION ALL SELECT query_id, name, 's3' AS s, rank FROM s3),
+f AS (SELECT query_id, name, coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (s = 's1')), 0) + coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (s = 's2')), 0) + coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (s = 's3')), 0) AS score FROM u GROUP BY 1, 2)"""
 
 
 def _signals(t):
-    kw = R.top(_keyword(t).withColumn("query_id", F.col("query_id").cast("long")), ["query_id"], [F.desc(F.round("score", 9)), "name"], R.pool(8))
-    pairs = t.embeddings.crossJoin(F.broadcast(t.queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("vec")).alias("cos"))
+    kw = R.top(_keyword(t), ["query_id"], [F.desc(F.round("score", 9)), "name"], R.pool(8))
+    rows = t.embeddings.select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
+    pairs = R.blocks_cosine(rows, t.queries.select("query_id", F.col("vec").alias("v")), R.pool(8)).withColumnRenamed("name", "vec_id")
     vec = R.top(pairs, ["query_id"], [F.desc(F.round("cos", 9)), "vec_id"], R.pool(8)).withColumn("name", F.concat(F.lit("doc-"), "vec_id"))
-    return {"bm25": kw, "vec": vec}
+    matched = R.entity_signal(t.questions, t.doc_entities).withColumnRenamed("entry", "name")
+    ent = matched.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("matched"), "name")))
+    return {"bm25": kw, "vec": vec, "ent": ent}
 
 
 def _fused(t):
-    return R.fuse(_signals(t), ["bm25", "vec"])
+    return R.fuse(_signals(t), ["bm25", "vec", "ent"])
 
 
 @query(f"WITH {_SIGNALS} SELECT query_id, name, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM f) WHERE rank <= 10")
@@ -177,17 +194,18 @@ def cluster_sweep(t):
     return swept.select("entry", F.row_number().over(Window.orderBy(F.desc("shared"), "entry")).cast("long").alias("rank"))
 
 
-_GRAMS = """g AS (SELECT doc_id, list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, CAST(i AS INTEGER), 3))) AS s FROM
- (SELECT conv_id * 1000 + turn AS doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) AS x FROM conversations) WHERE length(x) >= 3),
-it AS (SELECT doc_id, unnest(s) AS gram FROM g), sz AS (SELECT doc_id, len(s) AS n FROM g),
-prs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM it a JOIN it b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+_GRAMS = """g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(x) - 1, 2)), lambda i: substr(x, CAST(i AS INTEGER), 3))) AS s FROM
+ (SELECT id AS doc_id, trim(regexp_replace(lower(name || chr(10) || trigger || chr(10) || content), '[ \\t\\n\\r]+', ' ', 'g')) AS x FROM {entries} WHERE NOT pinned)),
+it AS (SELECT doc_id, unnest(s) AS gram FROM g), ids AS (SELECT gram, row_number() OVER () - 1 AS i FROM (SELECT DISTINCT gram FROM it)),
+sz AS (SELECT doc_id, count(*) AS n, bitstring_agg(CAST(i AS INTEGER), 0, 65535) AS bits FROM it JOIN ids USING (gram) GROUP BY 1),
+prs AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(a.bits & b.bits) AS c FROM sz a JOIN sz b ON a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)),
 nd AS (SELECT a, b, c / CAST(x.n + y.n - c AS DOUBLE) AS similarity FROM prs JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE c / CAST(x.n + y.n - c AS DOUBLE) >= 0.7)"""
 
 
 def _near(t):
-    """All turns, as facts."""
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), normal_form("text").alias("x")).where(F.length("x") >= 3)
-    return neardup.gram_pairs(rows.select("doc_id", char_grams("x").alias("grams")), "doc_id", "grams", 0.7)
+    """All entries that are not pinned, by the trigrams of name, trigger and content."""
+    rows = t.entries.where(~F.col("pinned")).select(F.col("id").alias("doc_id"), normal_form(F.concat_ws("\n", "name", "trigger", "content")).alias("x"))
+    return neardup.gram_pairs(neardup.text_grams(rows, "doc_id", "x"), "doc_id", "grams", 0.7)
 
 
 @query(f"WITH {_GRAMS} SELECT a, b, round(similarity, 6) AS similarity FROM nd")

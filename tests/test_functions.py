@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors
-from tidemark.operators.evaluation import mcnemar_p, t_point
+from tidemark.operators.evaluation import exact_p, t_point
 from tidemark.operators.packing import LIMIT, TARGET, pack
 
 
@@ -67,8 +67,15 @@ def test_vectors(spark):
 
 
 def test_statistics(spark):
-    assert mcnemar_p(5, 5) == 1 and mcnemar_p(0, 0) == 1
-    assert mcnemar_p(0, 5) == pytest.approx(2 / 32)
+    from fractions import Fraction
+    from math import comb
+
+    pairs = [(0, 0), (5, 5), (0, 5), (7, 2), (40, 61), (1000, 900), (3, 4000), (250_000, 251_000)]
+    got = {(r["b"], r["c"]): r["p"] for r in spark.createDataFrame(pairs, "b long, c long").select("b", "c", exact_p("b", "c").alias("p")).collect()}
+    for b, c in pairs[:-1]:
+        want = Fraction(2 * sum(comb(b + c, i) for i in range(min(b, c) + 1)), 2 ** (b + c)) if b != c else 1
+        assert got[b, c] == pytest.approx(float(min(1, want)), rel=1e-9)
+    assert got[250_000, 251_000] == pytest.approx(0.158, abs=0.001)
     assert one(spark, t_point(F.lit(1))) == 12.706 and one(spark, t_point(F.lit(35))) == 2.021
     assert one(spark, t_point(F.lit(120))) == 1.98 and one(spark, t_point(F.lit(121))) == 1.962
 

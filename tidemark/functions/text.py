@@ -27,17 +27,21 @@ def normal_form(text) -> Column:
     return F.trim(F.regexp_replace(F.lower(_col(text)), r"(?U)\s+", " "))
 
 
-def char_grams(text, n: int = 3, short: str = "whole") -> Column:
-    """Distinct n-grams of characters; a shorter text is one gram itself ("whole") or has none ("none")."""
-    t = _col(text)
+def char_runs(text, n: int = 3) -> Column:
+    """All n-grams of characters in order, repeats kept; none in a shorter text."""
     # shifted arrays are joined: a substring by position would walk the text each time
-    chars = F.split(t, "")
+    chars = F.split(_col(text), "")
     runs = chars
     for k in range(1, n):
         runs = F.zip_with(runs, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda x, y: F.concat(x, y))
-    grams = F.array_distinct(F.filter(runs, lambda x: x.isNotNull()))
+    return F.filter(runs, lambda x: x.isNotNull())
+
+
+def char_grams(text, n: int = 3, short: str = "whole") -> Column:
+    """Distinct n-grams of characters; a shorter text is one gram itself ("whole") or has none ("none")."""
+    t = _col(text)
     few = F.array(t) if short == "whole" else F.array().cast("array<string>")
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, few).otherwise(grams)
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, few).otherwise(F.array_distinct(char_runs(t, n)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Two-sided 95 % points of Student's t by degrees of freedom.
@@ -30,17 +27,33 @@ def t_point(df: Column) -> Column:
     return out.otherwise(T_BEYOND)
 
 
-def mcnemar_p(b: int, c: int) -> float:
-    """Exact two-sided p of b against c discordant pairs; 1 where they are equal."""
-    n = b + c
-    if b == c:
-        return 1.0
-    return float(min(Fraction(1), Fraction(2 * sum(comb(n, i) for i in range(min(b, c) + 1)), 2**n)))
+def exact_p(b, c) -> Column:
+    """Exact two-sided p of b against c discordant pairs, 1 where they are equal: a binomial tail summed from its logarithms.
+
+    Terms go from the tail's largest downwards and end once they no longer count, so that any counts are fine.
+    """
+    b, c = (F.col(x) if isinstance(x, str) else x for x in (b, c))
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    first = log_choose(n, k) - n * F.log(F.lit(2.0))
+    # the term of i - 1 is that of i times i / (n - i + 1); within a few standard deviations of the middle all that counts
+    far = F.least(k, F.ceil(12 * F.sqrt(n) + 60)).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    step = lambda acc, j: F.struct((acc["term"] * (k - j + 1) / (n - k + j)).alias("term"), (acc["total"] + acc["term"] * (k - j + 1) / (n - k + j)).alias("total"))
+    tail = F.when(far >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(far, F.lit(1))), start, step)["total"]).otherwise(1.0)
+    return F.when(b == c, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(first) * tail))
+
+
+def log_gamma(x: Column) -> Column:
+    """Stirling's series, after the argument is raised to 8 at least: some 14 digits."""
+    shift = F.when(x < 8, F.lit(8.0)).otherwise(0.0)
+    low = sum((F.log(x + i) for i in range(8)), F.lit(0.0))
+    z = x + shift
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - F.when(x < 8, low).otherwise(0.0)
 
 
-def exact_p(b: str, c: str) -> Column:
-    """mcnemar_p of two counts: for aggregates, a row for each category, never for data rows."""
-    return F.udf(lambda x, y: mcnemar_p(int(x), int(y)), "double")(b, c)
+def log_choose(n: Column, k: Column) -> Column:
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
 
 
 def discordant(rows: DataFrame, by: list[str], control: str = "control", treatment: str = "treatment") -> DataFrame:
@@ -77,21 +90,44 @@ def wilson(k: Column, n: Column, z: float = Z_95) -> tuple[Column, Column]:
     return F.greatest(centre - spread, F.lit(0.0)), F.least(centre + spread, F.lit(1.0))
 
 
+def sweep(rows: DataFrame) -> DataFrame:
+    """Points of a sweep over distinct scores of (score, positive, always): flagged positives and negatives at or above each threshold.
+
+    Rows that are always flagged count from the first threshold, which lies above all scores (infinite). Scores are dealt
+    to ranges; each range sums its own, and the totals of the ranges above are added: no task has all of them.
+    """
+    base = rows.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"), F.count_if(F.col("positive") & F.col("always")).alias("bp"), F.count_if(~F.col("positive") & F.col("always")).alias("bn"))
+    free = ~F.col("always")
+    at = rows.groupBy(F.col("score").alias("threshold")).agg(F.count_if(F.col("positive") & free).alias("pos"), F.count_if(~F.col("positive") & free).alias("neg"))
+    cuts = at.approxQuantile("threshold", [i / 64 for i in range(1, 64)], 0.005) if at.limit(1).count() else []
+    part = sum(((F.col("threshold") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    at = at.withColumn("part", part)
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy("part").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))  # 64 rows at most
+    sums = sums.select("part", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("up"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("un"))
+    down = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = at.join(F.broadcast(sums), "part").select("threshold", (F.sum("pos").over(down) + F.col("up")).alias("tp"), (F.sum("neg").over(down) + F.col("un")).alias("fp"))
+    first = base.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    both = first.union(swept).crossJoin(F.broadcast(base))  # base: one row
+    both = both.withColumn("tp", F.col("tp") + F.col("bp")).withColumn("fp", F.col("fp") + F.col("bn"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return both.select("threshold", "tp", "fp", share("tp", "p").alias("recall"), share("fp", "n").alias("false_rate"), F.round(F.col("tp") - F.col("fp") * ADVERSARIAL_WEIGHT).cast("long").alias("net"))
+
+
 def roc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Points of a sweep over distinct scores, descending: flagged positives and negatives at or above each, rates and net."""
-    at = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    swept = at.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
-    return swept.select("threshold", "tp", "fp", (F.col("tp") / F.col("p")).alias("recall"), (F.col("fp") / F.col("n")).alias("false_rate"), F.round(F.col("tp") - F.col("fp") * ADVERSARIAL_WEIGHT).cast("long").alias("net"))
+    """Points (threshold, tp, fp, recall, false_rate, net) of a sweep over distinct scores, the first above all of them."""
+    return sweep(rows.select(F.col(score).cast("double").alias("score"), F.col(positive).alias("positive"), F.lit(False).alias("always")))
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """Area by trapezoids from (0, 0)."""
+    """Area by trapezoids between neighbouring thresholds.
+
+    Of a sweep's steps: each adds its false rate times the mean recall of its ends, which is its own and, by its counts, that of the step before.
+    """
     order = Window.orderBy("false_rate", "recall")
     x, y = F.col("false_rate"), F.col("recall")
-    part = (x - F.lag(x, 1, 0.0).over(order)) * (y + F.lag(y, 1, 0.0).over(order)) / 2
-    return points.select(part.alias("part")).agg(F.least(F.greatest(F.sum("part"), F.lit(0.0)), F.lit(1.0)).alias("auc"))
+    part = (x - F.lag(x, 1).over(order)) * (y + F.lag(y, 1).over(order)) / 2
+    return points.select(part.alias("part")).agg(F.least(F.greatest(F.coalesce(F.sum("part"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("auc"))
 
 
 def percentile_ceil(x: str, p: float) -> Column:

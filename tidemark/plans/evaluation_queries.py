@@ -27,12 +27,6 @@ def mcnemar_counts(t):
     return S.discordant(t.runs, ["category"])
 
 
-@query()
-def mcnemar_exact(t):
-    """Exact integers: tests hold it against a plain version."""
-    return S.discordant(t.runs, ["category"]).select("category", "left_only", "right_only", S.exact_p("left_only", "right_only").alias("p"))
-
-
 @query("""SELECT category, n, round(100 * m, 6) AS delta_pp, round(100 * (m - coalesce(1.96 * sd / sqrt(n), 0)), 6) AS low_pp, round(100 * (m + coalesce(1.96 * sd / sqrt(n), 0)), 6) AS high_pp
 FROM (SELECT category, count(*) AS n, avg(CAST(treatment AS INT) - CAST(control AS INT)) AS m, stddev_samp(CAST(treatment AS INT) - CAST(control AS INT)) AS sd FROM {runs} GROUP BY 1)""")
 def paired_ci(t):
@@ -40,24 +34,6 @@ def paired_ci(t):
     return r.select("category", "n", *[F.round(c, 6).alias(c) for c in ("delta_pp", "low_pp", "high_pp")])
 
 
-_PVALS = "(SELECT category, round(1.0::DOUBLE / (1 + abs(count(*) FILTER (control AND NOT treatment) - count(*) FILTER (NOT control AND treatment))), 9) AS p FROM {runs} GROUP BY 1)"
-
-
-def _pvals(t):
-    d = S.discordant(t.runs, ["category"])
-    return d.select("category", F.round(1.0 / (1 + F.abs(F.col("left_only") - F.col("right_only"))), 9).alias("p"))
-
-
-@query(f"""SELECT category, p, round(0.05 / (m - i + 1), 9) AS threshold, min(CAST(p <= 0.05 / (m - i + 1) AS INT)) OVER (ORDER BY p, category) = 1 AS rejected FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, category) AS i FROM {_PVALS})""")
-def holm_gate(t):
-    return S.holm_gate(_pvals(t), "p", "category").select("category", "p", F.round("threshold", 9).alias("threshold"), "rejected")
-
-
-@query(f"""SELECT category, p, max(least(1.0, p * (m - i + 1))) OVER (ORDER BY p, category) AS adjusted FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, category) AS i FROM {_PVALS})""")
-def holm_adjusted(t):
-    return S.holm_adjusted(_pvals(t), "p", "category")
-
-
 @query("""SELECT category, k, n, round(greatest(c - s, 0), 6) AS low, round(least(c + s, 1), 6) AS high FROM (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS c, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS s
 FROM (SELECT category, count(*) FILTER (control) AS k, count(*) AS n, count(*) FILTER (control) / CAST(count(*) AS DOUBLE) AS p FROM {runs} GROUP BY 1))""")
 def wilson(t):
@@ -66,24 +42,6 @@ def wilson(t):
     return g.select("category", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-_ROC = """roc AS (SELECT score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM (SELECT score, count(*) FILTER (NOT control) AS pos, count(*) FILTER (control) AS neg FROM {runs} GROUP BY 1) WINDOW w AS (ORDER BY score DESC))"""
-
-
-def _roc(t):
-    return S.roc(t.runs.withColumn("positive", ~F.col("control")), "score", "positive")
-
-
-@query(f"WITH {_ROC} SELECT round(threshold, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / CAST(p AS DOUBLE), 6) AS recall, round(fp / CAST(n AS DOUBLE), 6) AS false_rate, CAST(round(tp - fp * 0.676) AS BIGINT) AS net FROM roc")
-def roc_points(t):
-    r = _roc(t)
-    return r.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", F.round("recall", 6).alias("recall"), F.round("false_rate", 6).alias("false_rate"), "net")
-
-
-@query(f"""WITH {_ROC}, x AS (SELECT fp / CAST(n AS DOUBLE) AS x, tp / CAST(p AS DOUBLE) AS y FROM roc) SELECT round(sum((x - px) * (y + py) / 2), 6) AS auc FROM (SELECT x, y, lag(x, 1, 0) OVER (ORDER BY x, y) AS px, lag(y, 1, 0) OVER (ORDER BY x, y) AS py FROM x)""")
-def roc_auc(t):
-    return S.auc(_roc(t)).select(F.round("auc", 6).alias("auc"))
-
-
 @query("""SELECT category, quantile_disc(tokens, 0.95) AS p95, quantile_disc(tokens, 0.5) AS p50, round(avg(tokens), 6) AS mean FROM {runs} GROUP BY 1""")
 def percentile_nearest(t):
     return t.runs.groupBy("category").agg(S.percentile_ceil("tokens", 0.95).cast("long").alias("p95"), S.percentile_ceil("tokens", 0.5).cast("long").alias("p50"), F.round(F.avg("tokens"), 6).alias("mean"))
@@ -116,19 +74,6 @@ def interval_overlap(t):
     return x.join(y, "user_id").where("one < two").select("user_id", "one", "two", ((F.col("xa") <= F.col("yb")) & (F.col("ya") <= F.col("xb"))).alias("overlap"))
 
 
-@query("""SELECT category, CASE WHEN control AND treatment THEN 'success' WHEN control THEN 'compiler' WHEN treatment THEN 'candidate' ELSE 'unresolved' END AS miss, count(*) AS n FROM {runs} GROUP BY 1, 2""")
-def miss_classes(t):
-    c, r = F.col("control"), F.col("treatment")
-    kind = F.when(c & r, "success").when(c, "compiler").when(r, "candidate").otherwise("unresolved")
-    return t.runs.groupBy("category", kind.alias("miss")).agg(F.count("*").alias("n"))
-
-
-@query("""SELECT category, count(*) FILTER (r BETWEEN 1 AND 5) AS r5, count(*) FILTER (r BETWEEN 6 AND 10) AS r10, count(*) FILTER (r BETWEEN 11 AND 20) AS r20, count(*) FILTER (r BETWEEN 21 AND 30) AS r30, count(*) FILTER (r > 30) AS rest FROM (SELECT category, question_id % 40 + 1 AS r FROM {runs}) GROUP BY 1""")
-def rank_bands(t):
-    r = F.col("question_id") % 40 + 1
-    return t.runs.groupBy("category").agg(*[F.count_if(r.between(a, b)).alias(n) for a, b, n in ((1, 5, "r5"), (6, 10, "r10"), (11, 20, "r20"), (21, 30, "r30"))], F.count_if(r > 30).alias("rest"))
-
-
 @query("""SELECT category, question_id, rank FROM (SELECT category, question_id, row_number() OVER (PARTITION BY category, control <> treatment ORDER BY sha256('seed' || chr(1) || question_id), question_id) AS rank, control <> treatment AS disc FROM {runs}) WHERE disc OR rank <= 10""")
 def stratified_hash_sample(t):
     digest = F.sha2(F.concat(F.lit("seed\x01"), F.col("question_id").cast("string")), 256)

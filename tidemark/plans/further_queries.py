@@ -43,12 +43,6 @@ def validity_rates(t):
     return t.runs.groupBy("category").agg(mean(F.col("score").isNotNull(), "scored"), mean(n <= 2400, "within_cap"), mean(n.between(100, 9000), "legal"), F.count_if(n < 100).alias("bad"))
 
 
-@query("""SELECT label, round(max(sqrt(list_sum(list_transform(list_zip(v, prev), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))), 6) AS drift FROM (SELECT label, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)) WHERE prev IS NOT NULL GROUP BY 1""")
-def embedding_drift(t):
-    e = t.embeddings.withColumn("prev", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("prev IS NOT NULL")
-    return e.groupBy("label").agg(F.round(F.max(l2(F.col("embedding"), F.col("prev"))), 6).alias("drift"))
-
-
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT label AS centre, arg_min(v, vec_id) AS c FROM e GROUP BY 1)
 SELECT id, centre, round(sim, 6) AS sim FROM (SELECT vec_id AS id, centre, round(list_cosine_similarity(v, c), 9) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 9) DESC, centre DESC) AS rank FROM e, c WHERE list_cosine_similarity(v, c) >= 0.2) WHERE rank = 1""")
 def cluster_overlay(t):
@@ -88,22 +82,6 @@ def ledger_backfill(t):
     return t.conversations.select("conv_id", F.concat(F.lit("legacy-"), F.concat_ws(":", "conv_id", "turn")).alias("evidence_id"), place.cast("long").alias("ordinal"), F.sha2("text", 256).alias("digest"))
 
 
-@query("""SELECT p_brand, p_size, cheapest, n FROM (SELECT p_brand, p_size, arg_min(p_partkey, (p_retailprice, p_partkey)) AS cheapest, count(*) AS n FROM part GROUP BY 1, 2)""")
-def source_of_groups(t):
-    return t.part.groupBy("p_brand", "p_size").agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"), F.count("*").alias("n"))
-
-
-@query("""WITH s AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS w FROM conversations), p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM s)
-SELECT conv_id, turn, coalesce(len(w) > 0 AND len(before) > 0 AND len(list_intersect(w, before)) / CAST(len(w) + len(before) - len(list_intersect(w, before)) AS DOUBLE) >= 0.7, false) AS suppressed FROM p""")
-def write_suppression(t):
-    from tidemark.functions.text import jaccard
-
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
-    s = t.conversations.select("conv_id", "turn", w.alias("w"))
-    p = s.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return p.select("conv_id", "turn", F.coalesce(jaccard(F.col("w"), F.col("before")) >= 0.7, F.lit(False)).alias("suppressed"))
-
-
 @query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) = coalesce(b.n, 0) AS equal, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus FROM a FULL JOIN b ON a.k = b.k""")
 def multiset_equality(t):

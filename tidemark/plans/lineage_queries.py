@@ -134,18 +134,6 @@ def episode_ranges(t):
     return rows.groupBy("conv_id", "grp").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("turns"))
 
 
-@query()
-def session_chunks(t):
-    """A fold over each session: tests hold it against a plain version."""
-    return P.chunks(t.conversations, "conv_id", "turn", "text")
-
-
-@query()
-def pack_greedy(t):
-    items = F.sort_array(F.collect_list(F.struct("ordinal", "id", F.length("content").cast("long").alias("size"))))
-    return t.evidence.groupBy("session").agg(P.admit(items, 1200).alias("kept")).select("session", F.array_join(F.transform("kept", lambda x: x["id"]), ",").alias("kept"))
-
-
 @query()
 def max_coverage(t):
     rows = t.tokens.groupBy("lang", F.col("doc_id").alias("id")).agg(F.collect_set("token").alias("items")).withColumn("position", F.col("id"))

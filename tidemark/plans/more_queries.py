@@ -26,12 +26,6 @@ def journal_latest(t):
     return latest(t.events.select("event_type", "user_id", "value", "event_id"), ["event_type", "user_id"], "event_id").select("event_type", "user_id", "value", "event_id")
 
 
-@query("""WITH v AS (SELECT vec_id % 250 AS base, vec_id >= 250 AS shadow FROM embeddings) SELECT d.doc_id FROM documents d WHERE d.doc_id IN (SELECT base FROM v WHERE NOT shadow) AND d.doc_id NOT IN (SELECT base FROM v WHERE shadow)""")
-def missing_shadows(t):
-    v = t.embeddings.select((F.col("vec_id") % 250).alias("doc_id"), (F.col("vec_id") >= 250).alias("shadow"))
-    return t.documents.select("doc_id").join(v.where(~F.col("shadow")), "doc_id", "left_semi").join(v.where("shadow"), "doc_id", "left_anti")
-
-
 @query("""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 4))) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 4))) AS w FROM documents), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(count(*) / CAST(any_value(n) AS DOUBLE), 9) AS score FROM q JOIN d USING (w) JOIN n USING (item_id) GROUP BY 1, 2)) WHERE rank <= 5""")
 def exact_token_selection(t):
@@ -79,19 +73,6 @@ def retry_union(t):
     return R.top(u, ["user_id"], ["place"], 10).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT event_id, CASE WHEN k < 0.25 THEN '[0.00,0.25)' WHEN k < 0.5 THEN '[0.25,0.50)' WHEN k < 0.75 THEN '[0.50,0.75)' ELSE '[0.75,1.00]' END AS stratum FROM (SELECT event_id, (event_id * 17 % 100) / 99.0 AS k FROM events)""")
-def coverage_strata(t):
-    k = F.col("event_id") * 17 % 100 / 99.0
-    return t.events.select("event_id", F.when(k < 0.25, "[0.00,0.25)").when(k < 0.5, "[0.25,0.50)").when(k < 0.75, "[0.50,0.75)").otherwise("[0.75,1.00]").alias("stratum"))
-
-
-@query("""WITH s AS (SELECT doc_id, text, CASE WHEN CAST(('0x' || substr(sha256('42:' || doc_id), 1, 8)) AS BIGINT) / 4294967295.0::DOUBLE < 0.15 THEN 'validation' ELSE 'train' END AS split FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON md5(a.text) = md5(b.text) WHERE a.split = 'train' AND b.split = 'validation'""")
-def split_leakage(t):
-    d = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), T.split_of("doc_id", "42").alias("split"))
-    return d.where("split = 'train'").select(F.col("doc_id").alias("a"), "h").join(d.where("split = 'validation'").select(F.col("doc_id").alias("b"), "h"), "h").select("a", "b")
-
-
 @query("""SELECT ns, CAST(count(*) AS BIGINT) AS entries, count(*) FILTER (NOT pinned) > 80 OR sum(length(name) + length(trigger)) FILTER (NOT pinned) > 2000 AS should_run FROM {entries} GROUP BY 1""")
 def curation_trigger(t):
     size = F.sum(F.when(~F.col("pinned"), F.length("name") + F.length("trigger")))
@@ -112,20 +93,8 @@ def sweep_groups(t):
     return t.conversations.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.sort_array(F.collect_list("turn")), lambda x: x.cast("string")), ",").alias("places"))
 
 
-@query("""WITH e AS {entities} SELECT entry, entity FROM e WHERE entity NOT IN (SELECT entity FROM e WHERE entry % 2 = 0)""")
-def pruned_entities(t):
-    e = t.entities
-    return e.join(e.where("entry % 2 = 0").select("entity").distinct(), "entity", "left_anti").select("entry", "entity")
-
-
 @query("""SELECT user_id, day, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day) AS BIGINT) AS running, row_number() OVER (PARTITION BY user_id ORDER BY day) AS t_index FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)""")
 def timeline(t):
     g = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("user_id").orderBy("day")
     return g.select("user_id", "day", "n", F.sum("n").over(w).alias("running"), F.row_number().over(w).cast("long").alias("t_index"))
-
-
-@query("""SELECT e.id, CASE WHEN m.text IS NULL THEN 'missing' WHEN length(e.content) = length(m.text) THEN 'same' ELSE 'changed' END AS status FROM {entries} e LEFT JOIN (SELECT item_id, text FROM benchmark) m ON m.item_id = e.id""")
-def idempotent_append(t):
-    m = t.benchmark.select(F.col("item_id").alias("id"), "text")
-    return t.entries.join(m, "id", "left").select("id", F.when(F.col("text").isNull(), "missing").when(F.length("content") == F.length("text"), "same").otherwise("changed").alias("status"))

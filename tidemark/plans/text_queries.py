@@ -72,12 +72,6 @@ def json_props(t):
     return t.events.select("event_id", F.get_json_object(T.json_object("props"), "$.k").cast("long").alias("k"), F.sha2("props", 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, length(text) >= 60 AND sha256(substr(text, 11, 50)) = sha256(substr(text, 11, 50)) AS valid FROM documents""")
-def span_validity(t):
-    rows = t.documents.select("doc_id", "text", F.sha2(F.substring("text", 11, 50), 256).alias("digest"), F.lit(10).alias("s"), F.lit(60).alias("e"))
-    return rows.select("doc_id", T.span_valid("text", "s", "e", "digest").alias("valid"))
-
-
 @query("""SELECT name, char_count <= 1200 AS content_ok, length(trigger) <= 120 AND NOT contains(trigger, chr(10)) AND NOT contains(trigger, chr(13)) AS trigger_ok FROM {entries}""")
 def entry_budgets(t):
     return t.entries.select("name", (F.col("char_count") <= 1200).alias("content_ok"), ((F.length("trigger") <= 120) & ~F.col("trigger").rlike(r"[\r\n]")).alias("trigger_ok"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.functions import intent, keywords as K
 from tidemark.functions.dates import TAU_DAYS, bounds, decay, intersects
 from tidemark.operators import graph as G, retrieval as R
+from tidemark.work import Work
 
 
 @dataclass
@@ -203,19 +204,22 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
     projection_id is empty for an entry without one. cluster_sweep tells whether the query was widened by its entity cluster, before and after
     how many candidates it had; a blank query has no results.
     """
-    q = normalised(queries)
+    # each step is written: later ones read it several times
+    work = Work(queries.sparkSession, "search")
+    q = work.write(normalised(queries), "queries")
     windows = q.select("query_id", intent.temporal_window(F.col("text"), F.col("now")).alias("w")).where("w IS NOT NULL")
     keyword = keyword_ranks(memory, q)
     if options.temporal:
         timely = q.join(windows, "query_id", "left_semi")
         lists = [keyword, *([alias_ranks(memory["aliases"], timely)] if "aliases" in memory else []), directional(memory, windows)]
         keyword = tiered(lists)
-    cosines = R.semantic(memory["vectors"], q.where("vec IS NOT NULL"))
+    cosines = work.write(R.semantic(memory["vectors"], q.where("vec IS NOT NULL")), "cosines")
     order = lambda *c: Window.partitionBy("query_id").orderBy(*c)
     vec = _within(cosines.withColumn("rank", F.row_number().over(order(F.desc(F.round("cos", 9)), "name"))), q)
     cues = None
     if options.associative or options.sweep:
         cues, counts = R.whole_query_signal(q, memory["entities"])
+        cues = work.write(cues, "cues")
     if not options.associative:
         counts = R.entity_signal(q, memory["entities"])
     ent = counts.withColumnRenamed("entry", "name").withColumn("rank", F.row_number().over(order(F.desc("matched"), "name")))
@@ -231,7 +235,7 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
         free = windows.select("query_id", F.lit(True).alias("free"))
         j = hits.join(old, "name", "left").join(free, "query_id", "left")
         hits = j.withColumn("score", F.when(F.col("old") & F.col("free").isNull(), F.col("score") * options.penalty).otherwise(F.col("score"))).select("query_id", "name", "score")
-    hits = hits.withColumn("rank", F.row_number().over(order(F.desc("score"), "name")))
+    hits = work.write(hits.withColumn("rank", F.row_number().over(order(F.desc("score"), "name"))), "hits")
     cut = q.select("query_id", "k")
     wide = None
     if options.sweep:
@@ -243,6 +247,7 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
     if options.reranker is not None:
         flags = out.groupBy("query_id").agg(F.bool_or("cluster_sweep").alias("cluster_sweep"))
         out = reranked(out, memory, q, options.reranker).join(flags, "query_id").select(*out.columns)
+    out = work.write(out, "out")
     before, after = hits.groupBy("query_id").agg(F.count("*").alias("before")), out.groupBy("query_id").agg(F.count("*").alias("after"))
     out = out.join(cut, "query_id").where(F.col("rank") <= F.when(F.col("cluster_sweep"), R.SWEEP_CAP).otherwise(F.col("k"))).drop("k")
     p = memory["projections"].where("kind = 'atomic_fact'").select(F.col("object_key").alias("id"), F.col("id").alias("projection_id"))

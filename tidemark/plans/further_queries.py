@@ -58,12 +58,6 @@ def version_order(t):
     return t.events.select("user_id", "event_id", F.row_number().over(w).cast("long").alias("version"), (F.row_number().over(w) == n).alias("latest"))
 
 
-@query("""SELECT category, arg_max(name, (updated_at, name)) AS anchor, max(updated_at) AS at FROM {entries} WHERE contains(lower(name), 'doc') AND contains(lower(content), 'token') GROUP BY 1""")
-def temporal_anchor(t):
-    found = R.like_match(t.entries, ["token"], ("content",))
-    return found.groupBy("category").agg(F.max_by("name", F.struct("updated_at", "name")).alias("anchor"), F.max("updated_at").alias("at"))
-
-
 @query("""SELECT question_id, place FROM (SELECT question_id, row_number() OVER (PARTITION BY category ORDER BY sha256('blind:' || question_id), question_id) AS place FROM {runs})""")
 def blinded_order(t):
     digest = F.sha2(F.concat(F.lit("blind:"), F.col("question_id").cast("string")), 256)
@@ -93,10 +87,3 @@ def multiset_equality(t):
 def session_now(t):
     user = F.count_if(F.col("role") == "user")
     return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), (user * 3 + F.count("*") - user).alias("planned"))
-
-
-@query("""SELECT query_id, name, rank FROM (SELECT q.query_id, 'doc-' || d.doc_id AS name, row_number() OVER (PARTITION BY q.query_id ORDER BY q.pos, d.doc_id) AS rank, row_number() OVER (PARTITION BY q.query_id, d.doc_id ORDER BY q.pos) AS n FROM documents d JOIN (VALUES (1, 0, 'src1'), (1, 1, 'src2'), (2, 0, 'src3')) q(query_id, pos, alias) ON d.source = q.alias) WHERE n = 1""")
-def alias_join(t):
-    q = t.spark.createDataFrame([(1, 0, "src1"), (1, 1, "src2"), (2, 0, "src3")], "query_id int, pos int, source string")
-    met = t.documents.join(F.broadcast(q), "source").groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos"))
-    return met.select("query_id", F.concat(F.lit("doc-"), "doc_id").alias("name"), F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "doc_id")).cast("long").alias("rank"))

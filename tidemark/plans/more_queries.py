@@ -62,17 +62,6 @@ def markdown_export(t):
     return t.entries.groupBy("ns").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("export"))
 
 
-@query("""WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, 1 AS side FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS pos, 2 AS side FROM events), u AS (SELECT user_id, event_id, min(CASE WHEN side = 1 AND pos <= 5 THEN pos WHEN side = 2 THEN 1000 + pos ELSE 100000 + pos END) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
-SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM u) WHERE rank <= 10""")
-def retry_union(t):
-    e = t.events
-    a = e.where("event_type = 'view'").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), F.lit(1).alias("side"))
-    b = e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")).alias("pos"), F.lit(2).alias("side"))
-    place = F.when((F.col("side") == 1) & (F.col("pos") <= 5), F.col("pos")).when(F.col("side") == 2, 1000 + F.col("pos")).otherwise(100000 + F.col("pos"))
-    u = a.union(b).groupBy("user_id", "event_id").agg(F.min(place).alias("place"))
-    return R.top(u, ["user_id"], ["place"], 10).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
-
-
 @query("""SELECT ns, CAST(count(*) AS BIGINT) AS entries, count(*) FILTER (NOT pinned) > 80 OR sum(length(name) + length(trigger)) FILTER (NOT pinned) > 2000 AS should_run FROM {entries} GROUP BY 1""")
 def curation_trigger(t):
     size = F.sum(F.when(~F.col("pinned"), F.length("name") + F.length("trigger")))

@@ -230,14 +230,3 @@ def contamination_8gram(t):
         return rows.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("g"))
 
     return grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("shared"))
-
-
-@query("""WITH n AS (SELECT id, name, category, created_at FROM {entries}), a AS (SELECT * FROM n WHERE id % 100 = 0)
-SELECT anchor, side, name, rank FROM (SELECT a.name AS anchor, CASE WHEN n.created_at < a.created_at THEN 'before' ELSE 'after' END AS side, n.name, row_number() OVER (PARTITION BY a.name, n.created_at < a.created_at ORDER BY abs(epoch_us(n.created_at) - epoch_us(a.created_at)), n.name) AS rank
-FROM n JOIN a ON n.category = a.category AND n.created_at <> a.created_at) WHERE rank <= 5""")
-def asof_before_after(t):
-    e = t.entries.select("id", "name", "category", "created_at")
-    a = e.where("id % 100 = 0").select(F.col("name").alias("anchor"), "category", F.col("created_at").alias("at"))
-    pairs = e.join(a, "category").where("created_at <> at").withColumn("side", F.when(F.col("created_at") < F.col("at"), "before").otherwise("after"))
-    gap = F.abs(F.unix_micros("created_at") - F.unix_micros("at"))
-    return R.top(pairs, ["anchor", "side"], [gap, "name"], 5).select("anchor", "side", "name", F.col("rank").cast("long").alias("rank"))

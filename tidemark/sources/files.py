@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from tidemark.work import Work
+
 
 def results(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines of results: bad lines are skipped, or fail the read where it is strict."""
@@ -59,13 +61,58 @@ def gold_turns(questions: DataFrame, evidence: str = "evidence") -> DataFrame:
     return refs.select("question_id", F.split("r", ":")[0].cast("int").alias("session"), F.split("r", ":")[1].cast("int").alias("turn")).distinct()
 
 
-def first_child_threads(messages: DataFrame, most: int = 200) -> DataFrame:
-    """Messages (id, parent, role, text) along the first child from each root: (root, depth, id)."""
-    spark = messages.sparkSession
-    first = messages.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("id"))).where("parent IS NULL OR n = 1")
-    first.createOrReplaceTempView("__messages")
-    return spark.sql(f"""WITH RECURSIVE thread(root, depth, id) AS (SELECT id, 0, id FROM __messages WHERE parent IS NULL
-        UNION ALL SELECT t.root, t.depth + 1, m.id FROM thread t JOIN __messages m ON m.parent = t.id WHERE t.depth < {most}) SELECT * FROM thread""")
+def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Turns (conv, session, date, place, speaker, text) of a file of one of the known kinds: dialogue, sessions, planner, chat."""
+    if kind == "dialogue":
+        return dialogue_json(spark, path)[0].select(F.col("conv").cast("string").alias("conv"), F.col("session").cast("string").alias("session"), "date", F.col("place").cast("long").alias("place"), "speaker", "text")
+    if kind == "sessions":
+        return session_json(spark, path).select(F.col("question_id").alias("conv"), F.col("session").cast("string").alias("session"), "date", F.col("place").cast("long").alias("place"), F.col("role").alias("speaker"), F.col("content").alias("text"))
+    if kind == "planner":
+        return planner_lines(spark, path)[0]
+    if kind == "chat":
+        return chat_lines(spark, path)
+    raise ValueError(f"unknown kind of data set: {kind}")
+
+
+def planner_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines of conversations: turns (conv, session, date, place, speaker, text, turn_id) and queries (conv, question_id, query, type, gold_answer, gold_turns)."""
+    schema = "conversation_id string, persona string, sessions array<struct<session_id:string,date:string,turns:array<struct<turn_id:string,speaker:string,text:string>>>>, queries array<struct<question_id:string,query:string,type:string,gold_answer:string,gold_source_turn_ids:array<string>>>"
+    rows = results(spark, path, schema)
+    sessions = rows.select(F.col("conversation_id").alias("conv"), F.explode("sessions").alias("s"))
+    turns = sessions.select("conv", F.col("s.session_id").alias("session"), F.col("s.date").alias("date"), F.posexplode("s.turns").alias("place", "t")).select("conv", "session", "date", F.col("place").cast("long").alias("place"), "t.speaker", "t.text", "t.turn_id")
+    asked = rows.select(F.col("conversation_id").alias("conv"), F.explode("queries").alias("q")).select("conv", "q.question_id", "q.query", "q.type", "q.gold_answer", F.col("q.gold_source_turn_ids").alias("gold_turns"))
+    return turns, asked
+
+
+def chat_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of messages (from, value) as turns (conv, session, date, place, speaker, text): blank ones go, an unknown role is that of its place."""
+    rows = results(spark, path, "messages array<struct<`from`:string,value:string>>").withColumn("conv", F.sha2(F.to_json("messages"), 256))
+    m = rows.select("conv", F.posexplode("messages").alias("place", "m"))
+    role = F.trim("m.from")
+    speaker = F.when(role.isin("user", "assistant"), role).when(F.col("place") % 2 == 1, "assistant").otherwise("user")
+    return m.select("conv", F.concat("conv", F.lit("-s0")).alias("session"), F.lit("2024-01-01").alias("date"), F.col("place").cast("long").alias("place"), speaker.alias("speaker"), F.trim("m.value").alias("text")).where("text <> ''")
+
+
+def first_child_threads(messages: DataFrame) -> DataFrame:
+    """Messages (id, parent) along the first child from each root: (root, depth, id), of any depth.
+
+    First children form paths; each message's distance from its path's head is found by doubling steps over written tables.
+    """
+    work = Work(messages.sparkSession, "threads")
+    first = messages.where("parent IS NOT NULL").groupBy("parent").agg(F.min("id").alias("id"))
+    up = messages.select("id", F.col("parent").isNull().alias("root")).join(first, "id", "left").select("id", "root", "parent")
+    at = work.write(up.select("id", F.coalesce("parent", "id").alias("head"), F.col("parent").isNotNull().cast("long").alias("depth")), "step0")
+    roots = up.where("root").select(F.col("id").alias("root"))
+    step = 0
+    while True:
+        on = at.select(F.col("id").alias("mid"), F.col("head").alias("top"), F.col("depth").alias("more"))
+        moved = at.join(on, at["head"] == on["mid"], "left").select("id", F.coalesce("top", "head").alias("head"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
+        step += 1
+        nxt = work.write(moved, f"step{step}")
+        at = nxt.drop("moved")
+        if nxt.where("moved").limit(1).count() == 0:
+            break
+    return at.join(roots, at["head"] == roots["root"]).select("root", "depth", "id")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -101,3 +148,76 @@ def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     parts = raw.select("file", F.posexplode(F.split("value", r"(?m)^(?=#{1,6} )|^-{3,}\s*$")).alias("nth", "part"))
     return parts.select("file", "nth", F.regexp_extract("part", r"^#{1,6} +([^\n]*)", 1).alias("title"), F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", "")).alias("body")).where("body <> '' OR title <> ''")
+
+
+def namespaces(spark: SparkSession, path: str) -> list[str]:
+    """Names of the namespaces that a folder of tables holds, one below it for each; names that are not plain are refused."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(conf).listStatus(folder)
+    return sorted(check_namespace(f.getPath().getName()) for f in found if f.isDirectory() and not f.getPath().getName().startswith(("_", ".")))
+
+
+def check_namespace(name: str) -> str:
+    import re
+
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}", name):
+        raise ValueError(f"not a name of a namespace: {name!r}")
+    return name
+
+
+def legacy_entries(spark: SparkSession, profile: str | None, notes: str | None) -> DataFrame:
+    """Entries (name, trigger, content, pinned, durability) of two Markdown files: one pinned one of the profile, one for each section of the notes.
+
+    Names are slugs of titles, or first sentences, with a number where one repeats.
+    """
+    from tidemark.functions.text import one_line, slug
+
+    out = None
+    if profile:
+        whole = spark.read.text(profile, wholetext=True).where(F.trim("value") != "")
+        out = whole.select(F.lit("user-profile").alias("name"), F.lit("user profile").alias("trigger"), F.trim("value").alias("content"), F.lit(True).alias("pinned"), F.lit("evergreen").alias("durability"))
+    if notes:
+        s = markdown_sections(spark, notes).withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
+        title = F.when(F.col("title") != "", F.col("title")).otherwise(F.regexp_extract("body", r"(?s)^(.*?[.!?\n]|.*$)", 1))
+        s = s.withColumn("lead", F.trim(title)).withColumn("own", F.coalesce(F.nullif(slug("lead"), F.lit("")), F.lit("note")))
+        nth = F.row_number().over(Window.partitionBy("own").orderBy("file", "nth"))
+        rows = s.select(F.when(nth == 1, F.col("own")).otherwise(F.concat_ws("-", "own", nth.cast("string"))).alias("name"), one_line("lead", 120).alias("trigger"), F.col("body").alias("content"), F.lit(False).alias("pinned"), F.lit("volatile").alias("durability"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def decode_vectors(rows: DataFrame, key: str, blob: str) -> DataFrame:
+    """Vectors (key, vec) of blobs of little-endian 32-bit floats; a blob of another length is null."""
+    import pandas as pd
+
+    kind = dict(rows.dtypes)[key]
+
+    def run(frames):
+        import numpy as np
+
+        for pdf in frames:
+            yield pd.DataFrame({key: pdf[key], "vec": [None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist() for b in pdf[blob]]})
+
+    return rows.select(key, blob).mapInPandas(run, f"`{key}` {kind}, vec array<float>")
+
+
+def encode_vectors(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """Blobs (key, blob) of vectors, as decode_vectors reads them."""
+    import pandas as pd
+
+    kind = dict(rows.dtypes)[key]
+
+    def run(frames):
+        import numpy as np
+
+        for pdf in frames:
+            yield pd.DataFrame({key: pdf[key], "blob": [None if v is None else np.asarray(v, "<f4").tobytes() for v in pdf[vec]]})
+
+    return rows.select(key, vec).mapInPandas(run, f"`{key}` {kind}, blob binary")
+
+
+def write_markdown(entries: DataFrame, path: str, by: str = "ns") -> None:
+    """An export for each value of a column: lines in order, pinned first, written as sorted parts and never gathered."""
+    lines = entries.select(by, "pinned", "name", F.concat(F.lit("- **"), "name", F.lit("**: "), F.regexp_replace("content", r"\s+", " ")).alias("line"))
+    lines.repartitionByRange(by, F.desc("pinned"), "name").sortWithinPartitions(by, F.desc("pinned"), "name").select(by, "line").write.mode("overwrite").partitionBy(by).text(path)

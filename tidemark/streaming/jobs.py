@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from collections.abc import Callable
+
 from tidemark.operators.lineage import NEXT
 
 
@@ -49,3 +51,37 @@ def lifecycle(stream: DataFrame) -> DataFrame:
 def to_memory(df: DataFrame, name: str, mode: str) -> None:
     """Run a stream over all that is there and keep its result as a table of the session; for tests and small results."""
     df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def embed_behind(stream: DataFrame, entries: Callable[[], DataFrame], client, model: str, path: str, checkpoint: str):
+    """Embed the entries that a stream of names (name) tells of, batch by batch, into a folder of vectors.
+
+    entries: a function that gives the entries as they are now. A batch that is done again writes the same
+    file, since its number names the folder; what a stream misses is found by the anti join of missing vectors.
+    """
+    from tidemark.plugins import embed
+
+    def run(batch: DataFrame, number: int) -> None:
+        due = entries().join(batch.select("name").distinct(), "name", "left_semi").select("name", F.concat_ws("\n", F.nullif("trigger", F.lit("")), "content").alias("text"))
+        embed(due, "name", "text", client, model).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def curate_when_due(stream: DataFrame, due: Callable[[], bool], curate: Callable[[], None], checkpoint: str):
+    """Run a curation pass for each batch of notices in which one is due: notices that come together cause one pass."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty() and due():
+            curate()
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_sessions(stream: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str):
+    """Hand each batch of turns (session, ordinal, speaker, text), blank ones gone, to an ingest function with the batch's number."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        ingest(batch.where(F.trim("text") != ""), number)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

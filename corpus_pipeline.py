@@ -14,7 +14,10 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near copies."""
+    """Keep the document of least id of each group of near copies.
+
+    Rows of one id are one document: they stay or go together. A row without an id is no copy of another, since it cannot be named, and stays.
+    """
     groups = ngram_jaccard.jaccard_components(docs)
     copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
@@ -31,10 +34,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that is left, as counts and digests, and what they decode to."""
+    """Token ids of each document that is left, what they decode to, their count and digests, with its language and source; a row for each time it is taken."""
     import public_tokenizers
 
-    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), texts=True, keep=("lang", "source"))
 
 
 STAGES = [

@@ -152,6 +152,8 @@ def test_secrets_query(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {(r["doc_id"], r["spans"]) for r in secrets.scan_secrets(docs).collect()}
     assert got == {(1, ""), (2, ""), (3, "assign:0:48,hex:8:48"), (3, "novel:15:35"), (4, ""), (5, ""), (6, "access:200000:200020")}
+    odd = docs.withColumn("spans", F.lit("x")).withColumn("n_hex", F.lit(9))
+    assert {(r["doc_id"], r["spans"]) for r in secrets.scan_secrets(odd).collect()} == got
     clean = {(r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redact(docs).collect() if r["doc_id"] < 6}
     assert clean == {(1, None, 0), (2, "", 0), (3, "[secret]", 8), (3, "the auth value [secret] here", 28), (4, rows[4][1], len(rows[4][1])), (5, rows[5][1], len(rows[5][1]))}
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
@@ -175,6 +177,11 @@ def test_secrets_whole():
     head, rest = "0a1b2c3d" * 4, "Z" + text(29)
     base, added = scan(f"auth {head}{rest} ok")
     assert base == [(5, 37, "hex")] and added == [(37, 67, "novel")]
+    # parts of a key with dots; names in camel, snake and kebab case stay
+    parts = [text(24) for _ in range(3)]
+    doc = "token of " + ".".join(parts)
+    assert [doc[s:e] for s, e, _ in scan(doc)[1]] == parts
+    assert not scan("auth: getAccessTokenFromRequestHeader, secret_key_base_environment_variable and login-button-primary-container-wrapper")[1]
     # words and names stay, and so does what is far from any sensitive word
     assert not scan("the key of internationalization and getUserNameFromDatabaseConnection and CONFIGURATION_DIRECTORY")[1]
     assert not scan(text(40) + " of them" * 40)[1]

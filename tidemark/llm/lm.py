@@ -26,6 +26,8 @@ from tidemark.work import Work
 PART_BYTES = 32 << 20  # of training text to a range
 TOKENS = 1 << 20  # handled at once
 HELD = 3 << 20  # distinct entries that a task keeps before it sends them
+MOST_MAPS = 16_384  # files that a worker maps at once
+MOST_WORDS = (1 << 32) - 2  # words that numbers of 32 bits can tell apart
 END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A4700000000001)
 
 
@@ -115,6 +117,8 @@ class Words:
 
     def map(self, name: str) -> np.ndarray:
         if name not in self.maps:
+            if len(self.maps) >= MOST_MAPS:  # the one that was mapped first goes
+                self.maps.pop(next(iter(self.maps)))
             self.maps[name] = map_file(f"{self.folder}/{name}")
         return self.maps[name]
 
@@ -290,6 +294,8 @@ def train(texts: DataFrame) -> Model:
     merged = work.write(sent.groupBy("part").applyInArrow(_merge_words(folder), "part int, n long, total long"), "words").collect()  # a row for each range
     sizes, total = {r["part"]: r["n"] for r in merged}, sum(r["total"] for r in merged)
     distinct = sum(sizes.values())
+    if distinct > MOST_WORDS:
+        raise ValueError(f"{distinct} distinct words are more than numbers of 32 bits tell apart")
     vocabulary = Words(folder, bits, sizes)
     if not rows:
         return Model(vocabulary, bits, 0, 0, 0, np.full(3, 0.5), (np.full(3, 0.5), 1.0), 0, 0.0)

@@ -151,7 +151,7 @@ def _prefix_order(s: np.ndarray, level: np.ndarray, length: int) -> np.ndarray:
 def _postings(batches, width, level, boundary):
     """One row per key of each distinct set of the task: (key, cls, n, ub), ub bounding the overlap of a match by that key."""
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("ub", pa.int32())])
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         _, texts = _texts(batch)
         keys, cls, ns, ubs = [], [], [], []
@@ -159,10 +159,10 @@ def _postings(batches, width, level, boundary):
             n = len(s)
             if n < 2:  # a set of one shingle matches none but its equal
                 continue
-            d1, _ = digests(s)
-            if d1 in seen:
+            d1, d2 = digests(s)
+            if (d1, d2) in seen:
                 continue
-            seen.add(d1)
+            seen.add((d1, d2))
             probe, index = prefixes(n)
             order = _prefix_order(s, level, min(n, probe + 1))
             if n <= boundary:
@@ -262,7 +262,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried, links, grouped = [], None, None
     for step in range(len(HEADS) + 1):
         if step < len(HEADS):
-            pairs = _with_heads(open_.withColumn("band", band), step)
+            pairs = _with_heads(work, open_.withColumn("band", band), step)
         else:
             x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "ub", "group")]) for s in "ab")
             pairs = x.join(y, "key").where("cls_a < cls_b AND group_a <> group_b AND 9 * least(ub_a, ub_b) >= 4 * (n_a + n_b)").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
 
 
-def _with_heads(listed: DataFrame, step: int) -> DataFrame:
+def _with_heads(work: Work, listed: DataFrame, step: int) -> DataFrame:
     """Pairs of each member of a list and band with some members of it that are not of its component.
 
     The first round has HEADS[0] representatives, each least in an order of its own. A later one has more, of
@@ -308,7 +308,8 @@ def _with_heads(listed: DataFrame, step: int) -> DataFrame:
     orders = [F.min(F.struct(F.xxhash64(F.lit(100 * step + i), "cls").alias("h"), "cls", "n", "ub", "group")).alias(f"h{i}") for i in range(count)]
     heads = listed.groupBy("key", "band").agg(F.count("*").alias("k"), *orders).where("k > 1")
     each = F.array_distinct(F.array(*[F.struct(f"h{i}.cls", f"h{i}.n", f"h{i}.ub", f"h{i}.group") for i in range(count)]))
-    heads = heads.select("key", "band", F.explode(each).alias("h"))
+    # a table of its own: the join below shares no exchange with an aggregate, so that a long list can be split
+    heads = work.write(heads.select("key", "band", F.explode(each).alias("h")), f"heads{step}")
     met = listed.join(heads, ["key", "band"]).where("h.cls <> cls AND 9 * least(ub, h.ub) >= 4 * (h.n + n) AND coalesce(h.group <> group, true)")
     return met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
 

@@ -142,8 +142,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel), one row per row of docs.
     spans joins kind:start:end of all base and added spans by start, then kind as listed (novel last);
     base_sha256 is of the base spans alone, so joined. Starts and ends are code points, the end is exclusive.
-    Base matches of one kind never overlap, those of different kinds may; added ones overlap none. Null
-    texts are empty and have no span.
+    Base matches of one kind never overlap, those of different kinds may; added ones overlap none. A
+    candidate for an added span is a run of 16 or more letters, digits and + / _ = - within AROUND characters of a
+    sensitive word, or in one chain with such a run; a dot ends a run, so that dotted keys are measured part by part. Null
+    texts are empty and have no span; rows that repeat an id are scanned each; an empty table gives an empty result, and
+    other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -123,16 +123,18 @@ def bounds(tf: np.ndarray, v: np.ndarray, label: np.ndarray, n: int, idf: np.nda
         # a language of one text has no other half
         rest = (half != h) | (np.bincount(label, minlength=n)[label] < 2)
         c = centres(v[rest], label[rest], n, rng)[0]
-        held = tf[half == h].astype(np.int64)
+        held = tf[half == h]
         whole.append((v[half == h] @ c.T).max(1)[(held > 0).sum(1) >= LONG])
         if not len(held):
             continue
-        many = np.repeat(held, -(-DRAWS // len(held)), 0)
+        many = np.repeat(np.arange(len(held)), -(-DRAWS // len(held)))
         for size in 2 ** np.arange(1, 13):
-            some = rng.binomial(many, np.minimum(1, size / np.maximum(many.sum(1, keepdims=True), 1))).astype(np.float32)
-            some = some[some.any(1)]
-            at.append(lengths(some))
-            near.append((vectors(some, idf) @ c.T).max(1))
+            for k in range(0, len(many), 256):  # in parts, for the driver's memory
+                own = held[many[k : k + 256]].astype(np.int64)
+                some = rng.binomial(own, np.minimum(1, size / np.maximum(own.sum(1, keepdims=True), 1))).astype(np.float32)
+                some = some[some.any(1)]
+                at.append(lengths(some))
+                near.append((vectors(some, idf) @ c.T).max(1) if len(some) else np.empty(0, np.float32))
     at, near, whole = np.concatenate(at), np.concatenate(near), np.concatenate(whole)
     least = np.zeros(2 * BUCKETS.bit_length())
     for k in range(len(least)):
@@ -161,7 +163,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int,
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     sample = bounded_sample(known, "doc_id", "lang", per_lang, IN_ALL)
     rows = sample.mapInArrow(_sampled, "doc_id long, lang string, tf binary").toPandas().sort_values(["doc_id", "lang", "tf"])
-    tf = np.stack([np.frombuffer(x, np.uint16) for x in rows["tf"]]).astype(np.float32) if len(rows) else np.zeros((0, BUCKETS), np.float32)
+    tf = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, x in enumerate(rows.pop("tf")):
+        tf[i] = np.frombuffer(x, np.uint16)
     return train(tf, rows["lang"].tolist())
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import audit_sql
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -71,6 +73,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.centroids import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import divergence
+
+    return divergence(_documents(spark, sf_dir))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import decontaminate
+
+    return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -82,10 +102,16 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
+    "op11_centroids": op11_centroids,
+    "op12_divergence": op12_divergence,
+    "op13_decontamination": op13_decontamination,
 }
 
 #: DuckDB SQL over the same tables.
 ORACLES = {
+    "op11_centroids": audit_sql.centroids(),
+    "op12_divergence": audit_sql.DIVERGENCE,
+    "op13_decontamination": audit_sql.DECONTAMINATION,
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

@@ -102,3 +102,21 @@ def test_edges_accumulate(spark):
 def test_greedy_cover(spark):
     rows = spark.createDataFrame([("g", 1, 1, ["a"]), ("g", 2, 2, ["a", "b"]), ("g", 3, 3, ["c"])], "g string, position int, id int, items array<string>")
     assert [r["id"] for r in packing.cover(rows, "g").orderBy("pick").collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("side", [None, "side"])
+@pytest.mark.parametrize("spread", [60, 4000])
+def test_gram_pairs(spark, monkeypatch, side, spread):
+    from tidemark.operators import neardup as N
+
+    monkeypatch.setattr(N, "ROWS", 37)
+    rng = random.Random(3)
+    rows = []
+    for i in range(260):
+        base = rng.sample(range(spread), rng.randrange(1, 50)) if i % 3 == 0 or not rows else [x if rng.random() < 0.9 else rng.randrange(spread) for x in rows[-1][1]]
+        rows.append((i, base, "ab"[rng.randrange(2)]))
+    # one gram in every set, and one set of it alone
+    rows = [(i, g + [10**9], s) for i, g, s in rows] + [(900, [10**9], "a"), (901, [10**9], "b"), (902, [], "a"), (903, None, "b")]
+    want = {(a, b): len(set(g) & set(h)) / len(set(g) | set(h)) for a, g, s in rows if g for b, h, u in rows if h and a < b and (side is None or s != u)}
+    got = N.gram_pairs(spark.createDataFrame(rows, "id long, grams array<long>, side string"), "id", "grams", 0.6, side=side).collect()
+    assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items() if v >= 0.6} and len(got) > 20

@@ -33,7 +33,7 @@ def asked(spark, *texts):
 def test_search(spark):
     m = memory(spark)
     got = {(r["query_id"], r["rank"]): r for r in S.search(m, asked(spark, "trip Lisbon", "  ", "Ana")).collect()}
-    assert got[0, 1]["name"] == "trip" and got[0, 1]["projection_id"] == "p-trip" and got[0, 1]["score"] == pytest.approx(2 / 61 + 1 / 63)
+    assert got[0, 1]["name"] == "trip" and got[0, 1]["projection_id"] == "p-trip" and got[0, 1]["score"] == pytest.approx(2 / 61 + 1 / 62)  # the stale entry takes no place among vectors
     assert {n for (q, _), r in got.items() for n in [r["name"]] if q == 2} == {"trip", "work", "food"} and not any(q == 1 for q, _ in got)
     options = S.Options(temporal=True, hard_filter=True, associative=True, sweep=True, penalty=0.5, reranker=plugins.reranker(lambda q, docs: [len(d) for d in docs]))
     rows = S.search(m, asked(spark, "trip Lisbon before 2024-03-01", "list all the things of Ana", "Ana"), options).collect()
@@ -165,3 +165,47 @@ def test_summaries(spark):
     assert e == ["Ana", "New", "New York", "York"]
     assert spark.range(1).select(E.problem(E.parsed(F.lit("{}"))).alias("p")).first()["p"] == "conversation_id"
     assert W.by_id(spark.createDataFrame([("a", 1)], "id string, v int"), spark.createDataFrame([("a",), ("b",)], "id string")).count() == 1
+
+
+def test_search_takes_active_owners_of_one_model_only(spark):
+    names = [f"e{i:03d}" for i in range(300)]
+    at = T(2024, 1, 1)
+    entries = spark.createDataFrame([(n, n, "", "words", at, None, None, None) for n in names], "name string, id string, trigger string, content string, updated_at timestamp, event_start timestamp, event_end timestamp, superseded_by string")
+    # the nearest 200 are stale, the others nearer by shadows of another model
+    vectors = [(n, "m", [1.0, i / 1000]) for i, n in enumerate(names)] + [(f"{n}#query", "old", [1.0, 0.0]) for n in names[200:]] + [("gone#alias", "m", [1.0, 0.0]), ("e250#alias", "m", [1.0, 0.0])]
+    m = {
+        "entries": entries, "vectors": spark.createDataFrame(vectors, "name string, model string, vec array<double>"), "entities": spark.createDataFrame([], "entry string, entity string, raw string"),
+        "projections": spark.createDataFrame([(f"p-{n}", n, "stale" if i < 200 else "active", "atomic_fact") for i, n in enumerate(names)] + [("p2", "e210", "stale", "episode")], "id string, object_key string, state string, kind string"),
+    }
+    q = spark.createDataFrame([(1, "?", [1.0, 0.0], None, 8)], "query_id long, text string, vec array<double>, now date, k int")
+    got = [r["name"] for r in S.search(m, q, S.Options(model="m")).orderBy("rank").collect()]
+    assert got == ["e250"] + names[200:207]
+
+
+def test_rerank_looks_at_k_hits(spark):
+    m = memory(spark)
+    names = [f"n{i:03d}" for i in range(120)]
+    entries = spark.createDataFrame([(n, f"text {n}") for n in names], "name string, content string")
+    hits = spark.createDataFrame([(1, n, 1.0 / (i + 1), i + 1) for i, n in enumerate(names)], "query_id long, name string, score double, rank int")
+    longest = plugins.reranker(lambda q, docs: [-float(d[-3:]) for d in docs])
+    for k, seen in ((3, 50), (100, 100)):
+        q = spark.createDataFrame([(1, "x", k)], "query_id long, text string, k int")
+        assert S.reranked(hits, {"entries": entries, "entities": m["entities"]}, q, longest).count() == seen
+
+
+def test_best_of_each_owner_before_the_cut(spark):
+    rows = [(f"a{i}", [1.0, j / 1000]) for i in range(12) for j in range(8 + 30 * (i < 4))]
+    left = spark.createDataFrame(rows, "name string, v array<double>")
+    got = R.blocks_cosine(left, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>"), 10)
+    assert got.count() == 12 and got.select("name").distinct().count() == 12
+
+
+def test_search_multi(spark):
+    m = memory(spark)
+    rows = [(1, 0, " trip Lisbon ", [1.0, 0.0]), (1, 1, "trip Lisbon", [0.0, 1.0]), (2, 0, "Ana", [1.0, 0.0]), (2, 1, "boat lake", [0.0, 1.0]), (3, 0, "  ", [1.0, 0.0])]
+    subs = spark.createDataFrame([(*r, dt.date(2024, 6, 15)) for r in rows], "query_id long, sub_id long, text string, vec array<double>, now date")
+    got = S.search_multi(m, subs, 3).orderBy("query_id", "rank").collect()
+    alone = S.search(m, asked(spark, "trip Lisbon")).orderBy("rank").collect()
+    assert [(r["name"], r["score"]) for r in got if r["query_id"] == 1] == [(r["name"], r["score"]) for r in alone]
+    two = [r for r in got if r["query_id"] == 2]
+    assert len(two) == 3 and not any(r["query_id"] == 3 for r in got) and two[0]["score"] == pytest.approx(max(r["score"] for r in two))

@@ -40,83 +40,179 @@ def text_grams(rows: DataFrame, key: str, text: str, n: int = 3, short: str = "w
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, grams array<long>")
 
 
-def _band(n, least: float):
-    """Sets of one similarity have sizes of one band or of neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / -math.log(least) + 1e-9).cast("int")
+SLOTS = 1 << 20  # hashed counters of gram frequencies
+SHARE = 64  # a gram of more than 1/SHARE of the sets is frequent
+FREQUENT, REST = 4096, 1024  # columns of frequent grams, most of them first, and of hashed other ones
+ROWS = 2048  # sets of a block
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _width(band: int, least: float) -> int:
-    """Bits of a signature: some four for each gram of the band's largest sets."""
-    return 1 << max(10, min(16, math.ceil(math.log2(4 * least ** -(band + 1)))))
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    x = grams.view(np.uint64) * _SPREAD
+    return ((x ^ (x >> np.uint64(31))) * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _signatures(batches, least: float):
+def _counts(batches):
+    """Counters of the task's grams by slot, in 64 parts."""
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        out = []
-        for band, grams in zip(batch.column(2).to_pylist(), batch.column(3)):
-            h = (grams.values.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            bits = np.zeros(_width(band, least), np.uint8)
-            bits[h & np.uint64(len(bits) - 1)] = 1
-            out.append(np.packbits(bits).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], names=["id", "n", "band", "sig", "own", "cells"])
+        for k in range(0, batch.num_rows, 4096):
+            flat = batch.column(0).slice(k, 4096).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(_slot(flat, SLOTS.bit_length() - 1), minlength=SLOTS)
+    if total.any():
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(total, 64)], pa.binary())})
 
 
-def _fold(sig: list[bytes], width: int) -> np.ndarray:
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 64), 0) for x in sig])
+def _add_counts(key, table):
+    total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _cell_pairs(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of one cell, of two blocks or of one with itself, whose sets may be similar.
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a gram of each slot; the counters are of fixed size and added in two steps."""
+    told = sets.select("grams").mapInArrow(_counts, "part int, counts binary").withColumn("salt", F.spark_partition_id() % 64)
+    added = told.groupBy("part", "salt").applyInArrow(_add_counts, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
+    total = np.zeros((64, SLOTS // 64), np.int64)
+    for r in added.collect():
+        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return total.ravel()
 
-    Two sets have no fewer grams together than their signatures have bits, which bounds what they share.
-    """
-    ids, n, own = table["id"].to_numpy(zero_copy_only=False), table["n"].to_numpy().astype(np.int64), np.array(table["own"].to_pylist())
-    sig = table["sig"].to_pylist()
-    x, y = table["x"][0].as_py(), table["y"][0].as_py()
-    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-    a, b = [], []
-    if len(left) and len(right):
-        width = min(len(sig[i]) for i in (left[0], right[0])) * 8
-        one, two = _fold([sig[i] for i in left], width), _fold([sig[i] for i in right], width)
-        for i, row in zip(left, one):
-            size = n[right]
-            near = np.flatnonzero((np.minimum(size, n[i]) >= least * np.maximum(size, n[i]) - 1e-9) & ((ids[right] > ids[i]) if x == y else True))
-            together = np.bitwise_count(two[near] | row).sum(1, dtype=np.int64)
-            most = n[i] + size[near] - together
-            good = near[most * (1 + least) >= least * (n[i] + size[near]) - 1e-6]
-            a += [min(ids[i], ids[j]) for j in right[good]]
-            b += [max(ids[i], ids[j]) for j in right[good]]
+
+def _often(batches, slots, least):
+    """(gram, k) of the task's grams whose slot is frequent."""
+    for batch in batches:
+        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        gram, k = np.unique(flat[slots[_slot(flat, SLOTS.bit_length() - 1)] > least], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(k, pa.int64())], names=["gram", "k"])
+
+
+def _frequent(sets: DataFrame, slots: np.ndarray, count: int) -> np.ndarray:
+    """The grams of most sets, FREQUENT of them at most, in ascending order."""
+    least, shared = max(32, count // SHARE), sets.sparkSession.sparkContext.broadcast(slots)
+    counted = sets.select("grams").mapInArrow(lambda it: _often(it, shared.value, least), "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k"))
+    return np.sort(np.array([r["gram"] for r in counted.where(F.col("k") > least).orderBy(F.desc("k"), "gram").limit(FREQUENT).collect()], np.int64))
+
+
+def _encoded(batches, often, slots, least):
+    """Bits of a set's frequent grams, its other grams from the rarest on, and whether it may be similar by frequent ones alone."""
+    for batch in batches:
+        bits, rest, dense = [], [], []
+        for grams in batch.column("grams"):
+            g = grams.values.to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(often, g), max(0, len(often) - 1))
+            hit = often[at] == g if len(often) else np.zeros(len(g), bool)
+            row = np.zeros(FREQUENT, bool)
+            row[at[hit]] = True
+            own = g[~hit]
+            own = own[np.lexsort((own, slots[_slot(own, SLOTS.bit_length() - 1)]))]
+            bits.append(np.packbits(row).tobytes()), rest.append(own), dense.append(bool(hit.sum() >= least * len(g) - 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("side"), pa.array(bits, pa.binary()), pa.array(rest, pa.list_(pa.int64())), pa.array(dense, pa.bool_())], names=["id", "n", "side", "bits", "rest", "dense"])
+
+
+def _matrix(bits: list[bytes], rest: list[np.ndarray]) -> np.ndarray:
+    """Rows of frequent grams, and of hashed counts of others: the product of two rows is at least what their sets share."""
+    out = np.zeros((len(bits), FREQUENT + REST), np.float32)
+    out[:, :FREQUENT] = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(bits), FREQUENT)
+    row = np.repeat(np.arange(len(rest)), [len(r) for r in rest])
+    slot = _slot(np.concatenate([np.empty(0, np.int64), *rest]), REST.bit_length() - 1)
+    out[:, FREQUENT:] = np.bincount(row * REST + slot, minlength=len(rest) * REST).reshape(len(rest), REST)
+    return out
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Common members of two sorted arrays."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(b):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _cell_pairs(table: pa.Table, least: float) -> pa.Table:
+    """Similar pairs of a cell: of its two blocks, or of one block with itself."""
+    same = table["x"][0].as_py() == table["y"][0].as_py()
+    parts = []
+    for left in (True, False):
+        own = table.filter(pc.equal(table["left"], left)).combine_chunks()
+        bits, rest = own["bits"].to_pylist(), [np.sort(r.values.to_numpy(zero_copy_only=False)) for r in own["rest"].combine_chunks()]
+        parts.append((own["id"].to_numpy(zero_copy_only=False), own["n"].to_numpy().astype(np.int64), bits, rest))
+    (id_x, n_x, bits_x, rest_x), (id_y, n_y, bits_y, rest_y) = parts
+    a, b, sim = [], [], []
+    if len(id_x) and len(id_y):
+        right = _matrix(bits_y, rest_y)
+        bit_y = np.frombuffer(b"".join(bits_y), np.uint64).reshape(len(bits_y), -1)
+        for at in range(0, len(id_x), 512):
+            most = _matrix(bits_x[at : at + 512], rest_x[at : at + 512]) @ right.T
+            total = n_x[at : at + 512, None] + n_y
+            for i, j in zip(*np.nonzero(most * (1 + least) >= least * total - 1e-3)):
+                i += at
+                if same and not id_x[i] < id_y[j]:
+                    continue
+                both = int(np.bitwise_count(np.frombuffer(bits_x[i], np.uint64) & bit_y[j]).sum()) + _shared(rest_x[i], rest_y[j])
+                s = both / (int(n_x[i]) + int(n_y[j]) - both)
+                if s >= least:
+                    a.append(min(id_x[i], id_y[j])), b.append(max(id_x[i], id_y[j])), sim.append(s)
     kind = table.schema.field("id").type
-    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "similarity": pa.array(sim, pa.float64())})
+
+
+def _dense_pairs(rows: DataFrame, least: float, sides: bool) -> DataFrame:
+    """Similar pairs of sets of mostly frequent grams, in cells of two blocks of sizes that can be that similar."""
+    kind = dict(rows.dtypes)["id"]
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(least) + 1e-9).cast("int")
+    banded = rows.withColumn("band", band)
+    blocks = banded.groupBy("band", "side").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))  # a row for each power of 1 / least
+    placed = banded.join(blocks, ["band", "side"]).withColumn("own", F.format_string("%08d:%s:%08d", "band", "side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    named = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "side", F.format_string("%08d:%s:%08d", "band", "side", "at").alias("name"))
+    other = named.select(F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("side").alias("s"), F.col("name").alias("y"))
+    cells = named.join(other, "band").where("side <> s AND name < y" if sides else "name <= y").select(F.col("name").alias("x"), "y")
+    told = ["id", "n", "bits", "rest"]
+    one = placed.join(cells, placed["own"] == cells["x"]).select("x", "y", F.lit(True).alias("left"), *told)
+    two = placed.join(cells, placed["own"] == cells["y"]).select("x", "y", F.lit(False).alias("left"), *told)
+    return one.union(two).groupBy("x", "y").applyInArrow(lambda table: _cell_pairs(table, least), f"a {kind}, b {kind}, similarity double")
+
+
+def _rare_pairs(work: Work, rows: DataFrame, sets: DataFrame, least: float, sides: bool) -> DataFrame:
+    """Similar pairs with a set that is not of mostly frequent grams: they share one of the rarest grams of both."""
+    length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    posted = rows.select("id", "n", "side", "dense", F.posexplode(F.slice("rest", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("place", "gram"))
+    one, two = (posted.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "side", "dense", "place")]) for s in "xy")
+    left = 1 + F.least(F.col("n_x") - F.col("place_x") - 1, F.col("n_y") - F.col("place_y") - 1)
+    fit = left * (1 + least) >= least * (F.col("n_x") + F.col("n_y")) - 1e-6
+    met = one.where("NOT dense_x").join(two, "gram").where(fit & ((F.col("id_x") < F.col("id_y")) | (F.col("dense_y") & (F.col("id_x") != F.col("id_y")))))
+    if sides:
+        met = met.where("side_x <> side_y")
+    near = work.write(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "near")
+    near = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    same = F.size(F.array_intersect("ga", "gb"))
+    return near.withColumn("similarity", same / (F.size("ga") + F.size("gb") - same)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, block: int = 1024) -> DataFrame:
+def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, side: str | None = None) -> DataFrame:
     """Pairs of keys with Jaccard similarity of their gram arrays of at least `least`: (a, b, similarity), a < b.
 
-    Grams are numbers or strings, which are hashed. Rows are dealt to blocks by the size of their sets, and blocks of
-    sizes that can be that similar meet: on signatures of bits, of which a pair's union bounds its intersection. What
-    is left is compared whole. The work is quadratic in the rows of a band of sizes, on some hundred bytes of each, and
-    no frequent gram gathers rows in a task. Keys are unique; null and empty sets are in no pair.
+    Grams are numbers or strings, which are hashed. The most frequent grams are set apart. Two similar sets share one of
+    the first grams of both, in the order of frequency (of hashed counters; any order gives the same pairs); where that is a
+    frequent one, they share frequent grams only, so that both hold mostly such. Such sets are compared in blocks, by size:
+    one matrix product bounds what all pairs of two blocks share, and pairs within the bound are counted exactly. All other
+    pairs meet by their rare first grams, with positions and sizes that can still be enough, and are compared whole. So a
+    frequent gram gathers no rows in a task; the work is quadratic only in sets of mostly frequent grams. With `side`, only
+    pairs of different values of that column are compared and returned. Keys are unique; null and empty sets are in no pair.
     """
     spark = rows.sparkSession
     work = Work(spark, "grams")
     g = F.col(grams) if "bigint" in dict(rows.dtypes)[grams] else F.transform(grams, lambda x: F.xxhash64(x))
-    sized = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(g)).alias("grams")).where("size(grams) > 0")
-    sized = work.write(sized.withColumn("n", F.size("grams")).withColumn("band", _band(F.size("grams"), least)), "sets")
-    parts = {r["band"]: max(1, -(-r["k"] // block)) for r in sized.groupBy("band").agg(F.count("*").alias("k")).collect()}  # a row for each band: some tens
-    if not parts:
-        return sized.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    split = F.element_at(F.create_map(*[F.lit(x) for band, k in parts.items() for x in (band, k)]), F.col("band"))
-    place = F.format_string("%08d:%08d", "band", F.pmod(F.xxhash64("id"), split).cast("int"))
-    others = F.create_map(*[x for band in parts for x in (F.lit(band), F.array(*[F.lit(f"{o:08d}:{i:08d}") for o in (band - 1, band, band + 1) for i in range(parts.get(o, 0))]))])
-    signed = sized.withColumn("own", place).select("id", "n", "band", "grams", "own", F.element_at(others, F.col("band")).alias("cells"))
-    signed = signed.mapInArrow(lambda it: _signatures(it, least), f"id {dict(sized.dtypes)['id']}, n int, band int, sig binary, own string, cells array<string>")
-    cells = signed.withColumn("o", F.explode("cells")).select(F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "own", "id", "n", "sig")
-    kind = dict(sized.dtypes)["id"]
-    near = work.write(cells.groupBy("x", "y").applyInArrow(lambda table: _cell_pairs(table, least), f"a {kind}, b {kind}"), "near")
-    near = near.join(sized.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    same = F.size(F.array_intersect("ga", "gb"))
-    return near.withColumn("similarity", same / (F.size("ga") + F.size("gb") - same)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    which = F.coalesce(F.col(side).cast("string"), F.lit("")) if side else F.lit("")
+    sets = work.write(rows.select(F.col(key).alias("id"), which.alias("side"), F.array_sort(F.array_distinct(g)).alias("grams")).where("size(grams) > 0").withColumn("n", F.size("grams")), "sets")
+    count, slots = sets.count(), _frequencies(sets)
+    often, shared = _frequent(sets, slots, count), spark.sparkContext.broadcast(slots)
+    kind = dict(sets.dtypes)["id"]
+    coded = work.write(sets.mapInArrow(lambda it: _encoded(it, often, shared.value, least), f"id {kind}, n int, side string, bits binary, rest array<long>, dense boolean"), "coded")
+    dense = _dense_pairs(coded.where("dense"), least, side is not None)
+    out = work.write(dense.unionByName(_rare_pairs(work, coded, sets, least, side is not None)), "pairs")
+    for name in ("sets", "coded", "near"):
+        work.drop(name)
+    return out
 
 
 def vector_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:

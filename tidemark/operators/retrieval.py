@@ -92,13 +92,45 @@ def like_match(entries: DataFrame, fragments: list[str], columns: tuple[str, ...
     return entries.where(every)
 
 
+def base_name(name: Column) -> Column:
+    """The entry of a stored vector: shadows bear its name and a suffix."""
+    return F.regexp_replace(name, "#(query|alias)$", "")
+
+
+def stored(memory: dict, model: str | None = None) -> DataFrame:
+    """The vectors that a search may meet: of the given model, and of an entry with an active atomic fact.
+
+    The owner bears the vector's name or, where that has a shadow's suffix, the name without it; a shadow whose entry is
+    not there takes no part. Without a model, vectors of all are taken.
+    """
+    v = memory["vectors"]
+    if model is not None:
+        v = v.where(F.col("model") == model)
+    live = memory["projections"].where("kind = 'atomic_fact' AND state = 'active'").select(F.col("object_key").alias("id")).distinct()
+    entries = memory["entries"].select("name", "id").join(live.withColumn("live", F.lit(True)), "id", "left").groupBy("name").agg(F.max(F.coalesce("live", F.lit(False))).alias("live"))
+    named = v.withColumn("base", base_name(F.col("name")))
+    plain = named.where("base = name").join(entries.where("live").select("name"), "name", "left_semi")
+    of = entries.select(F.col("name").alias("base"), F.col("live").alias("base_live"))
+    own = entries.select("name", F.col("live").alias("own_live"))
+    shadows = named.where("base <> name").join(of, "base").join(own, "name", "left").where("base_live OR coalesce(own_live, false)")
+    return plain.select(*v.columns).unionByName(shadows.select(*v.columns))
+
+
+def pair_cosines(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, name, cos) of the given pairs of queries and entries that have a vector of their own; shadows don't count."""
+    v = vectors.select("name", F.col("vec").cast("array<double>").alias("v"))
+    met = pairs.join(v, "name").join(queries.where("vec IS NOT NULL").select("query_id", F.col("vec").cast("array<double>").alias("q")), "query_id")
+    cos = F.when(F.size("v") == F.size("q"), cosine(F.col("v"), F.col("q"))).otherwise(0.0)
+    return met.groupBy("query_id", "name").agg(F.max(cos).alias("cos"))
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, key: str = "name", vec: str = "vec", limit: int | None = None) -> DataFrame:
     """Cosine of every stored vector with every query, the best of each base name's shadows: (query_id, name, cos).
 
     Blocks of vectors meet blocks of queries in matrix products, so that neither side is gathered; with a limit only
-    the best of each query and block are passed on. Vectors of another length than the query's have a cosine of 0.
+    the best names of each query and block are passed on. Vectors of another length than the query's have a cosine of 0.
     """
-    base = F.regexp_replace(F.col(key), "#(query|alias)$", "")
+    base = base_name(F.col(key))
     scored = blocks_cosine(vectors.select(base.alias("name"), F.col(vec).cast("array<double>").alias("v")), queries.select("query_id", F.col("vec").cast("array<double>").alias("v")), limit)
     return scored.groupBy("query_id", "name").agg(F.max("cos").alias("cos"))
 
@@ -124,20 +156,23 @@ def blocks_cosine(left: DataFrame, right: DataFrame, limit: int | None, rows: in
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         out = {"query_id": [], "name": [], "cos": []}
         lengths = {len(x) for x in b["v"].to_pylist() if x}
-        names = a["name"].to_numpy(zero_copy_only=False) if a.num_rows else np.empty(0, object)
+        # all vectors of a name are in one block: the best of each name first, then the best names
+        names, of = np.unique(a["name"].to_numpy(zero_copy_only=False), return_inverse=True) if a.num_rows else (np.empty(0, object), None)
+        order = np.argsort(of, kind="stable") if a.num_rows else None
+        starts = np.searchsorted(of[order], np.arange(len(names))) if a.num_rows else None
         sizes = np.array([len(x or ()) for x in b["v"].to_pylist()], int)
         for dims in lengths if a.num_rows else ():
             own = np.flatnonzero(sizes == dims)
-            c = unit(b["v"].take(pa.array(own)), dims) @ unit(a["v"], dims).T
-            ids = b["query_id"].take(pa.array(own)).to_pylist()
-            for i, row in zip(ids, c):
-                best = np.arange(len(row))
-                if limit is not None and len(row) > 4 * limit:  # shadows of one owner are three at most; ties with the last stay
-                    cut = np.partition(row, -3 * limit)[-3 * limit]
-                    best = np.flatnonzero(row >= cut - 1e-9)
-                out["query_id"] += [i] * len(best)
-                out["name"] += names[best].tolist()
-                out["cos"] += row[best].tolist()
+            ids, of_dims = b["query_id"].take(pa.array(own)).to_pylist(), unit(a["v"], dims)[order].T
+            for at in range(0, len(own), 256):
+                c = np.maximum.reduceat(unit(b["v"].take(pa.array(own[at : at + 256])), dims) @ of_dims, starts, axis=1)
+                for i, row in zip(ids[at:], c):
+                    best = np.arange(len(row))
+                    if limit is not None and len(row) > 2 * limit:  # ties with the last stay
+                        best = np.flatnonzero(row >= np.partition(row, -limit)[-limit] - 1e-9)
+                    out["query_id"] += [i] * len(best)
+                    out["name"] += names[best].tolist()
+                    out["cos"] += row[best].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], b.schema.field("query_id").type if b.num_rows else pa.int64()), "name": pa.array(out["name"], a.schema.field("name").type if a.num_rows else pa.string()), "cos": pa.array(out["cos"], pa.float64())})
 
     return one.groupBy("l", "r").cogroup(two.groupBy("l", "r")).applyInArrow(lambda a, b: cell(a, b), f"query_id {kind}, name {name}, cos double")

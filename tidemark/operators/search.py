@@ -28,6 +28,7 @@ class Options:
     penalty: float = 0.0
     associative: bool = False
     sweep: bool = False
+    model: str | None = None  # of the vectors that count; of all, where it is not given
     reranker: Callable | None = None  # of a frame (query_id, text, name, content): (query_id, name, score)
 
 
@@ -123,10 +124,10 @@ def tiered(lists: list[DataFrame]) -> DataFrame:
     return first.select("query_id", "name", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("rank"))
 
 
-def associative(memory: dict, cues: DataFrame, cosines: DataFrame, depth: int = 2, cap: int = R.CLUSTER_CAP) -> DataFrame:
+def associative(memory: dict, cues: DataFrame, cosines: Callable[[DataFrame], DataFrame], depth: int = 2, cap: int = R.CLUSTER_CAP) -> DataFrame:
     """(query_id, name, rank): entries of entities that a walk from a query's cues reaches, by cosine, then by score.
 
-    cues: (query_id, entity); cosines: (query_id, name, cos). Each query walks by itself: the frontier carries its id.
+    cues: (query_id, entity); cosines: of pairs (query_id, name), gives (query_id, name, cos). Each query walks by itself: the frontier carries its id.
     """
     links = G.mirrored(memory["edges"]).where("weight > 0")
     entities = memory["entities"].select("entry", "entity").distinct()
@@ -140,7 +141,7 @@ def associative(memory: dict, cues: DataFrame, cosines: DataFrame, depth: int =
         visited = visited.union(level.select("query_id", "entity"))
     best = reached.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entity"))).where(F.col("nth") <= cap)
     scored = best.join(entities, "entity").groupBy("query_id", F.col("entry").alias("name")).agg(F.sum("score").alias("graph"))
-    met = scored.join(cosines, ["query_id", "name"])
+    met = scored.join(cosines(scored.select("query_id", "name")), ["query_id", "name"])
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cos", 9)), F.desc(F.round("graph", 9)), "name")
     return met.select("query_id", "name", F.row_number().over(order).alias("rank"))
 
@@ -187,13 +188,17 @@ def neighbours(hits: DataFrame, entities: DataFrame, seeds: int = R.SEEDS, most:
     return R.top(counts, ["query_id"], [F.desc("shared"), "name"], most)
 
 
-def reranked(hits: DataFrame, memory: dict, q: DataFrame, reranker: Callable, pool: int = R.RERANK_POOL) -> DataFrame:
-    """Hits re-ordered by a scorer of (query, content) pairs, over the first of them and their neighbours; queries that it leaves out keep their order."""
-    first = hits.where(F.col("rank") <= pool).select("query_id", "name")
+def reranked(hits: DataFrame, memory: dict, q: DataFrame, reranker: Callable) -> DataFrame:
+    """Hits re-ordered by a scorer of (query, content) pairs, over the first of them and their neighbours; queries that it leaves out keep their order.
+
+    q: (query_id, text, k), k being what the search returns; it looks at RERANK_POOL hits, or at k where that is more.
+    """
+    hits = hits.join(q.select("query_id", F.greatest(F.lit(R.RERANK_POOL), "k").alias("pool")), "query_id").where("rank <= pool").drop("pool")
+    first = hits.select("query_id", "name")
     wide = first.union(neighbours(hits, memory["entities"]).select("query_id", "name")).distinct()
     given = wide.join(q.select("query_id", "text"), "query_id").join(memory["entries"].select("name", "content"), "name").select("query_id", "text", "name", "content")
     scored = reranker(given).select("query_id", "name", "score")
-    kept = hits.where(F.col("rank") <= pool).select("query_id", "name", "score").join(scored.select("query_id").distinct(), "query_id", "left_anti")
+    kept = hits.select("query_id", "name", "score").join(scored.select("query_id").distinct(), "query_id", "left_anti")
     both = scored.union(kept)
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name")))
 
@@ -213,7 +218,9 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
         timely = q.join(windows, "query_id", "left_semi")
         lists = [keyword, *([alias_ranks(memory["aliases"], timely)] if "aliases" in memory else []), directional(memory, windows)]
         keyword = tiered(lists)
-    cosines = work.write(R.semantic(memory["vectors"], q.where("vec IS NOT NULL")), "cosines")
+    vectors = R.stored(memory, options.model)
+    most = q.agg(F.max(F.greatest(F.lit(100), 10 * F.col("k")))).first()[0] or 100
+    cosines = R.semantic(vectors, q.where("vec IS NOT NULL"), limit=int(most))
     order = lambda *c: Window.partitionBy("query_id").orderBy(*c)
     vec = _within(cosines.withColumn("rank", F.row_number().over(order(F.desc(F.round("cos", 9)), "name"))), q)
     cues = None
@@ -225,7 +232,7 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
     ent = counts.withColumnRenamed("entry", "name").withColumn("rank", F.row_number().over(order(F.desc("matched"), "name")))
     signals, names = {"bm25": keyword, "vec": vec, "ent": ent}, ["bm25", "vec", "ent"]
     if options.associative:
-        signals["assoc"] = _within(associative(memory, cues, cosines), q)
+        signals["assoc"] = _within(associative(memory, cues, lambda pairs: R.pair_cosines(pairs, vectors, q)), q)
         names.append("assoc")
     hits = active(R.fuse(signals, names).select("query_id", "name", "score"), memory)
     if options.temporal:
@@ -246,7 +253,8 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
         out = out.join(wide.select("query_id").distinct(), "query_id", "left_anti").union(wide.withColumn("cluster_sweep", F.lit(True)).select(*out.columns))
     if options.reranker is not None:
         flags = out.groupBy("query_id").agg(F.bool_or("cluster_sweep").alias("cluster_sweep"))
-        out = reranked(out, memory, q, options.reranker).join(flags, "query_id").select(*out.columns)
+        wanted = q.join(flags, "query_id").select("query_id", "text", F.when(F.col("cluster_sweep"), R.SWEEP_CAP).otherwise(F.col("k")).alias("k"))
+        out = reranked(out, memory, wanted, options.reranker).join(flags, "query_id").select(*out.columns)
     out = work.write(out, "out")
     before, after = hits.groupBy("query_id").agg(F.count("*").alias("before")), out.groupBy("query_id").agg(F.count("*").alias("after"))
     out = out.join(cut, "query_id").where(F.col("rank") <= F.when(F.col("cluster_sweep"), R.SWEEP_CAP).otherwise(F.col("k"))).drop("k")
@@ -258,15 +266,20 @@ def search(memory: dict, queries: DataFrame, options: Options = Options()) -> Da
 def search_multi(memory: dict, subqueries: DataFrame, k: int, options: Options = Options()) -> DataFrame:
     """Results of queries that come as sub-queries (query_id, sub_id, text, vec, now): each is searched, their lists fused by rank.
 
-    A query with one sub-query gets just its results. Returns (query_id, rank, name, score).
+    A query with one sub-query gets just its results. Returns (query_id, rank, name, score, cluster_sweep); an entry was
+    swept if some sub-query's list has it so.
     """
+    k = k if k > 0 else R.DEFAULT_K
     t = distinct_texts(subqueries).join(subqueries.select("query_id", "sub_id", "vec", "now"), ["query_id", "sub_id"])
     count = t.groupBy("query_id").agg(F.count("*").alias("subs"))
     t = t.join(count, "query_id").withColumn("own", F.struct("query_id", "sub_id"))
     flat = t.select(F.to_json("own").alias("query_id"), "text", "vec", "now", F.when(F.col("subs") == 1, k).otherwise(10 * k).alias("k"))
     found = search(memory, flat, options).join(t.select(F.to_json("own").alias("key"), F.col("query_id").alias("of"), "subs"), F.col("query_id") == F.col("key"))
-    fused = found.groupBy("of", "name").agg(F.when(F.max("subs") == 1, F.max("score")).otherwise(F.sum(1.0 / (R.RRF + F.col("rank")))).alias("score"))
-    return R.top(fused.withColumnRenamed("of", "query_id"), ["query_id"], [F.desc(F.round("score", 12)), "name"], k).select("query_id", "rank", "name", "score")
+    fused = found.groupBy("of", "name").agg(F.when(F.max("subs") == 1, F.max("score")).otherwise(F.sum(1.0 / (R.RRF + F.col("rank")))).alias("score"), F.bool_or("cluster_sweep").alias("cluster_sweep"), F.max("subs").alias("subs"), F.min("rank").alias("own"))
+    # one list stays as it is, swept or not; fused ones are cut
+    place = [F.when(F.col("subs") == 1, F.col("own")), F.desc(F.round("score", 12)), "name"]
+    ranked = fused.withColumnRenamed("of", "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*place)))
+    return ranked.where((F.col("subs") == 1) | (F.col("rank") <= k)).select("query_id", "rank", "name", "score", "cluster_sweep")
 
 
 def retry_union(first: DataFrame, more: DataFrame, limit: int) -> DataFrame:

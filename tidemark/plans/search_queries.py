@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
 from tidemark.operators import events as E, search as S, selection as X, training as N
@@ -10,29 +12,63 @@ from tidemark.plans.retrieval_queries import _SIGNALS
 
 
 def _memory(t):
-    """Documents as a memory: a year of events, every sixth fact stale, entities, one alias each."""
+    """Documents as a memory: a year of events, every sixth fact stale, entities, one alias each, vectors of two models, every fifth one a shadow."""
     d = t.documents
     name = F.concat(F.lit("doc-"), "doc_id").alias("name")
     day = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(CAST(doc_id % 365 AS INT))")
     entries = d.select(name, F.col("doc_id").cast("string").alias("id"), F.lit("").alias("trigger"), F.col("text").alias("content"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(CAST(doc_id AS INT))").alias("updated_at"), F.when(F.col("doc_id") % 10 != 0, day).alias("event_start"),
                        F.when(F.col("doc_id") % 10 != 0, day).alias("event_end"), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("doc-"), F.col("doc_id") + 1)).alias("superseded_by"))
-    vectors = t.embeddings.select(F.concat(F.lit("doc-"), "vec_id").alias("name"), F.col("embedding").alias("vec"))
+    shadow = F.col("vec_id") % 5 == 4
+    named = F.concat(F.lit("doc-"), F.when(shadow, F.col("vec_id") - 1).otherwise(F.col("vec_id")), F.when(shadow, "#alias").otherwise(""))
+    vectors = t.embeddings.select(named.alias("name"), F.when(F.col("vec_id") % 11 == 3, "old").otherwise("new").alias("model"), F.col("embedding").alias("vec"))
     projections = d.select(F.concat(F.lit("p"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("object_key"), F.when(F.col("doc_id") % 6 == 0, "stale").otherwise("active").alias("state"), F.lit("atomic_fact").alias("kind"))
     aliases = d.select(name.alias("entry"), F.concat(F.lit("aka "), F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("text"))
     return {"entries": entries, "vectors": vectors, "entities": t.doc_entities, "projections": projections, "aliases": aliases}
 
 
 def _queries(t):
-    q = t.questions.join(t.queries, "query_id", "left")
+    """Every question, and every vector query: one of either has no vector, or no text and so no results."""
+    q = t.questions.join(t.queries, "query_id", "full")
     return q.select("query_id", "text", "vec", F.lit("2024-06-15").cast("date").alias("now"), F.lit(8).alias("k"))
 
 
-@query(f"""WITH {_SIGNALS}, a AS (SELECT f.* FROM f JOIN documents d ON f.name = 'doc-' || d.doc_id WHERE d.doc_id % 6 <> 0) SELECT query_id, rank, name, round(score, 9) AS score, 'p' || substr(name, 5) AS projection_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM a) WHERE rank <= 8""")
+#: The signals of a search: vectors of one model, the best of an entry's own and its shadow, of entries that are there and active.
+_ACTIVE = re.sub(
+    r"s2 AS \(.*?\)\),\nqt AS",
+    """s2 AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, name) AS rank FROM (
+  SELECT query_id, 'doc-' || owner AS name, max(list_cosine_similarity(v, vec)) AS cos FROM (
+    SELECT CASE WHEN vec_id % 5 = 4 THEN vec_id - 1 ELSE vec_id END AS owner, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 11 <> 3) x
+  JOIN documents ON doc_id = owner AND doc_id % 6 <> 0, {queries} JOIN {questions} q USING (query_id) WHERE trim(q.text) <> '' GROUP BY 1, 2)),
+qt AS""",
+    _SIGNALS,
+    flags=re.DOTALL,
+)
+_FOUND = f"""WITH {_ACTIVE}, a AS (SELECT f.* FROM f JOIN documents d ON f.name = 'doc-' || d.doc_id WHERE d.doc_id % 6 <> 0)"""
+
+
+@query(f"""{_FOUND} SELECT query_id, rank, name, round(score, 9) AS score, 'p' || substr(name, 5) AS projection_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM a) WHERE rank <= 8""")
 def search_default(t):
-    r = S.search(_memory(t), _queries(t))
+    r = S.search(_memory(t), _queries(t), S.Options(model="new"))
     return r.select("query_id", F.col("rank").cast("long").alias("rank"), "name", F.round("score", 9).alias("score"), "projection_id")
 
 
+#: A fused sub-query is searched to ten times the depth, and its signals to ten times that.
+_DEEP = _FOUND.replace("rank <= 100", "rank <= CASE WHEN query_id IN (SELECT query_id FROM own JOIN n USING (grp) WHERE subs > 1) THEN 800 ELSE 100 END").replace(
+    "WITH ", "WITH own AS (SELECT min(query_id) AS query_id, grp FROM (SELECT query_id, query_id // 200 AS grp, trim(text) AS text FROM {questions} WHERE trim(text) <> '') GROUP BY grp, text), n AS (SELECT grp, count(*) AS subs FROM own GROUP BY 1),\n", 1
+)
+
+
+@query(f"""{_DEEP}, o AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM a),
+m AS (SELECT grp, name, CASE WHEN subs = 1 THEN 1.0 / min(rank) ELSE sum(1.0::DOUBLE / (60 + rank)) END AS place, CASE WHEN subs = 1 THEN NULL ELSE round(sum(1.0::DOUBLE / (60 + rank)), 9) END AS score FROM o JOIN own USING (query_id) JOIN n USING (grp) WHERE rank <= CASE WHEN subs = 1 THEN 8 ELSE 80 END GROUP BY grp, name, subs)
+SELECT grp AS query_id, rank, name, score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(place, 12) DESC, name) AS rank FROM m) WHERE rank <= 8""")
+def search_multi(t):
+    """Questions of a group as one question's sub-queries."""
+    subs = _queries(t).select(F.expr("query_id div 200").alias("query_id"), F.col("query_id").alias("sub_id"), "text", "vec", "now")
+    alone = S.distinct_texts(subs).groupBy("query_id").agg((F.count("*") == 1).alias("alone"))
+    r = S.search_multi(_memory(t), subs, 8, S.Options(model="new")).join(alone, "query_id")
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "name", F.when(~F.col("alone"), F.round("score", 9)).alias("score"))
+
+
 @query("""WITH q AS (SELECT query_id, lower(regexp_extract(text, '[A-Za-z]{5,}')) AS part FROM {questions}), f AS (SELECT DISTINCT query_id, list_position(list_transform(regexp_extract_all(text, '[A-Za-z0-9_''-]+|[\\x{4E00}-\\x{9FFF}]+'), lambda x: lower(x)), p) AS place, p FROM (SELECT query_id, text, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9_''-]+|[\\x{4E00}-\\x{9FFF}]+'), lambda x: lower(x))) AS p FROM {questions}) WHERE length(p) >= 3),
 a AS (SELECT 'doc-' || doc_id AS name, lower('aka ' || regexp_extract(text, '[A-Za-z]{6,}')) AS alias FROM documents), m AS (SELECT query_id, name, min(place * 100000 + length(alias)) AS o FROM f JOIN a ON contains(alias, p) GROUP BY 1, 2)
 SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY o, name) AS rank FROM m""", name="alias_join")

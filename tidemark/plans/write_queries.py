@@ -280,7 +280,6 @@ def split_leakage(t):
     from tidemark.functions.text import split_of
 
     rows = neardup.text_grams(t.documents.select("doc_id", normal_form("text").alias("x")), "doc_id", "x", 6, "none")
-    pairs = neardup.gram_pairs(rows, "doc_id", "grams", 0.5)
-    met = pairs.withColumn("sa", split_of("a", "42")).withColumn("sb", split_of("b", "42")).where("sa <> sb")
-    train = F.col("sa") == "train"
+    met = neardup.gram_pairs(rows.withColumn("split", split_of("doc_id", "42")), "doc_id", "grams", 0.5, side="split")
+    train = split_of("a", "42") == "train"
     return met.select(F.when(train, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(train, F.col("b")).otherwise(F.col("a")).alias("b"), F.round("similarity", 6).alias("similarity"))

@@ -37,13 +37,16 @@ def text_grams(rows: DataFrame, key: str, text: str, n: int = 3, short: str = "w
                 out.append(np.unique(code.view(np.int64)))
             yield pa.RecordBatch.from_pydict({key: batch.column(0), "grams": pa.array(out, pa.list_(pa.int64()))})
 
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, grams array<long>")
+    # dealt by key: a table of few files would be the work of as few tasks
+    dealt = rows.select(key, text).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.mapInArrow(run, f"`{key}` {kind}, grams array<long>")
 
 
 SLOTS = 1 << 20  # hashed counters of gram frequencies
 SHARE = 64  # a gram of more than 1/SHARE of the sets is frequent
-FREQUENT, REST = 4096, 1024  # columns of frequent grams, most of them first, and of hashed other ones
-ROWS = 2048  # sets of a block
+FREQUENT = 4096  # grams apart, at most
+ROWS = 1024  # sets of a block
+MET = 4  # a candidate of a rare gram costs as much as so many pairs of a block
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,8 +96,11 @@ def _frequent(sets: DataFrame, slots: np.ndarray, count: int) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in counted.where(F.col("k") > least).orderBy(F.desc("k"), "gram").limit(FREQUENT).collect()], np.int64))
 
 
-def _encoded(batches, often, slots, least):
-    """Bits of a set's frequent grams, its other grams from the rarest on, and whether it may be similar by frequent ones alone."""
+def _encoded(batches, often, slots, least, count):
+    """Bits of a set's frequent grams, its other grams from the rarest on, and whether it is compared in blocks.
+
+    It must be where it may be similar by frequent grams alone; it is too where its rare ones would meet more sets than are worth it.
+    """
     for batch in batches:
         bits, rest, dense = [], [], []
         for grams in batch.column("grams"):
@@ -104,56 +110,60 @@ def _encoded(batches, often, slots, least):
             row = np.zeros(FREQUENT, bool)
             row[at[hit]] = True
             own = g[~hit]
-            own = own[np.lexsort((own, slots[_slot(own, SLOTS.bit_length() - 1)]))]
-            bits.append(np.packbits(row).tobytes()), rest.append(own), dense.append(bool(hit.sum() >= least * len(g) - 1e-9))
+            often_own = slots[_slot(own, SLOTS.bit_length() - 1)]
+            order = np.lexsort((own, often_own))
+            own = own[order]
+            meets = int((often_own[order[: len(g) - math.ceil(least * len(g) - 1e-9) + 1]] - 1).sum())
+            bits.append(np.packbits(row).tobytes()), rest.append(own), dense.append(bool(hit.sum() >= least * len(g) - 1e-9) or meets * MET > count)
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("side"), pa.array(bits, pa.binary()), pa.array(rest, pa.list_(pa.int64())), pa.array(dense, pa.bool_())], names=["id", "n", "side", "bits", "rest", "dense"])
 
 
-def _matrix(bits: list[bytes], rest: list[np.ndarray]) -> np.ndarray:
-    """Rows of frequent grams, and of hashed counts of others: the product of two rows is at least what their sets share."""
-    out = np.zeros((len(bits), FREQUENT + REST), np.float32)
-    out[:, :FREQUENT] = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(bits), FREQUENT)
-    row = np.repeat(np.arange(len(rest)), [len(r) for r in rest])
-    slot = _slot(np.concatenate([np.empty(0, np.int64), *rest]), REST.bit_length() - 1)
-    out[:, FREQUENT:] = np.bincount(row * REST + slot, minlength=len(rest) * REST).reshape(len(rest), REST)
+def _matrix(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(bits), FREQUENT).astype(np.float32)
+
+
+def _rare_shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each array of the left shares with each of the right: equal ones are found in the right's sorted members."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    mine = np.concatenate([np.empty(0, np.int64), *left])
+    theirs = np.concatenate([np.empty(0, np.int64), *right])
+    row = np.repeat(np.arange(len(right)), [len(r) for r in right])
+    order = np.argsort(theirs, kind="stable")
+    theirs, row = theirs[order], row[order]
+    known, of = np.unique(mine, return_inverse=True)
+    first, last = np.searchsorted(theirs, known), np.searchsorted(theirs, known, "right")
+    at = 0
+    for i, own in enumerate(left):
+        k = of[at : at + len(own)]
+        at += len(own)
+        n = last[k] - first[k]
+        place = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[i] = np.bincount(row[place], minlength=len(right))
     return out
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Common members of two sorted arrays."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(b):
-        return 0
-    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-
-
 def _cell_pairs(table: pa.Table, least: float) -> pa.Table:
     """Similar pairs of a cell: of its two blocks, or of one block with itself."""
     same = table["x"][0].as_py() == table["y"][0].as_py()
     parts = []
     for left in (True, False):
         own = table.filter(pc.equal(table["left"], left)).combine_chunks()
-        bits, rest = own["bits"].to_pylist(), [np.sort(r.values.to_numpy(zero_copy_only=False)) for r in own["rest"].combine_chunks()]
-        parts.append((own["id"].to_numpy(zero_copy_only=False), own["n"].to_numpy().astype(np.int64), bits, rest))
+        rest = [r.values.to_numpy(zero_copy_only=False) for r in own["rest"].combine_chunks()]
+        parts.append((own["id"].to_numpy(zero_copy_only=False), own["n"].to_numpy().astype(np.int64), own["bits"].to_pylist(), rest))
     (id_x, n_x, bits_x, rest_x), (id_y, n_y, bits_y, rest_y) = parts
-    a, b, sim = [], [], []
+    a, b, sim = [id_x[:0]], [id_x[:0]], [np.empty(0)]
     if len(id_x) and len(id_y):
-        right = _matrix(bits_y, rest_y)
-        bit_y = np.frombuffer(b"".join(bits_y), np.uint64).reshape(len(bits_y), -1)
-        for at in range(0, len(id_x), 512):
-            most = _matrix(bits_x[at : at + 512], rest_x[at : at + 512]) @ right.T
-            total = n_x[at : at + 512, None] + n_y
-            for i, j in zip(*np.nonzero(most * (1 + least) >= least * total - 1e-3)):
-                i += at
-                if same and not id_x[i] < id_y[j]:
-                    continue
-                both = int(np.bitwise_count(np.frombuffer(bits_x[i], np.uint64) & bit_y[j]).sum()) + _shared(rest_x[i], rest_y[j])
-                s = both / (int(n_x[i]) + int(n_y[j]) - both)
-                if s >= least:
-                    a.append(min(id_x[i], id_y[j])), b.append(max(id_x[i], id_y[j])), sim.append(s)
+        right = _matrix(bits_y)
+        for at in range(0, len(id_x), 256):
+            to = at + 256
+            both = (_matrix(bits_x[at:to]) @ right.T + _rare_shared(rest_x[at:to], rest_y)).astype(np.int64)  # whole numbers below 2^24: exact
+            similarity = both / (n_x[at:to, None] + n_y - both)
+            i, j = np.nonzero(similarity >= least)
+            x, y, s = id_x[at + i], id_y[j], similarity[i, j]
+            kept = x < y if same else np.ones(len(x), bool)
+            a.append(np.minimum(x, y)[kept]), b.append(np.maximum(x, y)[kept]), sim.append(s[kept])
     kind = table.schema.field("id").type
-    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "similarity": pa.array(sim, pa.float64())})
+    return pa.table({"a": pa.array(np.concatenate(a), kind), "b": pa.array(np.concatenate(b), kind), "similarity": pa.array(np.concatenate(sim), pa.float64())})
 
 
 def _dense_pairs(rows: DataFrame, least: float, sides: bool) -> DataFrame:
@@ -175,6 +185,8 @@ def _dense_pairs(rows: DataFrame, least: float, sides: bool) -> DataFrame:
 def _rare_pairs(work: Work, rows: DataFrame, sets: DataFrame, least: float, sides: bool) -> DataFrame:
     """Similar pairs with a set that is not of mostly frequent grams: they share one of the rarest grams of both."""
     length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    if rows.where("NOT dense").isEmpty():
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).where("false")
     posted = rows.select("id", "n", "side", "dense", F.posexplode(F.slice("rest", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("place", "gram"))
     one, two = (posted.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "side", "dense", "place")]) for s in "xy")
     left = 1 + F.least(F.col("n_x") - F.col("place_x") - 1, F.col("n_y") - F.col("place_y") - 1)
@@ -194,9 +206,10 @@ def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, side: str |
     Grams are numbers or strings, which are hashed. The most frequent grams are set apart. Two similar sets share one of
     the first grams of both, in the order of frequency (of hashed counters; any order gives the same pairs); where that is a
     frequent one, they share frequent grams only, so that both hold mostly such. Such sets are compared in blocks, by size:
-    one matrix product bounds what all pairs of two blocks share, and pairs within the bound are counted exactly. All other
+    a matrix product counts the frequent grams that all pairs of two blocks share, and a lookup the others. So are sets
+    whose rare first grams have together more members than a quarter of all sets. All other
     pairs meet by their rare first grams, with positions and sizes that can still be enough, and are compared whole. So a
-    frequent gram gathers no rows in a task; the work is quadratic only in sets of mostly frequent grams. With `side`, only
+    frequent gram gathers no rows in a task; the work is quadratic only in sets that meet most others anyway. With `side`, only
     pairs of different values of that column are compared and returned. Keys are unique; null and empty sets are in no pair.
     """
     spark = rows.sparkSession
@@ -207,7 +220,7 @@ def gram_pairs(rows: DataFrame, key: str, grams: str, least: float, side: str |
     count, slots = sets.count(), _frequencies(sets)
     often, shared = _frequent(sets, slots, count), spark.sparkContext.broadcast(slots)
     kind = dict(sets.dtypes)["id"]
-    coded = work.write(sets.mapInArrow(lambda it: _encoded(it, often, shared.value, least), f"id {kind}, n int, side string, bits binary, rest array<long>, dense boolean"), "coded")
+    coded = work.write(sets.mapInArrow(lambda it: _encoded(it, often, shared.value, least, count), f"id {kind}, n int, side string, bits binary, rest array<long>, dense boolean"), "coded")
     dense = _dense_pairs(coded.where("dense"), least, side is not None)
     out = work.write(dense.unionByName(_rare_pairs(work, coded, sets, least, side is not None)), "pairs")
     for name in ("sets", "coded", "near"):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import keywords as K
 from tidemark.functions.text import CJK_LETTERS, normal_form, query_tokens
 from tidemark.functions.vectors import cosine
+from tidemark.operators.keyword_index import KeywordIndex, lengths, postings, token_grams
 from tidemark.work import Work
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6  # of BM25
@@ -32,42 +35,51 @@ def phrases(queries: DataFrame, text: str = "text") -> DataFrame:
     return asked.select("query_id", F.explode("p").alias("phrase"), F.size("p").alias("n_phrases"))
 
 
-def postings(entries: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
-    """(name, token, n): how often each run of word characters occurs in an entry, in lower case."""
-    runs = F.concat(*[K.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
-    return entries.select(F.col(key).alias("name"), F.explode(runs).alias("token")).where(F.length("token") >= K.LEAST).groupBy("name", "token").agg(F.count("*").alias("n"))
-
-
 def occurrences(text: Column, phrase: Column) -> Column:
     """Overlapping occurrences of a phrase without special characters."""
     return F.regexp_count(text, F.concat(F.lit("(?="), phrase, F.lit(")")))
 
 
-def bm25(entries: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("name", "content"), key: str = "name") -> DataFrame:
+def bm25(entries: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("name", "content"), key: str = "name", index: KeywordIndex | None = None) -> DataFrame:
     """Keyword signal: entries that hold all phrases of a query as substrings, with their BM25 score.
 
     Document length is the number of character trigrams over all columns, a phrase's frequency its overlapping
     occurrences, its document frequency the entries that hold it. A phrase occurs inside a run of word characters only, so
     that it is looked for in the distinct runs of all entries, by its first trigram, and its entries are found by an
-    equi-join with their runs: entries are read once, whatever the number of queries.
+    equi-join with their runs. With an index, which is brought up to date first, only changed entries are read
+    for their runs; without, postings of all are made and dropped again once the hits are written.
     """
     some = Work(entries.sparkSession, "keywords")
-    posted = some.write(postings(entries, columns, key), "postings")
-    dl = sum((F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in columns), F.lit(0)).cast("double")
-    lengths = entries.select(F.col(key).alias("name"), dl.alias("dl"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    asked = phrases(queries)
+    if index is not None:
+        index.update(entries)
+        posted, sizes, grams = index.postings, index.entries().select("name", "dl"), index.grams()
+    else:
+        rows = some.write(postings(entries, columns, key), "postings")
+        posted, sizes, grams = lambda tokens: rows.join(tokens, "token"), lengths(entries, columns, key), token_grams(rows.select("token").distinct())
+    hits = some.write(phrase_scores(posted, sizes, grams, phrases(queries)), "hits")
+    some.drop("postings")
+    return hits
+
+
+def phrase_scores(posted: Callable[[DataFrame], DataFrame], sizes: DataFrame, grams: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, name, score) of entries that hold all phrases of a query: asked (query_id, phrase, n_phrases).
+
+    posted: of tokens (token, phrase, k), gives the postings (name, token, n) joined with them.
+    """
+    stats = sizes.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = asked.where(F.length("phrase") >= K.LEAST).select("phrase").distinct().withColumn("gram", F.substring("phrase", 1, 3))
     # tokens that hold a phrase: by the phrase's first trigram, then as a whole
-    token = posted.select("token").distinct()
-    grams = token.select("token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substr("token", i, F.lit(3))))).alias("gram"))
-    held = grams.join(wanted, "gram").where(F.contains("token", "phrase")).select("token", "phrase", occurrences(F.col("token"), F.col("phrase")).alias("k"))
-    found = posted.join(held, "token").groupBy("name", "phrase").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("tf"))
+    held = grams.join(wanted, "gram").where(F.contains("token", "phrase")).select("token", "phrase", occurrences(F.col("token"), F.col("phrase")).alias("k")).distinct()
+    found = posted(held).groupBy("name", "phrase").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("tf"))
     df = found.groupBy("phrase").agg(F.count("*").cast("double").alias("df"))
-    hits = found.join(df, "phrase").join(asked, "phrase").join(lengths, "name").crossJoin(F.broadcast(stats))  # stats: one row
+    hits = found.join(df, "phrase").join(asked, "phrase").join(sizes, "name").crossJoin(F.broadcast(stats))  # stats: one row
+    return hits.groupBy("query_id", "name", "n_phrases").agg(F.sum(bm25_term()).alias("score"), F.count("*").alias("met")).where("met = n_phrases").select("query_id", "name", "score")
+
+
+def bm25_term() -> Column:
+    """The BM25 score of one phrase in one document, of columns n_docs, df, tf, dl and avgdl."""
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
-    score = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "name", "n_phrases").agg(F.sum(score).alias("score"), F.count("*").alias("met")).where("met = n_phrases").select("query_id", "name", "score")
+    return idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def fragments(entries: DataFrame, queries: DataFrame, limit: int, key: str = "name", columns: tuple[str, ...] = ("name", "trigger", "content")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Queries: (query_id, text, vec, now, k); vec and now may be null. A memory is a dict of tables: entries (name, id, trigger, content, updated_at,
 event_start, event_end, superseded_by), vectors (name, vec), entities (entry, entity, raw), projections (id, object_key, state,
-kind), and where their signals are asked for aliases (entry, text) and edges (entity_a, entity_b, weight).
+kind), and where their signals are asked for aliases (entry, text) and edges (entity_a, entity_b, weight). Under "keywords" it may hold a KeywordIndex of name, trigger and content.
 """
 
 from __future__ import annotations
@@ -56,18 +56,29 @@ def keyword_ranks(memory: dict, q: DataFrame) -> DataFrame:
     """(query_id, name, rank) by BM25, or of fragments where the plan falls back to them."""
     entries = memory["entries"]
     most = 10 * (q.agg(F.max("k")).first()[0] or 10)
-    bm = R.bm25(entries, q, ("name", "trigger", "content"))
+    bm = R.bm25(entries, q, ("name", "trigger", "content"), index=memory.get("keywords"))
     ranked = bm.select("query_id", "name", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "name")).alias("rank"))
     return _within(ranked.union(R.fragments(entries, q, max(100, most))), q)
 
 
 def alias_ranks(aliases: DataFrame, q: DataFrame) -> DataFrame:
-    """(query_id, name, rank) of entries whose alias holds a fragment of the query, by fragment, then length of the alias and name."""
-    asked = q.select("query_id", F.posexplode(F.transform(K.runs(F.col("text")), F.lower)).alias("place", "part")).where(F.length("part") >= K.LEAST)
-    grams = aliases.select(F.col("entry").alias("name"), F.lower("text").alias("alias")).where(F.length("alias") >= K.LEAST)
-    grams = grams.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("alias") - 2), lambda i: F.substr("alias", i, F.lit(3))))))
-    met = grams.join(asked.withColumn("gram", F.substring("part", 1, 3)), "gram").where(F.contains("alias", "part"))
-    first = met.groupBy("query_id", "name").agg(F.min(F.struct("place", F.length("alias").alias("n"))).alias("at"))
+    """(query_id, name, rank) of entries whose alias holds a fragment of the query: fragment by fragment, each by BM25 over all aliases, then name.
+
+    Of each fragment as many aliases count as the query's pool holds; an entry stands where it first comes.
+    """
+    limit = F.greatest(F.lit(100), 10 * F.col("k")) if "k" in q.columns else F.lit(R.pool(R.DEFAULT_K))
+    asked = q.select("query_id", limit.alias("pool"), F.posexplode(F.transform(K.runs(F.col("text")), F.lower)).alias("place", "part")).where(F.length("part") >= K.LEAST)
+    rows = aliases.select(F.col("entry").alias("name"), F.lower("text").alias("alias")).withColumn("dl", F.greatest(F.length("alias") - 2, F.lit(0)).cast("double"))
+    stats = rows.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    places = F.transform(F.sequence(F.lit(1), F.length("alias") - 2), lambda i: F.substr("alias", i, F.lit(3)))
+    grams = rows.where(F.length("alias") >= K.LEAST).withColumn("gram", F.explode(F.array_distinct(places)))
+    parts = asked.select("part").distinct().withColumn("gram", F.substring("part", 1, 3))
+    met = grams.join(parts, "gram").where(F.contains("alias", "part")).select("part", "name", "alias", "dl", R.occurrences(F.col("alias"), F.col("part")).cast("double").alias("tf"))
+    df = met.groupBy("part").agg(F.count("*").cast("double").alias("df"))
+    scored = met.join(df, "part").crossJoin(F.broadcast(stats)).select("part", "name", "alias", R.bm25_term().alias("score"))  # stats: one row
+    by = Window.partitionBy("query_id", "place").orderBy(F.desc(F.round("score", 9)), "name", "alias")
+    ranked = asked.join(scored, "part").withColumn("nth", F.row_number().over(by)).where("nth <= pool")
+    first = ranked.groupBy("query_id", "name").agg(F.min(F.struct("place", "nth")).alias("at"))
     return first.select("query_id", "name", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "name")).alias("rank"))
 
 

@@ -111,7 +111,9 @@ def questions(t) -> DataFrame:
     """A question for every hundredth id, of words of its document, and the odd ones."""
     found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
     words = F.concat_ws(" ", F.array_join(F.slice(found("[A-Za-z]{5,}"), 1, 2), " "), F.try_element_at(found("[A-Za-z]{12,}"), F.lit(1)))
-    own = t.queries.select("query_id").join(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id").select("query_id", words.alias("text"))
+    own = t.queries.select("query_id").join(t.documents.select(F.col("doc_id").alias("query_id"), "text"), "query_id")
+    # an aggregate, below which no filter on the words goes: it would read the words of all documents
+    own = own.groupBy("query_id").agg(F.max("text").alias("text")).select("query_id", words.alias("text"))
     return own.union(t.spark.createDataFrame(ODD_QUESTIONS, "query_id long, text string"))
 
 

@@ -16,6 +16,16 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def keywords(self, of: str, columns: tuple[str, ...]):
+        """The kept keyword index of one of the model's tables, in the shared folder: later queries on the same tables find it."""
+        from hashlib import sha256
+
+        from tidemark.operators.keyword_index import KeywordIndex
+        from tidemark.work import base_dir
+
+        named = sha256(f"{self.dir}|{of}|{columns}".encode()).hexdigest()[:24]
+        return KeywordIndex(self.spark, f"{base_dir(self.spark)}/keywords-{named}", columns)
+
     def __getattr__(self, name: str) -> DataFrame:
         from tidemark.plans import model
 

@@ -26,7 +26,7 @@ kw AS (SELECT b.query_id, name, score FROM bm b JOIN np USING (query_id) WHERE m
 
 
 def _keyword(t):
-    return R.bm25(t.entries, t.questions)
+    return R.bm25(t.entries, t.questions, index=t.keywords("entries", ("name", "content")))
 
 
 @query(f"WITH {_PLAN} SELECT query_id, mode, array_to_string(r, '|') AS runs FROM plan")

@@ -23,7 +23,7 @@ def _memory(t):
     vectors = t.embeddings.select(named.alias("name"), F.when(F.col("vec_id") % 11 == 3, "old").otherwise("new").alias("model"), F.col("embedding").alias("vec"))
     projections = d.select(F.concat(F.lit("p"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("object_key"), F.when(F.col("doc_id") % 6 == 0, "stale").otherwise("active").alias("state"), F.lit("atomic_fact").alias("kind"))
     aliases = d.select(name.alias("entry"), F.concat(F.lit("aka "), F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("text"))
-    return {"entries": entries, "vectors": vectors, "entities": t.doc_entities, "projections": projections, "aliases": aliases}
+    return {"entries": entries, "vectors": vectors, "entities": t.doc_entities, "projections": projections, "aliases": aliases, "keywords": t.keywords("memory", ("name", "trigger", "content"))}
 
 
 def _queries(t):
@@ -70,7 +70,10 @@ def search_multi(t):
 
 
 @query("""WITH q AS (SELECT query_id, lower(regexp_extract(text, '[A-Za-z]{5,}')) AS part FROM {questions}), f AS (SELECT DISTINCT query_id, list_position(list_transform(regexp_extract_all(text, '[A-Za-z0-9_''-]+|[\\x{4E00}-\\x{9FFF}]+'), lambda x: lower(x)), p) AS place, p FROM (SELECT query_id, text, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9_''-]+|[\\x{4E00}-\\x{9FFF}]+'), lambda x: lower(x))) AS p FROM {questions}) WHERE length(p) >= 3),
-a AS (SELECT 'doc-' || doc_id AS name, lower('aka ' || regexp_extract(text, '[A-Za-z]{6,}')) AS alias FROM documents), m AS (SELECT query_id, name, min(place * 100000 + length(alias)) AS o FROM f JOIN a ON contains(alias, p) GROUP BY 1, 2)
+a AS (SELECT 'doc-' || doc_id AS name, lower('aka ' || regexp_extract(text, '[A-Za-z]{6,}')) AS alias FROM documents), st AS (SELECT count(*) AS n, avg(greatest(length(alias) - 2, 0)) AS avgdl FROM a),
+h AS (SELECT p, name, alias, CAST(greatest(length(alias) - 2, 0) AS DOUBLE) AS dl, CAST(len(list_filter(range(1, length(alias) - length(p) + 2), lambda i: substr(alias, CAST(i AS INTEGER), length(p)) = p)) AS DOUBLE) AS tf FROM (SELECT DISTINCT p FROM f) JOIN a ON contains(alias, p)),
+d AS (SELECT p, count(*) AS df FROM h GROUP BY 1), sc AS (SELECT p, name, alias, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM h JOIN d USING (p), st),
+r AS (SELECT query_id, place, name, row_number() OVER (PARTITION BY query_id, place ORDER BY round(score, 9) DESC, name, alias) AS nth FROM f JOIN sc USING (p)), m AS (SELECT query_id, name, min(place * 100000 + nth) AS o FROM r WHERE nth <= 100 GROUP BY 1, 2)
 SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY o, name) AS rank FROM m""", name="alias_join")
 def alias_join(t):
     return S.alias_ranks(_memory(t)["aliases"], t.questions).withColumn("rank", F.col("rank").cast("long"))

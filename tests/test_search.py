@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plugins
-from tidemark.memory import Config, Memory
+from tidemark.memory import Config, Conflict, Memory
 from tidemark.operators import diagnostics as D, events as E, graph, retrieval as R, search as S, selection as X, training as N, writes as W
 from tidemark.sources import files
 from tidemark.streaming import jobs
@@ -209,3 +209,74 @@ def test_search_multi(spark):
     assert [(r["name"], r["score"]) for r in got if r["query_id"] == 1] == [(r["name"], r["score"]) for r in alone]
     two = [r for r in got if r["query_id"] == 2]
     assert len(two) == 3 and not any(r["query_id"] == 3 for r in got) and two[0]["score"] == pytest.approx(max(r["score"] for r in two))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    config = Config.read({"folder": str(tmp_path / "store")}, {})
+    one, two = Memory(spark, config), Memory(spark, config)
+    new = lambda name: spark.createDataFrame([(name, f"content of {name}")], "name string, content string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    one.add(new("a"))
+    read, between = two.tables, []
+
+    def tables():
+        t = read()
+        if not between:  # another commits after this one has read
+            between.append(1)
+            one.add(new("b"))
+        return t
+
+    two.tables = tables
+    two.add(new("c"))
+    assert {r["name"] for r in one.list().collect()} == {"a", "b", "c"}
+    stale = one.tables()
+    two.tables = read
+    two.delete(["b"])
+    with pytest.raises(Conflict):
+        one._write(stale)
+    assert {r["name"] for r in two.list().collect()} == {"a", "c"}
+
+
+def test_ingest_keeps_dates_entities_and_aliases(spark, tmp_path):
+    m = Memory(spark, Config.read({"folder": str(tmp_path / "store")}, {}))
+    at = F.lit("2024-01-01").cast("timestamp")
+    schema = "name string, content string, evidence_id string, event_start timestamp, entities array<string>, aliases array<string>"
+
+    def ingest(turn, *facts):
+        m.ingest(spark.createDataFrame([(turn, "said")], "id string, text string"), lambda t: spark.createDataFrame(list(facts), schema), at)
+
+    ingest("t1", ("f1", "Ana moved to the harbour of Lisbon", "t1", T(2024, 3, 1), ["Ana", "Lisbon ", ""], ["the move"]))
+    # as near a text of another day is a correction, of the same day a repeat, and no date tells nothing
+    ingest("t2", ("f2", "Ana moved to the harbour of Lisbon!", "t2", T(2024, 4, 1), ["Ana", "Porto"], None), ("f3", "Ana moved to the harbour of Lisbon.", "t2", T(2024, 3, 1), ["x"], None))
+    t = m.tables()
+    assert {(r["name"], r["event_start"]) for r in t["entries"].collect()} == {("f1", T(2024, 3, 1)), ("f2", T(2024, 4, 1))}
+    assert {(r["entry"], r["entity"]) for r in t["entities"].collect()} == {("f1", "ana"), ("f1", "lisbon"), ("f2", "ana"), ("f2", "porto")}
+    assert {(r["entity_a"], r["entity_b"], r["weight"]) for r in t["edges"].collect()} == {("ana", "lisbon", 1.0), ("ana", "porto", 1.0)}
+    assert [(r["entry"], r["text"]) for r in t["aliases"].collect()] == [("f1", "the move")]
+
+
+def test_merges_in_order(spark):
+    import random
+
+    rng = random.Random(4)
+    entries = spark.createDataFrame([(f"e{i}", f"i{i}", 1, i % 11 == 0) for i in range(60)], "name string, id string, revision int, pinned boolean")
+    rows = []
+    for k in range(150):
+        names = rng.sample(range(60), rng.randrange(1, 4))
+        rows.append(("n" if k % 4 else "o", k, f"e{names[0]}" if k % 5 else "e1", [f"e{i}" for i in names], [f"i{i}" for i in names], [1 + (k % 17 == 0)] * len(names)))
+    rows += [("long", k, f"e{k + 1}", [f"e{k + 1}", f"e{k + 2}"], [f"i{k + 1}", f"i{k + 2}"], [1, 1]) for k in range(8)]
+    want, used = set(), set()
+    for ns, nth, into, names, _, revisions in sorted(rows, key=lambda r: r[1]):
+        legal = len(names) >= 2 and into in names and revisions[0] == 1 and not any(int(n[1:]) % 11 == 0 for n in names)
+        if legal and not any((ns, n) in used for n in names):
+            want.add((ns, nth))
+            used |= {(ns, n) for n in names}
+    got = W.applied_merges(spark.createDataFrame(rows, "ns string, nth int, into string, names array<string>, ids array<string>, revisions array<int>"), entries)
+    assert {(r["ns"], r["nth"]) for r in got.collect()} == want and len(want) > 10
+
+
+def test_t_points(spark):
+    from tidemark.operators.evaluation import T_95, t_point
+
+    got = {r["n"]: r["t"] for r in spark.range(131).select(F.col("id").alias("n"), t_point(F.col("id")).alias("t")).collect()}
+    at = lambda n: 0 if n == 0 else T_95[n] if n in T_95 else next((T_95[k] for k in (30, 40, 60, 120) if n < k), 1.962)
+    assert got == {n: at(n) for n in range(131)} and (got[40], got[60]) == (2.021, 2.0)

@@ -1,18 +1,21 @@
 """A memory as an object over written tables: what its commands and tools do, as functions of frames.
 
 Each write reads the current version of a namespace's tables, applies a function of tables and writes the next version whole, then
-points to it: a reader sees one version or the next. There is one writer of a namespace at a time.
+marks it as current: a reader sees one version or the next. Of two writers that read the same version the second one's mark is refused:
+it reads the tables again and repeats its change, so that no write is lost.
 """
 
 from __future__ import annotations
 
+import functools
 import os
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import lineage as L, search as S, writes as W
+from tidemark.operators import graph as G, lineage as L, search as S, writes as W
 from tidemark.sources.files import check_namespace, namespaces
 
 VERSION = "2"
@@ -27,6 +30,7 @@ TABLES = {
     "evidence": "id string, content string, state string",
 }
 MOST_CONTENT, MOST_TRIGGER = 1200, 120
+TRIES = 5
 
 
 @dataclass
@@ -46,36 +50,75 @@ class Config:
         return Config(folder, check_namespace(find("namespace", "default")), int(find("limit", 8)))
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the tables were read."""
+
+
+def retried(f):
+    """A write that reads the tables anew and is done again where another writer was first, TRIES times at most."""
+
+    @functools.wraps(f)
+    def run(self, *args, **kwargs):
+        for k in range(TRIES):
+            try:
+                return f(self, *args, **kwargs)
+            except Conflict:
+                if k == TRIES - 1:
+                    raise
+
+    return run
+
+
 class Memory:
-    """One namespace. Frames that are returned read the version that was current when they were made."""
+    """One namespace, of which several writers may be at work: each commits whole versions, of which none is lost. Frames that are returned read the version that was current when they were made."""
 
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config
         self.path = f"{config.folder.rstrip('/')}/{check_namespace(config.namespace)}"
 
-    def _version(self) -> int:
-        found = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = found.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(found):
-            return 0
-        # a version counts once its mark is written, after all of its tables
-        marks = [s.getPath().getName() for s in fs.listStatus(found) if s.getPath().getName().startswith("done-")]
-        return max((int(m[5:]) for m in marks), default=0)
+    def _at(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _version(self) -> tuple[int, str]:
+        """The last version whose mark is written, and the folder of its tables, which the mark names."""
+        fs, found = self._at()
+        marks = sorted((int(s.getPath().getName()[5:]) for s in fs.listStatus(found) if s.getPath().getName().startswith("done-")), reverse=True) if fs.exists(found) else []
+        for n in marks:
+            stream = fs.open(self._at(f"done-{n}")[1])
+            try:
+                folder = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if folder:
+                return n, folder
+        return 0, ""
 
     def tables(self) -> dict[str, DataFrame]:
-        n = self._version()
-        if not n:
+        self._base, folder = self._version()
+        if not folder:
             return {k: self.spark.createDataFrame([], schema) for k, schema in TABLES.items()}
-        return {k: self.spark.read.schema(schema).parquet(f"{self.path}/v{n}/{k}") for k, schema in TABLES.items()}
+        return {k: self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{k}") for k, schema in TABLES.items()}
 
     def _write(self, tables: dict[str, DataFrame]) -> None:
-        n = self._version() + 1
+        """Commit tables as the version after the one that was read last: all of them, or Conflict where another writer was first."""
+        from py4j.protocol import Py4JJavaError
+
+        n = self._base + 1
+        folder = f"v{n}-{uuid.uuid4().hex}"
         for k, schema in TABLES.items():
             columns = [c.split(" ")[0] for c in schema.split(", ")]
-            tables[k].select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{n}/{k}")
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{n}")
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(hadoop, True).close()
-
+            tables[k].select(*columns).write.parquet(f"{self.path}/{folder}/{k}")
+        fs, mark = self._at(f"done-{n}")
+        try:
+            stream = fs.create(mark, False)  # the one who makes the mark has the version
+        except Py4JJavaError as e:
+            fs.delete(self._at(folder)[1], True)
+            raise Conflict(f"another writer has committed version {n}") from e
+        stream.write(bytearray(folder.encode()))
+        stream.close()
+
+    @retried
     def add(self, new: DataFrame, refs: DataFrame | None = None) -> None:
         """Write entries (name, content, at, and any other column of entries), with references to evidence (entry, evidence_id, source_order) where given."""
         long = new.where((F.length("content") > MOST_CONTENT) | (F.length("trigger") > MOST_TRIGGER) | F.col("trigger").rlike(r"[\r\n]")) if "trigger" in new.columns else new.where(F.length("content") > MOST_CONTENT)
@@ -96,20 +139,24 @@ class Memory:
     def list(self) -> DataFrame:
         return self.tables()["entries"].orderBy("name")
 
+    @retried
     def delete(self, names: list[str]) -> None:
         t = self.tables()
         self._write({**t, **W.delete(t, self.spark.createDataFrame([(n,) for n in names], "name string"))})
 
+    @retried
     def put_vectors(self, new: DataFrame) -> None:
         t = self.tables()
         self._write({**t, "vectors": W.put_vectors(t["vectors"], new, t["entries"], t["projections"])})
 
+    @retried
     def put_entities(self, new: DataFrame) -> None:
         """Replace the entities of some entries: (entry, texts)."""
         t = self.tables()
         listed = W.put_list(t["entities"].select("entry", F.col("entity").alias("key"), F.col("raw").alias("text")), new, W.entity_norm)
         self._write({**t, "entities": listed.select("entry", F.col("key").alias("entity"), F.col("text").alias("raw"))})
 
+    @retried
     def lifecycle(self, ids: list[str], action: str) -> None:
         """tombstone, restore or purge evidence; projections without an active source become stale, purged sources take theirs with them."""
         t = self.tables()
@@ -147,10 +194,13 @@ class Memory:
 
         write_markdown(self.tables()["entries"].withColumn("ns", F.lit(self.config.namespace)), path)
 
+    @retried
     def ingest(self, turns: DataFrame, extract: Callable[[DataFrame], DataFrame], at) -> None:
         """Turns (id, text) become evidence, and facts of them entries: extract gives (name, content, evidence_id) of the turns that are not blank.
 
-        A fact whose content an entry has already adds its sources to it; facts that repeat a similar entry are not written.
+        Facts may have event_start and event_end, entities and aliases (arrays of strings). A fact whose content an entry has already adds
+        its sources to it; facts that repeat a similar entry, of no other date, are not written. Entities and aliases of new
+        entries are listed, and every two entities of one gain an edge.
         """
         t = self.tables()
         own = turns.where(F.trim("text") != "").select("id", F.col("text").alias("content"), F.lit("active").alias("state")).join(t["evidence"].select("id"), "id", "left_anti")
@@ -159,9 +209,11 @@ class Memory:
         known = t["entries"].select(F.sha2("content", 256).alias("digest"), F.col("name").alias("owner"))
         known = known.groupBy("digest").agg(F.min("owner").alias("owner"))
         facts = facts.withColumn("digest", F.sha2("content", 256)).join(known, "digest", "left").withColumn("entry", F.coalesce("owner", "name"))
-        new = facts.where("owner IS NULL").groupBy("digest").agg(F.min("name").alias("name"), F.min("content").alias("content"))
-        probes = new.select(F.col("name").alias("probe"), "content", F.lit(None).cast("date").alias("event_date"))
-        again = W.suppressed(probes, t["entries"].withColumn("event_date", F.col("event_start").cast("date"))).select(F.col("probe").alias("name"))
+        optional = {"event_start": "timestamp", "event_end": "timestamp", "entities": "array<string>", "aliases": "array<string>"}
+        facts = facts.select("name", "content", "evidence_id", "digest", "owner", "entry", *[(F.col(c) if c in facts.columns else F.lit(None)).cast(kind).alias(c) for c, kind in optional.items()])
+        new = facts.where("owner IS NULL").groupBy("digest").agg(F.min("name").alias("name"), F.min("content").alias("content"), *[F.min_by(c, "name").alias(c) for c in optional])
+        probes = new.select(F.col("name").alias("probe"), "content", F.to_date(F.coalesce("event_start", "event_end")).alias("event_date"))
+        again = W.suppressed(probes, t["entries"].withColumn("event_date", F.to_date(F.coalesce("event_start", "event_end")))).select(F.col("probe").alias("name"))
         new = new.join(again, "name", "left_anti")
         kept = facts.join(new.select("digest", F.col("name").alias("as")), "digest", "left").withColumn("entry", F.coalesce("as", "entry"))
         names = t["entries"].select("name").union(new.select("name"))
@@ -171,11 +223,18 @@ class Memory:
         both = old.join(touched, "entry", "left_semi").union(refs.withColumn("source_order", F.lit(1 << 20).cast("long"))).groupBy("entry", "evidence_id").agg(F.min("source_order").alias("source_order"))
         kinds = dict(t["entries"].dtypes)
         given = {"id": F.sha2("name", 256).substr(1, 26), "pinned": F.lit(False), "durability": F.lit("volatile"), "category": F.lit("fact"), "trigger": F.lit(""), "hit_count": F.lit(0), "created_at": at, "updated_at": at, "revision": F.lit(1)}
-        rows = new.select(*[(F.col(c) if c in ("name", "content") else given.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in kinds.items()])
+        rows = new.select(*[(F.col(c) if c in ("name", "content", "event_start", "event_end") else given.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in kinds.items()])
         same = t["entries"].join(touched.withColumnRenamed("entry", "name"), "name", "left_semi")
         state, evidence = W.with_sources({**t}, t["evidence"].union(own), rows.union(same), both, lambda a, b: a.join(rows.select("name"), "name", "left_anti").select(*a.columns).union(rows.select(*a.columns)))
-        self._write({**state, "evidence": evidence})
-
+        listed = lambda c: new.where(F.size(c) > 0).select(F.col("name").alias("entry"), F.col(c).alias("texts"))
+        put = lambda table, key, text, rows: W.put_list(table.select("entry", key.alias("key"), text.alias("text")), rows, W.entity_norm)
+        entities = put(state["entities"], F.col("entity"), F.col("raw"), listed("entities")).select("entry", F.col("key").alias("entity"), F.col("text").alias("raw"))
+        aliases = put(state["aliases"], W.entity_norm(F.col("text")), F.col("text"), listed("aliases")).select("entry", "text")
+        added = G.co_edges(entities.join(new.select(F.col("name").alias("entry")), "entry", "left_semi"))
+        edges = state["edges"].select("entity_a", "entity_b", "weight").union(added).groupBy("entity_a", "entity_b").agg(F.sum("weight").alias("weight"))
+        self._write({**state, "evidence": evidence, "entities": entities, "aliases": aliases, "edges": edges})
+
+    @retried
     def curate(self, merges: DataFrame, conflicts: DataFrame, evictions: DataFrame) -> None:
         """Apply a judge's decisions: merges (ns, nth, into, names, ids, revisions, content, at), conflicts with both ends' guards, evictions (name, id, revision), in this order."""
         t = self.tables()
@@ -186,6 +245,7 @@ class Memory:
         state = W.delete(state, evictions.join(gone, "name", "left_anti"), guarded=True)
         self._write({**t, **state})
 
+    @retried
     def use(self, uses: DataFrame) -> None:
         """Count uses (name, at)."""
         t = self.tables()

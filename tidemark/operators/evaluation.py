@@ -23,7 +23,7 @@ def t_point(df: Column) -> Column:
     """The tabulated point; between entries that of the next larger degrees of freedom."""
     out = F.when(df <= 0, 0.0)
     for n in sorted(T_95):
-        out = out.when(df <= n if n <= 30 else df < n if n != 120 else df <= n, T_95[n])
+        out = out.when(df <= n, T_95[n])
     return out.otherwise(T_BEYOND)
 
 

@@ -31,7 +31,9 @@ def lengths(entries: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame
 def postings(entries: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
     """(name, token, n): how often each run of word characters occurs in an entry, in lower case."""
     runs = F.concat(*[K.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
-    return entries.select(F.col(key).alias("name"), F.explode(runs).alias("token")).where(F.length("token") >= K.LEAST).groupBy("name", "token").agg(F.count("*").alias("n"))
+    # dealt by key: a table of few files would be the work of as few tasks
+    dealt = entries.select(*{key: 0, **dict.fromkeys(columns)}).repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.select(F.col(key).alias("name"), F.explode(runs).alias("token")).where(F.length("token") >= K.LEAST).groupBy("name", "token").agg(F.count("*").alias("n"))
 
 
 def token_grams(tokens: DataFrame) -> DataFrame:

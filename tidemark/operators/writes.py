@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import base_name, char_runs, normal_form
+from tidemark.work import Work
 
 State = dict[str, DataFrame]
 
@@ -89,14 +90,19 @@ def applied_merges(decisions: DataFrame, entries: DataFrame) -> DataFrame:
     sound = sound.groupBy("ns", "nth").agg(F.bool_and(F.coalesce("same", F.lit(False))).alias("whole"))
     there = entries.select(F.col("name").alias("into"), F.lit(True).alias("exists"))
     rows = decisions.join(sound, ["ns", "nth"]).join(there, "into", "left").withColumn("legal", F.col("whole") & (F.size("names") >= 2) & (F.array_contains("names", F.col("into")) | F.col("exists").isNull()))
-    queue = rows.groupBy("ns").agg(F.array_sort(F.collect_list(F.struct("nth", "into", "names", "legal"))).alias("queue"))
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<long>").alias("taken"))
-
-    def step(acc, d):
-        fits = d["legal"] & ~F.arrays_overlap(acc["used"], d["names"])
-        return F.struct(F.when(fits, F.concat(acc["used"], d["names"])).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(d["nth"].cast("long")))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = queue.select("ns", F.explode(F.aggregate("queue", start, step)["taken"]).alias("nth"))
+    work = Work(decisions.sparkSession, "merges")
+    open_ = work.write(rows.where("legal").select("ns", F.col("nth").cast("long").alias("nth"), F.explode(F.array_distinct("names")).alias("name")), "open0")
+    taken, n = open_.select("ns", "nth").limit(0), 0
+    while not open_.isEmpty():
+        n += 1
+        # a decision that is the first of all its names' open ones is taken; whatever else names one of these is skipped
+        first = open_.groupBy("ns", "name").agg(F.min("nth").alias("first"))
+        now = open_.join(first, ["ns", "name"]).groupBy("ns", "nth").agg(F.bool_and(F.col("nth") == F.col("first")).alias("free")).where("free").select("ns", "nth")
+        now = work.write(now, f"taken{n}")
+        used = open_.join(now, ["ns", "nth"], "left_semi").select("ns", "name")
+        done = open_.join(used, ["ns", "name"], "left_semi").select("ns", "nth").distinct()
+        open_ = work.write(open_.join(done, ["ns", "nth"], "left_anti"), f"open{n}")
+        taken = taken.union(now)
     return decisions.withColumn("nth", F.col("nth").cast("long")).join(taken, ["ns", "nth"], "left_semi")
 
 

@@ -120,3 +120,20 @@ def test_gram_pairs(spark, monkeypatch, side, spread):
     want = {(a, b): len(set(g) & set(h)) / len(set(g) | set(h)) for a, g, s in rows if g for b, h, u in rows if h and a < b and (side is None or s != u)}
     got = N.gram_pairs(spark.createDataFrame(rows, "id long, grams array<long>, side string"), "id", "grams", 0.6, side=side).collect()
     assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items() if v >= 0.6} and len(got) > 20
+
+
+def test_cover_against_plain_greedy(spark):
+    rng = random.Random(7)
+    rows = [(g, k, 100 * g + k, rng.sample(range(40), rng.randrange(0, 9))) for g in range(3) for k in range(30)]
+    want = set()
+    for g in range(3):
+        left, covered = {(k, i): set(x) for h, k, i, x in rows if h == g}, set()
+        for pick in range(1, 13):
+            gain, _, key = max((len(x - covered), -k, (k, i)) for (k, i), x in left.items())
+            if not gain:
+                break
+            covered |= left.pop(key)
+            want.add((g, pick, key[1], gain))
+    got = packing.cover(spark.createDataFrame(rows, "g int, position int, id int, items array<int>"), "g").collect()
+    assert {tuple(r) for r in got} == want and len(want) > 15
+    assert packing.cover(spark.createDataFrame([], "g int, position int, id int, items array<int>"), "g").count() == 0

@@ -77,8 +77,21 @@ def seed_clusters(rows: DataFrame, group: str, bound: int = 8, floor: float = 0.
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, seed {kind['id']}, member {kind['id']}")
 
 
-def overlay(unclaimed: DataFrame, centres: DataFrame, similarity, least: float = 0.9) -> DataFrame:
-    """Each unclaimed row's most similar centre of at least the floor; of equal ones the later."""
-    # centres have no bound: the planner broadcasts them or joins blocks of both
-    pairs = unclaimed.crossJoin(centres).withColumn("sim", similarity).where(F.col("sim") >= least)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("centre")))).where("rank = 1").select("id", "centre", "sim")
+def overlay(unclaimed: DataFrame, centres: DataFrame, least: float = 0.9, bound: int | None = None) -> DataFrame:
+    """The most similar centre of each unclaimed row, of equal ones the later, if its cosine is `least` or more: (id, centre, sim).
+
+    unclaimed: (id, v) and, with a bound, position; centres: (centre, v) and, with a bound, members, how many a cluster has already. A cluster
+    takes rows in order of position until it has `bound` members; a row that finds its best cluster full stays
+    unclaimed, it does not go to the next. Rows and centres meet in blocks; each block passes on a row's best only.
+    """
+    from tidemark.operators.retrieval import blocks_cosine
+
+    met = blocks_cosine(centres.select(F.col("centre").alias("name"), F.col("v").cast("array<double>").alias("v")), unclaimed.select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("v")), 1)
+    near = met.select(F.col("query_id").alias("id"), F.col("name").alias("centre"), F.round("cos", 9).alias("sim")).where(F.col("sim") >= least)
+    best = near.groupBy("id").agg(F.max(F.struct("sim", "centre")).alias("x")).select("id", "x.centre", "x.sim")
+    if bound is None:
+        return best
+    queue = best.join(unclaimed.select("id", "position"), "id")
+    # of each centre `bound` rows at most leave a task; only then the places that are left count
+    queue = queue.withColumn("nth", F.row_number().over(Window.partitionBy("centre").orderBy("position", "id"))).where(F.col("nth") <= bound)
+    return queue.join(centres.select("centre", "members"), "centre").where(F.col("nth") <= F.lit(bound) - F.col("members")).select("id", "centre", "sim")

@@ -1,10 +1,12 @@
-"""Order-dependent folds: packing under budgets, chunks of sessions and greedy selections; a group is handled at once and must be small."""
+"""Order-dependent folds: packing under budgets and chunks of sessions, where a group is handled at once and must be small, and greedy coverage."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.work import Work
+
 TARGET, LIMIT = 900, 1100  # code points of a chunk
 
 
@@ -69,21 +71,21 @@ def chunks(turns: DataFrame, session: str, place: str, text: str) -> DataFrame:
 def cover(rows: DataFrame, group: str, most: int = 12) -> DataFrame:
     """Greedy coverage: again and again the candidate that covers most items not covered, the first of equal ones.
 
-    rows: (group, position, id, items); returns (group, pick, id, gained).
+    rows: (group, position, id, items), ids unique within a group, which is not null; returns (group, pick, id, gained). A round makes a pick of every group: gains are
+    counted over the items still open, in a table that each round writes anew without what it has covered. So no group
+    is gathered, and all rounds together read each candidate's item until it is covered.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        left = [(i, set(x)) for i, x in zip(pdf["id"], pdf["items"])]
-        covered, out = set(), []
-        while len(out) < most:
-            gain, place = max(((len(x - covered), -k) for k, (_, x) in enumerate(left)), default=(0, 0))
-            if gain == 0:
-                break
-            i, x = left.pop(-place)
-            covered |= x
-            out.append((pdf[group].iloc[0], len(out) + 1, i, gain))
-        return pd.DataFrame(out, columns=[group, "pick", "id", "gained"])
-
-    kind = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, pick int, id {kind['id']}, gained int")
+    work = Work(rows.sparkSession, "cover")
+    open_ = work.write(rows.select(group, "position", "id", F.explode(F.array_distinct("items")).alias("item")), "open0")
+    out = None
+    for pick in range(1, most + 1):
+        gains = open_.groupBy(group, "position", "id").agg(F.count("*").cast("int").alias("gained"))
+        best = gains.groupBy(group).agg(F.max_by(F.struct("id", "gained"), F.struct(F.col("gained"), -F.col("position"))).alias("x"))
+        best = work.write(best.select(group, F.lit(pick).alias("pick"), "x.id", "x.gained"), f"pick{pick}")
+        if best.isEmpty():
+            break
+        out = best if out is None else out.unionByName(best)
+        done = open_.join(best.select(group, "id"), [group, "id"], "left_semi").select(group, "item")
+        open_ = work.write(open_.join(done, [group, "item"], "left_anti").select(group, "position", "id", "item"), f"open{pick}")
+        work.drop(f"open{pick - 1}")
+    return out if out is not None else best

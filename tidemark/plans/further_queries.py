@@ -48,7 +48,17 @@ SELECT id, centre, round(sim, 6) AS sim FROM (SELECT vec_id AS id, centre, round
 def cluster_overlay(t):
     e = t.embeddings
     centres = e.groupBy(F.col("label").alias("centre")).agg(F.min_by("embedding", "vec_id").alias("c"))
-    return G.overlay(e.select(F.col("vec_id").alias("id"), "embedding"), centres, F.round(cosine(F.col("embedding"), F.col("c")), 9), 0.2).select("id", "centre", F.round("sim", 6).alias("sim"))
+    return G.overlay(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), centres.withColumnRenamed("c", "v"), 0.2).select("id", "centre", F.round("sim", 6).alias("sim"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT label AS centre, arg_min(v, vec_id) AS c, label % 4 AS members FROM e GROUP BY 1),
+b AS (SELECT vec_id AS id, centre, members, round(list_cosine_similarity(v, c), 9) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 9) DESC, centre DESC) AS rank FROM e, c)
+SELECT id, centre, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY id % 17, id) AS nth FROM b WHERE rank = 1 AND sim >= 0.2) WHERE nth <= 12 - members""")
+def cluster_overlay_bounded(t):
+    """As cluster_overlay, a cluster having twelve members at most, some of which it has already."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("vec_id") % 17).alias("position"), "label")
+    centres = e.groupBy(F.col("label").alias("centre")).agg(F.min_by("v", "id").alias("v"), (F.first("label") % 4).alias("members"))
+    return G.overlay(e, centres, 0.2, 12).select("id", "centre", F.round("sim", 6).alias("sim"))
 
 
 @query("""SELECT user_id, event_id, version, latest FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS latest FROM events)""")

@@ -147,11 +147,15 @@ def semantic(vectors: DataFrame, queries: DataFrame, key: str = "name", vec: str
     return scored.groupBy("query_id", "name").agg(F.max("cos").alias("cos"))
 
 
-def blocks_cosine(left: DataFrame, right: DataFrame, limit: int | None, rows: int = 4096) -> DataFrame:
-    """(query_id, name, cos) of all pairs of left (name, v) and right (query_id, v), by blocks of about that many rows."""
+def blocks_cosine(left: DataFrame, right: DataFrame, limit: int | None, rows: int = 4096, above: float | None = None) -> DataFrame:
+    """(query_id, name, cos) of all pairs of left (name, v) and right (query_id, v), by blocks of about that many rows.
+
+    With a limit only the best names of each query and block are passed on, with `above` only pairs of a cosine above it.
+    """
     import numpy as np
     import pyarrow as pa
 
+    right = right.select("query_id", F.col("v").alias("v"))  # a column of its own, where both sides come from one table
     kind, name = dict(right.dtypes)["query_id"], dict(left.dtypes)["name"]
     parts_l, parts_r = (max(1, -(-n // rows)) for n in (left.count(), right.count()))
     one = left.withColumn("l", F.pmod(F.xxhash64("name"), F.lit(parts_l)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts_r - 1))))
@@ -182,6 +186,7 @@ def blocks_cosine(left: DataFrame, right: DataFrame, limit: int | None, rows: in
                     best = np.arange(len(row))
                     if limit is not None and len(row) > 2 * limit:  # ties with the last stay
                         best = np.flatnonzero(row >= np.partition(row, -limit)[-limit] - 1e-9)
+                    best = best if above is None else best[row[best] > above]
                     out["query_id"] += [i] * len(best)
                     out["name"] += names[best].tolist()
                     out["cos"] += row[best].tolist()

@@ -286,11 +286,35 @@ def judge_candidates(entries: DataFrame, score: Column, now: Column, most: int =
     return rows.select("ns", "place", "name", "trigger", cut.alias("content"), "hit_count", age.alias("age_days"), "score")
 
 
+def new_synonyms(vectors: DataFrame, entities: DataFrame, seen: DataFrame, least: float = 0.8) -> DataFrame:
+    """Synonym edges that vectors (name, model, vec) of names not seen (name) before bring: (entity_a, entity_b, weight, entry_a, entry_b).
+
+    New vectors meet all vectors of their model and length in blocks, which pass on cosines above `least` alone; what was
+    seen is not compared again. An edge names the entries that it comes from, the last of them in order, so that edges of
+    several passes merge (merged_synonyms) into those of one pass over all.
+    """
+    from tidemark.operators.retrieval import blocks_cosine
+
+    good = vectors.where("name IS NOT NULL AND size(vec) > 0").select("name", "model", F.col("vec").cast("array<double>").alias("v"))
+    fresh = good.join(seen.select("name").distinct(), "name", "left_anti")
+    near = blocks_cosine(good.select("name", "v"), fresh.select(F.col("name").alias("query_id"), "v"), None, above=least).where("name <> query_id")
+    model = lambda of, to: good.select(F.col("name").alias(of), F.col("model").alias(to))
+    same = near.join(model("name", "m1"), "name").join(model("query_id", "m2"), "query_id").where("m1 = m2")
+    pairs = same.groupBy(F.least("name", "query_id").alias("a"), F.greatest("name", "query_id").alias("b")).agg(F.max("cos").alias("cos"))
+    return synonym_edges(pairs, entities)
+
+
+def merged_synonyms(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Synonym edges of two passes as one: of each two entities that of the last entries in order."""
+    last = F.max_by(F.struct("weight", "entry_a", "entry_b"), F.struct("entry_a", "entry_b"))
+    return old.unionByName(new).groupBy("entity_a", "entity_b").agg(last.alias("x")).select("entity_a", "entity_b", "x.weight", "x.entry_a", "x.entry_b")
+
+
 def synonym_edges(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges between entities of similar entries (a, b, cos) of which one may be an alias of the other: (entity_a, entity_b, weight)."""
+    """Edges between entities of similar entries (a, b, cos) of which one may be an alias of the other: (entity_a, entity_b, weight, entry_a, entry_b)."""
     left, right = entities.select(F.col("entry").alias("a"), F.col("entity").alias("x")), entities.select(F.col("entry").alias("b"), F.col("entity").alias("y"))
     met = pairs.join(left, "a").join(right, "b").where((F.col("x") != "") & (F.col("y") != "") & (F.col("x") != F.col("y")))
     x, y = F.col("x"), F.col("y")
     prefix = lambda p, v: (F.length(p) >= 4) & v.startswith(p)
     alias = F.arrays_overlap(F.split(x, " "), F.split(y, " ")) | prefix(x, y) | prefix(y, x)
-    return met.where(alias).groupBy(F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b")).agg(F.max_by("cos", F.struct("a", "b")).alias("weight"))
+    return met.where(alias).groupBy(F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b")).agg(F.max_by("cos", F.struct("a", "b")).alias("weight"), F.max(F.struct("a", "b")).alias("of")).select("entity_a", "entity_b", "weight", F.col("of.a").alias("entry_a"), F.col("of.b").alias("entry_b"))

@@ -137,3 +137,18 @@ def test_cover_against_plain_greedy(spark):
     got = packing.cover(spark.createDataFrame(rows, "g int, position int, id int, items array<int>"), "g").collect()
     assert {tuple(r) for r in got} == want and len(want) > 15
     assert packing.cover(spark.createDataFrame([], "g int, position int, id int, items array<int>"), "g").count() == 0
+
+
+def test_contained(spark):
+    from tidemark.operators import containment as C
+
+    rng = random.Random(8)
+    rows = [(g, k, rng.sample(range(30), rng.randrange(0, 8)) + ([99] if k % 2 else [])) for g in range(4) for k in range(40)]
+    words = lambda x: [f"w{i}" for i in x]
+    parts = spark.createDataFrame([(g, k, words(x)) for g, k, x in rows], "group int, part int, words array<string>")
+    for least in (0.3, 0.6, 1.0):
+        want = {(g, k, j): len(set(x) & set(y)) / len(x) for g, k, x in rows if x for h, j, y in rows if g == h and len(set(x) & set(y)) / len(x) >= least}
+        got = C.contained(parts, parts.withColumnRenamed("part", "whole"), least).collect()
+        assert {(r["group"], r["part"], r["whole"]): r["share"] for r in got} == want and len(want) > 100
+    texts = spark.createDataFrame([(1, "The cat, and THE dog-7 Ünd"), (2, None), (3, "of the")], "k int, t string")
+    assert {r["k"]: set(r["w"]) for r in texts.select("k", C.content_words(F.col("t")).alias("w")).collect()} == {1: {"cat", "dog", "7", "ünd"}, 2: set(), 3: set()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import retrieval as R
+from tidemark.operators import containment as C, retrieval as R
 from tidemark.plans.registry import query
 
 @query("SELECT session, id, ordinal FROM {evidence} WHERE state = 'active'")
@@ -49,10 +49,20 @@ def gold_coverage(t):
 @query("""WITH u AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM conversations) SELECT a.conv_id, a.turn AS fact, b.turn AS gold, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) AS DOUBLE), 6) AS share FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.turn <> b.turn WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w)) / CAST(len(a.w) AS DOUBLE) >= 0.2""")
 def session_containment(t):
     w = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""))
-    u = t.conversations.select("conv_id", "turn", w.alias("w"))
-    a, b = u.select("conv_id", F.col("turn").alias("fact"), F.col("w").alias("wa")).where(F.size("wa") > 0), u.select("conv_id", F.col("turn").alias("gold"), F.col("w").alias("wb"))
-    share = F.size(F.array_intersect("wa", "wb")) / F.size("wa")
-    return a.join(b, "conv_id").where("fact <> gold").withColumn("share", share).where("share >= 0.2").select("conv_id", "fact", "gold", F.round("share", 6).alias("share"))
+    u = t.conversations.select(F.col("conv_id").alias("group"), "turn", w.alias("words"))
+    met = C.contained(u.withColumnRenamed("turn", "part"), u.withColumnRenamed("turn", "whole"), 0.2).where("part <> whole")
+    return met.select(F.col("group").alias("conv_id"), F.col("part").alias("fact"), F.col("whole").alias("gold"), F.round("share", 6).alias("share"))
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_split_to_array(lower(CASE WHEN role = 'user' THEN role || ' ' || text ELSE substr(text, 1, 60) END), '[^\p{L}\p{Nd}]+'), lambda x: x <> '' AND NOT list_contains(['a', 'an', 'and', 'are', 'as', 'at', 'be', 'been', 'but', 'by', 'for', 'from', 'had', 'has', 'have', 'he', 'her', 'his', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'she', 'that', 'the', 'their', 'them', 'they', 'this', 'to', 'was', 'were', 'will', 'with'], x))) AS w FROM conversations)
+SELECT f.conv_id, f.turn AS fact, g.turn AS gold, round(len(list_intersect(f.w, g.w)) / CAST(len(f.w) AS DOUBLE), 6) AS share FROM u f JOIN u g ON f.conv_id = g.conv_id AND f.role <> 'user' AND g.role = 'user' WHERE len(f.w) > 0 AND len(list_intersect(f.w, g.w)) / CAST(len(f.w) AS DOUBLE) >= 0.15""")
+def fact_coverage(t):
+    """Facts, which here are the beginnings of what is not the user's, and the user's turns, speaker included, that cover them."""
+    c = t.conversations.withColumnRenamed("conv_id", "group")
+    facts = c.where("role <> 'user'").select("group", F.col("turn").alias("part"), C.content_words(F.substring("text", 1, 60)).alias("words"))
+    gold = c.where("role = 'user'").select("group", F.col("turn").alias("whole"), C.content_words(F.concat_ws(" ", "role", "text")).alias("words"))
+    met = C.contained(facts, gold, 0.15)
+    return met.select(F.col("group").alias("conv_id"), F.col("part").alias("fact"), F.col("whole").alias("gold"), F.round("share", 6).alias("share"))
 
 
 @query("""SELECT ns, string_agg(line, chr(10) ORDER BY pinned DESC, name) AS export FROM (SELECT ns, pinned, name, '- **' || name || '**: ' || md5(content) AS line FROM {entries}) GROUP BY 1""")

@@ -54,6 +54,25 @@ def lifecycle_head(t):
     return L.heads(log)
 
 
+@query("""WITH RECURSIVE log AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'signup' THEN 'append' WHEN 'view' THEN 'append' WHEN 'click' THEN 'tombstone' WHEN 'error' THEN 'purge' ELSE 'restore' END AS action,
+ CASE WHEN event_id % 4 = 0 THEN '' ELSE 'r' || (event_id % 9) END AS req, CASE WHEN event_id % 5 = 0 THEN event_id % 4 + 1 END AS rev FROM events WHERE event_type <> 'error' OR event_id % 6 = 0),
+f AS (SELECT item, CAST(0 AS BIGINT) AS seq, 'none' AS state, CAST(0 AS BIGINT) AS revision, CAST([] AS VARCHAR[]) AS seen, '' AS outcome FROM (SELECT DISTINCT item FROM log)
+ UNION ALL SELECT item, seq, CASE WHEN o <> 'applied' THEN state WHEN action IN ('append', 'restore') THEN 'active' WHEN action = 'purge' THEN 'purged' ELSE 'tombstoned' END, revision + CASE WHEN o = 'applied' THEN 1 ELSE 0 END, CASE WHEN o = 'applied' AND req <> '' THEN list_append(seen, req || ':' || action) ELSE seen END, o FROM (
+  SELECT f.item, l.seq, state, revision, seen, action, req, CASE WHEN state = 'none' THEN CASE WHEN action = 'append' THEN 'applied' ELSE 'missing' END WHEN state = 'purged' THEN CASE WHEN action = 'purge' THEN 'repeated' ELSE 'purged' END
+   WHEN req <> '' AND list_contains(seen, req || ':' || action) THEN 'repeated' WHEN req <> '' AND len(list_filter(seen, lambda x: starts_with(x, req || ':'))) > 0 THEN 'conflict' WHEN rev <> revision THEN 'stale'
+   WHEN (state = 'active' AND action IN ('tombstone', 'purge')) OR (state = 'tombstoned' AND action IN ('restore', 'purge')) THEN 'applied' ELSE 'refused' END AS o FROM f JOIN log l ON l.item = f.item AND l.seq = f.seq + 1))
+SELECT item, seq, outcome, revision FROM f WHERE seq > 0""")
+def lifecycle_requests(t):
+    """Outcomes of requests with ids that come again, and some with the revision that they were made on; every sixth purge stays."""
+    from tidemark.operators import lifecycle
+
+    e = t.events.where("event_type <> 'error' OR event_id % 6 = 0")
+    kind = F.when(F.col("event_type").isin("signup", "view"), "append").when(F.col("event_type") == "click", "tombstone").when(F.col("event_type") == "error", "purge").otherwise("restore")
+    request = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("r"), F.col("event_id") % 9))
+    log = e.select(F.col("user_id").alias("item"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), kind.alias("action"), request.alias("request_id"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 4 + 1).alias("revision"))
+    return lifecycle.applied(t.spark.createDataFrame([], lifecycle.HEADS), log)[1]
+
+
 @query("""SELECT session, id, coalesce(lag(content) OVER w, '') || chr(10) || content || chr(10) || coalesce(lead(content) OVER w, '') AS frame FROM {evidence} WINDOW w AS (PARTITION BY session ORDER BY ordinal)""")
 def turn_window(t):
     w = Window.partitionBy("session").orderBy("ordinal")

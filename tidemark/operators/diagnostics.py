@@ -79,10 +79,14 @@ def recall_summary(questions: DataFrame, top: int = TOP) -> DataFrame:
 def temporal_summary(questions: DataFrame) -> DataFrame:
     """Ratios of the four layers over questions (parsed, gold_facts, dated_facts, resolved, buried, buried_facts, lifted_facts, rank_pool), and a verdict."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    s = questions.agg(F.count("*").alias("questions"), F.count_if("parsed").alias("p"), F.sum("gold_facts").alias("g"), F.sum("dated_facts").alias("d"), F.count_if("resolved").alias("r"), F.count_if(F.col("resolved") & F.col("buried")).alias("b"), F.sum("buried_facts").alias("bf"), F.sum("lifted_facts").alias("lf"),
-                      F.array_sort(F.collect_list(F.when(F.col("resolved"), F.col("rank_pool")))).alias("ranks"))
-    nearest = lambda p: F.when(F.size("ranks") == 0, 0).otherwise(F.element_at("ranks", F.greatest(F.lit(1), F.least(F.size("ranks"), F.floor(F.size("ranks") * p + 0.5).cast("int")))))
-    out = s.select("questions", ratio(F.col("p"), F.col("questions")).alias("parse_coverage"), ratio(F.col("d"), F.col("g")).alias("date_coverage"), ratio(F.col("b"), F.col("r")).alias("buried_ratio"), ratio(F.col("lf"), F.col("bf")).alias("lift_ratio"), nearest(0.5).alias("p50"), nearest(0.9).alias("p90"))
+    s = questions.agg(F.count("*").alias("questions"), F.count_if("parsed").alias("p"), F.sum("gold_facts").alias("g"), F.sum("dated_facts").alias("d"), F.count_if("resolved").alias("r"), F.count_if(F.col("resolved") & F.col("buried")).alias("b"), F.sum("buried_facts").alias("bf"), F.sum("lifted_facts").alias("lf"))
+    # ranks are counted by value: a row for each place of a pool, whatever the number of questions
+    ranks = questions.where(F.col("resolved") & F.col("rank_pool").isNotNull()).groupBy("rank_pool").agg(F.count("*").alias("k"))
+    ranks = ranks.withColumn("upto", F.sum("k").over(Window.orderBy("rank_pool"))).withColumn("n", F.sum("k").over(Window.partitionBy()))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.least(F.col("n"), F.floor(F.col("n") * p + 0.5))), F.col("rank_pool")))
+    s = s.crossJoin(F.broadcast(ranks.agg(at(0.5).alias("p50"), at(0.9).alias("p90"))))  # one row each
+    nearest = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = s.select("questions", ratio(F.col("p"), F.col("questions")).alias("parse_coverage"), ratio(F.col("d"), F.col("g")).alias("date_coverage"), ratio(F.col("b"), F.col("r")).alias("buried_ratio"), ratio(F.col("lf"), F.col("bf")).alias("lift_ratio"), nearest("p50"), nearest("p90"))
     cause = F.lit(None).cast("string")
     for name, floor, reason in reversed(FLOORS):
         cause = F.when(F.col(name) < floor, reason).otherwise(cause)

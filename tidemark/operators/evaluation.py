@@ -15,6 +15,7 @@ T_95 = {
     40: 2.021, 60: 2.000, 120: 1.980,
 }
 T_BEYOND = 1.962
+RANGES = 64
 Z_95 = 1.96
 ADVERSARIAL_WEIGHT = 0.676  # of wrongly flagged answerable questions in the net count
 
@@ -120,14 +121,22 @@ def roc(rows: DataFrame, score: str, positive: str) -> DataFrame:
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """Area by trapezoids between neighbouring thresholds.
+    """Area by trapezoids between neighbouring points (false_rate, recall), in this order.
 
-    Of a sweep's steps: each adds its false rate times the mean recall of its ends, which is its own and, by its counts, that of the step before.
+    Points are dealt to ranges of the false rate; each range sums its own trapezoids, and the ranges' first and last
+    points give those between ranges: no task has all points.
     """
-    order = Window.orderBy("false_rate", "recall")
+    cuts = points.approxQuantile("false_rate", [i / RANGES for i in range(1, RANGES)], 0.005) if points.limit(1).count() else []
+    dealt = points.select("false_rate", "recall", sum(((F.col("false_rate") > c).cast("int") for c in sorted(set(cuts))), F.lit(0)).alias("part"))
     x, y = F.col("false_rate"), F.col("recall")
-    part = (x - F.lag(x, 1).over(order)) * (y + F.lag(y, 1).over(order)) / 2
-    return points.select(part.alias("part")).agg(F.least(F.greatest(F.coalesce(F.sum("part"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("auc"))
+
+    def areas(rows: DataFrame, order, x, y, before_x, before_y) -> DataFrame:
+        return rows.select(((x - F.lag(before_x, 1).over(order)) * (y + F.lag(before_y, 1).over(order)) / 2).alias("area"))
+
+    inner = areas(dealt, Window.partitionBy("part").orderBy("false_rate", "recall"), x, y, x, y)
+    ends = dealt.groupBy("part").agg(F.min(F.struct("false_rate", "recall")).alias("a"), F.max(F.struct("false_rate", "recall")).alias("b"))  # RANGES rows at most
+    outer = areas(ends, Window.orderBy("part"), F.col("a.false_rate"), F.col("a.recall"), F.col("b.false_rate"), F.col("b.recall"))
+    return inner.union(outer).agg(F.least(F.greatest(F.coalesce(F.sum("area"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("auc"))
 
 
 def percentile_ceil(x: str, p: float) -> Column:

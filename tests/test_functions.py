@@ -89,3 +89,14 @@ def test_pack(texts):
     assert sorted({p for _, places in rows for p in places}) == [i for i, t in enumerate(texts) if t.strip()]
     assert sum(len(t) for t, _ in rows) == sum(map(len, kept)) + sum(len(p) - 1 for _, p in rows)
     assert TARGET < LIMIT
+
+
+def test_judge_decisions(spark):
+    from tidemark.operators.writes import judge_decisions
+
+    said = 'Here: ```json {"evict": ["a", "b"], "merge": [{"names": ["c", "d"], "into": {"name": "c", "content": "both"}}, {"names": ["e"], "into": {"name": "x", "content": "y"}}], "conflicts": [{"loser": "f", "winner": "g"}]} ``` done'
+    rows = [("n", said), ("o", "nothing to do"), ("p", "{broken: ["), ("q", "{not json}"), ("r", "{}"), ("s", None)]
+    merges, conflicts, evictions, problems = judge_decisions(spark.createDataFrame(rows, "ns string, answer string"))
+    assert [(r["ns"], r["nth"], r["into"], r["names"], r["content"]) for r in merges.orderBy("nth").collect()] == [("n", 0, "c", ["c", "d"], "both"), ("n", 1, "x", ["e"], "y")]
+    assert [tuple(r) for r in conflicts.collect()] == [("n", "f", "g")] and {tuple(r) for r in evictions.collect()} == {("n", "a"), ("n", "b")}
+    assert {tuple(r) for r in problems.collect()} == {("o", "no object"), ("p", "no object"), ("q", "malformed"), ("s", "no object")}

@@ -133,6 +133,24 @@ def json_object(text) -> Column:
     return F.nullif(F.regexp_extract(_col(text), r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def durability(name) -> Column:
+    """evergreen, where that is said in any case and spacing; all else, and null, is volatile."""
+    return F.when(F.lower(F.trim(_col(name))) == "evergreen", "evergreen").otherwise("volatile")
+
+
+def alias_text(content, aliases) -> Column:
+    """What is embedded for an entry's aliases: those that its content does not hold already, regardless of case, a line each; null for none."""
+    said = F.lower(F.coalesce(_col(content), F.lit("")))
+    new = F.filter(_col(aliases), lambda a: a.isNotNull() & ~F.contains(said, F.lower(a)))
+    return F.when(F.size(new) > 0, F.array_join(new, "\n"))
+
+
+def query_text(queries) -> Column:
+    """What is embedded for the questions that an entry answers: all that are not blank, a line each; null for none."""
+    asked = F.filter(_col(queries), lambda q: F.trim(F.coalesce(q, F.lit(""))) != "")
+    return F.when(F.size(asked) > 0, F.array_join(asked, "\n"))
+
+
 def final_answer(text) -> Column:
     """What follows the last closing thought tag, without a leading label."""
     t = F.regexp_replace(_col(text), r"(?s)^.*(</thinking>|</think>)", "")

@@ -154,3 +154,24 @@ def candidate_lines(results: DataFrame, lineage: DataFrame, sources: DataFrame,
     told = used.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("session", "ordinal", F.sha2("content", 256).alias("digest")))))).alias("sources"))
     g = gold.join(used.select("query_id", F.col("id").alias("evidence_id"), F.lit(1).alias("hit")), ["query_id", "evidence_id"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("gold"), F.count("hit").alias("covered"))
     return lines.join(told, "query_id", "left").join(g, "query_id", "left")
+
+
+def chosen_questions(questions: DataFrame, by: str, order: str, only: DataFrame | None = None, category: int | None = None, enumerating: bool = False, most: int = 0, adversarial: int = -1) -> DataFrame:
+    """The questions of a run: (by, order, id, text, category, adversarial, ...) restricted to ids (id), a category and enumerating ones.
+
+    Of each `by` the first `most` answerable questions in order stay (0: all), and the first `adversarial` unanswerable ones (below 0:
+    all, 0: none); both limits count what the other restrictions leave.
+    """
+    from tidemark.functions.intent import enumerates
+
+    q = questions
+    if only is not None:
+        q = q.join(only.select("id").distinct(), "id", "left_semi")
+    if category is not None and category > 0:
+        q = q.where(F.col("category") == category)
+    if enumerating:
+        q = q.where(enumerates(F.col("text")))
+    nth = F.row_number().over(Window.partitionBy(by, "adversarial").orderBy(order, "id"))
+    free = F.lit(True) if most <= 0 else F.col("nth") <= most
+    other = F.lit(True) if adversarial < 0 else F.col("nth") <= adversarial
+    return q.withColumn("nth", nth).where(F.when(F.col("adversarial"), other).otherwise(free)).drop("nth")

@@ -286,6 +286,26 @@ def judge_candidates(entries: DataFrame, score: Column, now: Column, most: int =
     return rows.select("ns", "place", "name", "trigger", cut.alias("content"), "hit_count", age.alias("age_days"), "score")
 
 
+DECISION = "evict array<string>, merge array<struct<names:array<string>,into:struct<name:string,trigger:string,content:string>>>, conflicts array<struct<loser:string,winner:string>>"
+
+
+def judge_decisions(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a judge said (ns, answer): merges (ns, nth, into, names, content), conflicts (ns, loser, winner), evictions (ns, name), and (ns, problem).
+
+    The answer's JSON may stand in prose. One without an object, or with one that is none, has a problem and no decisions.
+    """
+    from tidemark.functions.text import json_object
+
+    object_ = json_object("answer")
+    read = answers.withColumn("object", object_).withColumn("d", F.from_json("object", DECISION + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    problem = F.when(F.col("object").isNull(), "no object").when(F.col("d.broken").isNotNull(), "malformed")
+    good = read.where(problem.isNull())
+    merges = good.select("ns", F.posexplode("d.merge").alias("nth", "m")).select("ns", F.col("nth").cast("long").alias("nth"), F.col("m.into.name").alias("into"), F.col("m.names").alias("names"), F.col("m.into.content").alias("content"))
+    conflicts = good.select("ns", F.explode("d.conflicts").alias("c")).select("ns", "c.loser", "c.winner")
+    evictions = good.select("ns", F.explode("d.evict").alias("name"))
+    return merges, conflicts, evictions, read.select("ns", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def new_synonyms(vectors: DataFrame, entities: DataFrame, seen: DataFrame, least: float = 0.8) -> DataFrame:
     """Synonym edges that vectors (name, model, vec) of names not seen (name) before bring: (entity_a, entity_b, weight, entry_a, entry_b).
 

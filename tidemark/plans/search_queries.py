@@ -216,3 +216,12 @@ def verbatim_fold(t):
     texts = t.projections.select(F.col("id").alias("projection_id"), F.concat(F.lit("text of "), "id").alias("content"))
     f = X.folded(_expanded(t), texts)
     return f.select("query_id", "projection_id", "kind", F.array_join("sources", ",").alias("sources"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, (conv_id + turn) % 5 AS category, turn % 4 = 3 AS adversarial FROM conversations WHERE (conv_id * 3 + turn) % 7 <> 2), o AS (SELECT * FROM q WHERE turn % 11 <> 5),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, adversarial ORDER BY turn, id) AS nth FROM o) SELECT id, category, adversarial FROM n WHERE CASE WHEN adversarial THEN nth <= 1 ELSE nth <= 3 END""")
+def chosen_questions(t):
+    """Of each conversation the first three answerable questions and the first unanswerable one, of those in a list of ids."""
+    c = t.conversations.withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    q = c.where("(conv_id * 3 + turn) % 7 <> 2").select("conv_id", "turn", "id", "text", ((F.col("conv_id") + F.col("turn")) % 5).alias("category"), (F.col("turn") % 4 == 3).alias("adversarial"))
+    return X.chosen_questions(q, "conv_id", "turn", only=c.where("turn % 11 <> 5"), most=3, adversarial=1).select("id", "category", "adversarial")

@@ -117,3 +117,17 @@ FROM (SELECT *, (epoch_us(TIMESTAMP '2025-06-01') - epoch_us(updated_at)) / 8640
 def keep_score(t):
     now = F.lit("2025-06-01").cast("timestamp")
     return t.entries.where(~F.col("pinned")).select("name", F.round(dates.keep_score(F.col("hit_count"), F.col("updated_at"), F.col("created_at"), F.col("durability"), now), 6).alias("score"), "durability")
+
+
+@query("""WITH d AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN ' EverGreen ' WHEN 1 THEN 'volatile' WHEN 2 THEN source END AS said, [translate(substr(text, 3, 9), 'abcdefghij', 'ABCDEFGHIJ'), 'never ' || doc_id, 'also not here'] AS a, ['what is it?', '  ', CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) END] AS q FROM documents),
+n AS (SELECT *, list_filter(a, lambda x: x IS NOT NULL AND NOT contains(lower(coalesce(text, '')), lower(x))) AS na, list_filter(q, lambda x: trim(coalesce(x, '')) <> '') AS nq FROM d)
+SELECT doc_id, CASE WHEN lower(trim(said)) = 'evergreen' THEN 'evergreen' ELSE 'volatile' END AS durability, md5(array_to_string(na, chr(10))) AS alias_text, md5(array_to_string(nq, chr(10))) AS query_text FROM n""")
+def shadow_texts(t):
+    """Durability as told, and what is embedded for aliases, of which one is in the content, and for questions, of which one is blank."""
+    k = F.col("doc_id") % 4
+    said = F.when(k == 0, " EverGreen ").when(k == 1, "volatile").when(k == 2, F.col("source"))
+    aliases = F.array(F.translate(F.substring("text", 3, 9), "abcdefghij", "ABCDEFGHIJ"), F.concat(F.lit("never "), "doc_id"), F.lit("also not here"))
+    asked = F.array(F.lit("what is it?"), F.lit("  "), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)))
+    rows = t.documents.select("doc_id", "text", said.alias("said"), aliases.alias("a"), asked.alias("q"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return rows.select("doc_id", T.durability("said").alias("durability"), digest(T.alias_text("text", "a")).alias("alias_text"), digest(T.query_text("q")).alias("query_text"))

@@ -65,7 +65,15 @@ def query_tokens(text) -> Column:
     return F.array_distinct(F.concat(F.array(q), runs))
 
 
-def significant(text, stop: tuple[str, ...] = ()) -> Column:
+# English words that tell nothing of a topic.
+TOPIC_STOP_WORDS = (
+    "the", "and", "for", "that", "this", "with", "are", "was", "from", "have", "has", "had", "will", "would", "should", "could", "about", "into", "than", "then",
+    "they", "them", "their", "there", "what", "when", "where", "which", "while", "your", "youre", "been", "being", "does", "done", "did", "going", "gonna", "want",
+    "need", "just", "like", "know", "really", "also", "but", "can",
+)
+
+
+def significant(text, stop: tuple[str, ...] = TOPIC_STOP_WORDS) -> Column:
     """Distinct runs of ASCII letters and digits or any character beyond ASCII, of three bytes or more, without stop words."""
     runs = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))
     return F.array_distinct(F.filter(runs, lambda w: (F.octet_length(w) >= 3) & ~w.isin(*stop) if stop else F.octet_length(w) >= 3))

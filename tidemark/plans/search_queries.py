@@ -225,3 +225,33 @@ def chosen_questions(t):
     c = t.conversations.withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     q = c.where("(conv_id * 3 + turn) % 7 <> 2").select("conv_id", "turn", "id", "text", ((F.col("conv_id") + F.col("turn")) % 5).alias("category"), (F.col("turn") % 4 == 3).alias("adversarial"))
     return X.chosen_questions(q, "conv_id", "turn", only=c.where("turn % 11 <> 5"), most=3, adversarial=1).select("id", "category", "adversarial")
+
+
+@query("""WITH q AS (SELECT doc_id AS query_id, lang AS category FROM documents WHERE doc_id % 100 = 0), o AS (SELECT lang AS category, CAST(count(*) % 20 + 5 AS BIGINT) AS top, CAST(count(*) % 5 AS BIGINT) AS quota FROM documents WHERE lang <> 'en' GROUP BY 1)
+SELECT query_id, q.category, coalesce(top, 30) AS top, coalesce(quota, 12) AS quota FROM q LEFT JOIN o ON q.category = o.category""")
+def category_budgets(t):
+    """Every language but one has a depth and a quota of its own."""
+    over = t.documents.where("lang <> 'en'").groupBy(F.col("lang").alias("category")).agg((F.count("*") % 20 + 5).alias("top"), (F.count("*") % 5).alias("quota"))
+    q = t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("category"))
+    return X.budgets(q, over, 30, 12).select("query_id", "category", F.col("top").cast("long").alias("top"), F.col("quota").cast("long").alias("quota"))
+
+
+@query("""WITH e AS (SELECT DISTINCT entry, entity FROM {doc_entities}), s AS (SELECT entity, 1.0 / count(*) AS score FROM e GROUP BY 1), b AS (SELECT * FROM s ORDER BY score DESC, entity LIMIT 200)
+SELECT entry, round(sum(score), 9) AS score FROM b JOIN e USING (entity) GROUP BY 1""")
+def entry_scores(t):
+    """Entries of the 200 rarest entities, by the sum of their scores."""
+    from tidemark.operators.graph import entry_scores as run
+
+    e = t.doc_entities.select("entry", "entity").distinct()
+    scores = e.groupBy("entity").agg((1.0 / F.count("*")).alias("score"))
+    return run(scores, e).select("entry", F.round("score", 9).alias("score"))
+
+
+@query("""SELECT ns, name, place FROM (SELECT ns, name, row_number() OVER (PARTITION BY ns ORDER BY hit_count DESC, updated_at DESC, name) AS place FROM {entries} WHERE NOT pinned) WHERE place <= 40""")
+def manifest_order(t):
+    """A manifest in the order of the score that it has unless another is given."""
+    from tidemark.operators.retrieval import top
+    from tidemark.plugins import manifest_score
+
+    rows = t.entries.where("NOT pinned").withColumn("score", manifest_score(F.col("hit_count"), F.col("updated_at")))
+    return top(rows, ["ns"], [F.desc("score"), "name"], 40, "place").select("ns", "name", F.col("place").cast("long").alias("place"))

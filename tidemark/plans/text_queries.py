@@ -131,3 +131,19 @@ def shadow_texts(t):
     rows = t.documents.select("doc_id", "text", said.alias("said"), aliases.alias("a"), asked.alias("q"))
     digest = lambda c: F.md5(c.cast("binary"))
     return rows.select("doc_id", T.durability("said").alias("durability"), digest(T.alias_text("text", "a")).alias("alias_text"), digest(T.query_text("q")).alias("query_text"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: strlen(x) >= 3 AND NOT list_contains(['the', 'and', 'for', 'that', 'this', 'with', 'are', 'was', 'from', 'have', 'has', 'had', 'will', 'would', 'should', 'could', 'about', 'into', 'than', 'then', 'they', 'them', 'their', 'there', 'what', 'when', 'where', 'which', 'while', 'your', 'youre', 'been', 'being', 'does', 'done', 'did', 'going', 'gonna', 'want', 'need', 'just', 'like', 'know', 'really', 'also', 'but', 'can'], x))) AS w FROM conversations)
+SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(list_sort(w), ' ')) AS tokens FROM w""")
+def significant_tokens(t):
+    rows = t.conversations.select("conv_id", "turn", F.array_sort(T.significant("text")).alias("w"))
+    return rows.select("conv_id", "turn", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("tokens"))
+
+
+@query(r"""SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM conversations""")
+def token_counts(t):
+    """Without a caller's counter, tokens are words."""
+    from tidemark.plugins import count_tokens
+
+    rows = t.conversations.select(F.struct("conv_id", "turn").alias("at"), "text")
+    return count_tokens(rows, "at", "text").select("at.conv_id", "at.turn", "tokens")

@@ -45,8 +45,8 @@ def token_grams(tokens: DataFrame) -> DataFrame:
 class KeywordIndex:
     """The index of one set of columns of entries with unique names, in a folder of its own."""
 
-    def __init__(self, spark: SparkSession, folder: str, columns: tuple[str, ...] = ("name", "trigger", "content"), key: str = "name"):
-        self.spark, self.folder, self.columns, self.key = spark, folder.rstrip("/"), columns, key
+    def __init__(self, spark: SparkSession, folder: str, columns: tuple[str, ...] = ("name", "trigger", "content"), key: str = "name", most: int = MOST):
+        self.spark, self.folder, self.columns, self.key, self.most = spark, folder.rstrip("/"), columns, key, most
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -103,7 +103,7 @@ class KeywordIndex:
         fresh = entries.join(changed.where("NOT gone").select(F.col("name").alias(self.key)), self.key, "left_semi") if known else entries
         self._write(to, changed, postings(fresh, self.columns, self.key))
         count = changed.count()
-        if len(known) + 1 > MOST:
+        if len(known) + 1 > self.most:
             self.compact()
         return count
 

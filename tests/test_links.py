@@ -29,3 +29,12 @@ def test_links_equal_pairs(spark, monkeypatch, side):
 def test_copies_make_no_pairs(spark):
     rows = spark.range(500).selectExpr("id", "array(1L, 2L, 3L) AS grams")
     assert N.gram_links(rows, "id", "grams", 0.7).count() == 500  # of 124,750 pairs
+
+
+@pytest.mark.parametrize("name, columns", [("neardup_pairs", ["doc_id", "component", "links"]), ("split_leakage", ["doc_id", "split", "component", "links"])])
+def test_queries_have_a_row_for_each_document(spark, sf_dir, name, columns):
+    from tidemark.plans.catalogue import QUERIES
+
+    out = QUERIES[name](spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 50 <> 0" if name == "neardup_pairs" else "true").count()
+    assert out.columns == columns and out.count() == ids  # before, a row for each pair

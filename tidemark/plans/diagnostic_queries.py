@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions.intent import resolution_mode
 from tidemark.operators import diagnostics as D, evaluation as S, retrieval as R
 from tidemark.plans.registry import query
+from tidemark.work import Work
 
 # rankings of all other vectors for every hundredth one, by cosine and by inner product; gold: the vectors of the same owner
 _V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -15,17 +16,11 @@ res AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY
 gold AS (SELECT query_id, vec_id AS name FROM embeddings, qq WHERE vec_id <> query_id AND vec_id % 125 = query_id % 125)"""
 
 
-def _pairs(t):
-    e = t.embeddings.select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("v"))
-    q = t.queries.select("query_id", F.col("vec").alias("v"))
-    cos = R.blocks_cosine(e, q, None)
-    norm = lambda df, key: df.select(key, F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias(f"norm_{key}"))
-    return cos.where("name <> query_id").join(norm(e, "name"), "name").join(norm(q, "query_id"), "query_id").withColumn("dot", F.col("cos") * F.col("norm_name") * F.col("norm_query_id"))
-
-
 def _results(t, by: str = "cos"):
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), "name")
-    return _pairs(t).select("query_id", "name", F.row_number().over(order).alias("rank")).where("rank <= 300")
+    """The 300 best of each query: blocks pass on no more than those and the query's own vector."""
+    e = t.embeddings.select(F.col("vec_id").alias("name"), F.col("embedding").alias("v"))
+    pairs = R.blocks_cosine(e, t.queries.select("query_id", F.col("vec").alias("v")), 301, dot=by == "dot", by_name=True).where("name <> query_id")
+    return R.top(pairs, ["query_id"], [F.desc(F.round("cos", 9)), "name"], 300).select("query_id", "name", "rank")
 
 
 def _gold(t):
@@ -65,7 +60,7 @@ SELECT count(*) AS questions, round(avg(a), 6) AS single_rank, round(avg(b), 6)
 def recall_diagnostic(t):
     parts = []
     for by, name in (("cos", "single"), ("dot", "multi")):
-        r = _results(t, by)
+        r = Work(t.spark, "results").write(_results(t, by), by)
         parts.append(D.gold_ranks(r, _gold(t)).select("query_id", F.col("rank_pool").alias(name)).join(D.recalls(r, _gold(t)).select("query_id", F.col("recall").alias(f"{name}_recall")), "query_id"))
     s = D.recall_summary(parts[0].join(parts[1], "query_id"))
     return s.select(*[c if c in ("questions", "entered", "left") else F.round(c, 6).alias(c) for c in s.columns])

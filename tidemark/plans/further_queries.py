@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tidemark.functions import dates
-from tidemark.functions.vectors import cosine, l2
 from tidemark.operators import graph as G, retrieval as R
 from tidemark.plans.registry import query
 from tidemark.plans.retrieval_queries import _SIGNALS, _fused
@@ -24,9 +23,9 @@ def temporal_reweight(t):
 @query("""WITH c AS (SELECT query_id, least(greatest((list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec) + 1) / 2, 0), 1) AS s FROM embeddings, {queries} q)
 SELECT query_id, round((max(s) + avg(s)) / 2, 6) AS blended, round(max(s), 6) AS top1 FROM c GROUP BY 1""")
 def confidence_blend(t):
-    s = F.least(F.greatest((cosine(F.col("embedding"), F.col("vec")) + 1) / 2, F.lit(0.0)), F.lit(1.0))
-    c = t.embeddings.crossJoin(F.broadcast(t.queries)).select("query_id", s.alias("s"))
-    return c.groupBy("query_id").agg(F.round((F.max("s") + F.avg("s")) / 2, 6).alias("blended"), F.round(F.max("s"), 6).alias("top1"))
+    rows = t.embeddings.select(F.col("vec_id").alias("name"), F.col("embedding").alias("v"))
+    shares = R.cosine_shares(rows, t.queries.select("query_id", F.col("vec").alias("v")))
+    return shares.select("query_id", F.round((F.col("most") + F.col("mean")) / 2, 6).alias("blended"), F.round("most", 6).alias("top1"))
 
 
 @query("""SELECT category, count(*) FILTER (NOT control AND treatment) AS false_negative, count(*) FILTER (control AND NOT treatment) AS false_positive, round(avg(CAST(control AS INT)), 6) AS raw, round(avg(CAST(treatment AS INT)), 6) AS corrected, round(avg(CAST(control = treatment AS INT)), 6) AS agreement FROM {runs} GROUP BY 1""")

@@ -8,9 +8,14 @@ from tidemark.operators.components import connected_components
 
 
 def co_edges(entities: DataFrame, entry: str = "entry", entity: str = "entity") -> DataFrame:
-    """Pairs of entities of one entry, in order, weighted by the entries that have both."""
-    a, b = entities.select(entry, F.col(entity).alias("entity_a")), entities.select(entry, F.col(entity).alias("entity_b"))
-    return a.join(b, entry).where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(F.count("*").cast("double").alias("weight"))
+    """Pairs of entities of one entry, in order, weighted by the entries that have both.
+
+    An entry's entities are gathered once and paired from there, so that a table dealt by entry is neither dealt nor sorted for a join with itself.
+    """
+    held = entities.where(F.col(entry).isNotNull()).groupBy(entry).agg(F.sort_array(F.collect_set(entity)).alias("t")).where(F.size("t") > 1)
+    first = held.select(F.posexplode("t").alias("i", "entity_a"), "t")
+    pairs = first.select("entity_a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("entity_b"))
+    return pairs.groupBy("entity_a", "entity_b").agg(F.count("*").cast("double").alias("weight"))
 
 
 def accumulate(edges: DataFrame) -> DataFrame:

@@ -71,21 +71,27 @@ def chunks(turns: DataFrame, session: str, place: str, text: str) -> DataFrame:
 def cover(rows: DataFrame, group: str, most: int = 12) -> DataFrame:
     """Greedy coverage: again and again the candidate that covers most items not covered, the first of equal ones.
 
-    rows: (group, position, id, items), ids unique within a group, which is not null; returns (group, pick, id, gained). A round makes a pick of every group: gains are
-    counted over the items still open, in a table that each round writes anew without what it has covered. So no group
-    is gathered, and all rounds together read each candidate's item until it is covered.
+    rows: (group, position, id, items), ids unique within a group, which is not null; returns (group, pick, id, gained). A round makes a pick of every group.
+    Candidates' items are written once and only read after that; a round writes the items that its picks cover, one candidate's
+    for each group, and the gains of all candidates less what they hold of these. So no group is gathered.
     """
     work = Work(rows.sparkSession, "cover")
-    open_ = work.write(rows.select(group, "position", "id", F.explode(F.array_distinct("items")).alias("item")), "open0")
-    out = None
+    held = work.write(rows.select(group, "position", "id", F.explode(F.array_distinct("items")).alias("item")), "held")
+    gains = work.write(held.groupBy(group, "position", "id").agg(F.count("*").cast("int").alias("gained")), "gains0")
+    out = covered = None
     for pick in range(1, most + 1):
-        gains = open_.groupBy(group, "position", "id").agg(F.count("*").cast("int").alias("gained"))
-        best = gains.groupBy(group).agg(F.max_by(F.struct("id", "gained"), F.struct(F.col("gained"), -F.col("position"))).alias("x"))
+        best = gains.where("gained > 0").groupBy(group).agg(F.max_by(F.struct("id", "gained"), F.struct(F.col("gained"), -F.col("position"))).alias("x"))
         best = work.write(best.select(group, F.lit(pick).alias("pick"), "x.id", "x.gained"), f"pick{pick}")
         if best.isEmpty():
             break
         out = best if out is None else out.unionByName(best)
-        done = open_.join(best.select(group, "id"), [group, "id"], "left_semi").select(group, "item")
-        open_ = work.write(open_.join(done, [group, "item"], "left_anti").select(group, "position", "id", "item"), f"open{pick}")
-        work.drop(f"open{pick - 1}")
+        if pick == most:
+            return out
+        # null is an item too, that no join meets: it is open for ever
+        done = held.join(best.select(group, "id"), [group, "id"], "left_semi").select(group, "item")
+        done = work.write(done if covered is None else done.join(covered, [group, "item"], "left_anti"), f"done{pick}")
+        covered = done if covered is None else covered.unionByName(done)
+        less = held.join(done, [group, "item"]).groupBy(group, "id").agg(F.count("*").cast("int").alias("less"))
+        gains = work.write(gains.join(less, [group, "id"], "left").select(group, "position", "id", (F.col("gained") - F.coalesce("less", F.lit(0))).alias("gained")), f"gains{pick}")
+        work.drop(f"gains{pick - 1}")
     return out if out is not None else best
